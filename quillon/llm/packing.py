@@ -4,7 +4,7 @@ The token streams of a partition's documents follow one another in stored
 order.  A dynamic programme over the cut points (ends of documents, ends of
 sentences, and ``size`` tokens after either where no end is near) chooses the
 windows: least padding plus a penalty for each window that ends inside a
-document.  ``best[j] = min over i of best[i] + (size - (s_j - s_i)) + p_j``
+document.  ``best[j] = min over i of best[i] + (size - (s_j - s_i)) + p_j`` (and a small cost for each window)
 for windows of ``size`` tokens at most is a sliding minimum of
 ``best[i] + s_i``, which a monotone queue gives in constant time per point;
 windows whose length is a power of two need no padding and are tried beside it.
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import by_arrow, documents, words_of
 
 SIZE, END, STRETCH = 2048, 1, 262_144
-#: Cost in tokens of ending a window at a sentence, or inside one.
-AT_SENTENCE, INSIDE = 4, 64
+#: Cost in tokens of ending a window at a sentence, or inside one, and of a window.
+AT_SENTENCE, INSIDE, EACH = 4, 64, 16
 TOKENIZER = "word_bpe_49k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -65,7 +65,7 @@ def windows(points: list[int], prices: list[int], size: int, final: bool) -> lis
             k = at.get(s - p)
             if k is not None and best[k] < cost:
                 cost, source = best[k], k
-        best[j], back[j], at[s] = cost + prices[j], source, j
+        best[j], back[j], at[s] = cost + prices[j] + EACH, source, j
         key[j] = best[j] + s
         while queue and key[queue[-1]] >= key[j]:
             queue.pop()
