@@ -34,12 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_arrow, documents, words_of
+from .common import by_arrow, documents
 
 SIZE, END, STRETCH = 2048, 1, 262_144
 #: Cost in tokens of ending a window at a sentence, or inside one, and of a window.
 AT_SENTENCE, INSIDE, EACH = 4, 64, 16
 TOKENIZER = "word_bpe_49k.json"
+#: White space after a sentence's last sign; the end id as bytes.
+SENTENCE = re.compile(rb"(?<=[.!?])[ \t-\r]+")
+LAST = END.to_bytes(4, "little")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -47,27 +50,27 @@ def windows(points: list[int], prices: list[int], size: int, final: bool) -> lis
     """Indices of the chosen cut points.  ``points`` rise from 0 and no step
     exceeds ``size``; ``prices`` are the penalties of cutting there.  Unless
     ``final``, only windows that cannot change any more are kept: those before
-    the last ``2 * size`` tokens.
+    the last ``2 * size`` tokens, and only the larger powers of two are tried.
     """
     n = len(points)
-    best, back = [0] * n, [0] * n
+    best, back, key = [0] * n, [0] * n, [0] * n
     queue: deque[int] = deque([0])
-    key = [0] * n
     at = {points[0]: 0}
-    powers = [1 << p for p in range(size.bit_length() - 1)]
+    powers = [size >> p for p in range(1, size.bit_length() if final else 4)]
     for j in range(1, n):
         s = points[j]
         while s - points[queue[0]] > size:
             queue.popleft()
-        i = queue[0]
-        cost, source = key[i] + size - s, i
+        source = queue[0]
+        cost = key[source] + size - s
         for p in powers:
             k = at.get(s - p)
             if k is not None and best[k] < cost:
                 cost, source = best[k], k
-        best[j], back[j], at[s] = cost + prices[j] + EACH, source, j
-        key[j] = best[j] + s
-        while queue and key[queue[-1]] >= key[j]:
+        best[j] = cost = cost + prices[j] + EACH
+        back[j], at[s] = source, j
+        key[j] = cost = cost + s
+        while queue and key[queue[-1]] >= cost:
             queue.pop()
         queue.append(j)
     cuts, j = [], n - 1
@@ -78,37 +81,35 @@ def windows(points: list[int], prices: list[int], size: int, final: bool) -> lis
     return cuts if final else [j for j in cuts if points[j] <= points[-1] - 2 * size]
 
 
-class Encoder:
-    """Text -> ids and the indices after which a sentence ends."""
+class Encoder(dict):
+    """Text -> ids and the indices after which a sentence ends.  Word -> its ids as bytes."""
 
     def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.known: dict[bytes, tuple[int, ...]] = {}
         self.limit = limit
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> tuple[np.ndarray, list[int]]:
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.whole(word.decode("utf-8", "surrogatepass"))
+        if len(self) < self.limit:
+            self[word] = ids
+        return ids
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if self.special and self.special.search(text):
-            ids = self.whole(text)
-            return np.array([*ids, END], np.uint32), []
-        known, ids, ends = self.known, [], []
-        for word in words_of(text):
-            own = known.get(word)
-            if own is None:
-                own = tuple(self.whole(word.decode("utf-8", "surrogatepass")))
-                if len(known) < self.limit:
-                    known[word] = own
-            ids += own
-            if word[-1] in b".!?":
-                ends.append(len(ids))
-        ids.append(END)
-        return np.array(ids, np.uint32), ends
+            return np.frombuffer(self.whole(text) + LAST, "<u4"), np.zeros(0, np.int64)
+        get = self.__getitem__
+        parts = [b"".join(map(get, s.split())) for s in SENTENCE.split(text.encode("utf-8", "surrogatepass"))]
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
+        parts.append(LAST)
+        return np.frombuffer(b"".join(parts), "<u4"), ends[:-1]
 
 
 class Run:
@@ -120,8 +121,8 @@ class Run:
         self.docs: deque[list] = deque()  # doc_id, ids, ends, tokens already packed
         self.held = 0
 
-    def add(self, doc_id, ids: np.ndarray, ends: list[int]) -> Iterator[tuple]:
-        self.docs.append([doc_id, ids, np.array(ends, np.int64), 0])
+    def add(self, doc_id, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+        self.docs.append([doc_id, ids, ends, 0])
         self.held += len(ids)
         if self.held >= self.stretch:
             yield from self.settle(False)
@@ -129,35 +130,25 @@ class Run:
     def settle(self, final: bool) -> Iterator[tuple]:
         if not self.docs:
             return
-        price: dict[int, int] = {}
-        base = 0
+        marks, costs, base = [], [], 0
         for _, ids, ends, done in self.docs:
-            for e in ends[ends > done].tolist():
-                price[base + e - done] = AT_SENTENCE
+            ends = ends[ends > done]
+            marks += [ends + (base - done), [base + len(ids) - done]]
+            costs += [np.full(len(ends), AT_SENTENCE), [0]]
             base += len(ids) - done
-            price[base] = 0
-        ends = sorted(price)
-        points, prices = [0], [0]
-        for e in ends:
-            if e == points[-1]:
-                continue
-            while e - points[-1] > self.size // 4:  # a stretch without an end near gets cuts inside
-                points.append(points[-1] + self.size // 4)
-                prices.append(INSIDE)
-            points.append(e)
-            prices.append(price[e])
+        at, cost = np.concatenate(marks).astype(np.int64), np.concatenate(costs).astype(np.int64)
+        step = self.size // 4
+        before = np.concatenate([[0], at[:-1]])
+        for g in np.flatnonzero(at - before > step).tolist():  # a stretch without an end near gets cuts inside
+            marks.append(np.arange(before[g] + step, at[g], step))
         if final:  # the rest in powers of two
-            tail, total = [], base
-            for p in range(self.size.bit_length() - 1):
-                if base >> p & 1:
-                    total -= 1 << p
-                    tail.append(total)
-            for t in tail:
-                if t > 0 and t not in price:
-                    points.append(t)
-                    prices.append(INSIDE)
-            order = sorted(range(len(points)), key=points.__getitem__)
-            points, prices = [points[i] for i in order], [prices[i] for i in order]
+            marks.append([base - (base & (2 * self.size - 1) & -(1 << p)) for p in range(self.size.bit_length())])
+        every = np.concatenate(marks).astype(np.int64)
+        every = np.unique(np.concatenate([[0], every[(every > 0) & (every <= base)]]))
+        price = np.full(len(every), INSIDE)
+        order = np.argsort(-cost, kind="stable")  # the cheaper of two reasons is written last
+        price[np.searchsorted(every, at[order])] = cost[order]
+        points, prices = every.tolist(), price.tolist()
         cuts = windows(points, prices, self.size, final)
         start = 0
         for j in cuts:
@@ -172,7 +163,7 @@ class Run:
             doc_id, ids, _, done = doc
             take = min(length - offset, len(ids) - done)
             piece = ids[done : done + take]
-            yield doc_id, done, take, zlib.crc32(piece.astype("<u4").tobytes()), len(ids), self.next_id, offset
+            yield doc_id, done, take, zlib.crc32(piece.tobytes()), len(ids), self.next_id, offset
             offset += take
             doc[3] += take
             if doc[3] == len(ids):
