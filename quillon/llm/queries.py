@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, mixing, packing, sharding
+from . import ann, language, mixing, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.query,
+    "op3_language": language.query,
     "op4_hilbert_sharding": sharding.query,
     "op6_curriculum_mixing": mixing.query,
     "op7_packing": packing.query,
+    "op8_quality": quality.query,
     "op10_nearest": ann.query,
 }
 
