@@ -10,8 +10,8 @@ of q with a probability that rises steeply with ``BOUND``.
 
 A block of queries meets a block of vectors in one task.  The bits give every
 estimate; the exact inner products of the k best estimates give the bar, and
-each vector whose upper bound reaches the bar is ranked again by its exact
-inner product in double precision.  The best k of each block then meet in one
+each vector whose upper bound reaches the bar is ranked again, in single precision to leave out what
+rounding can't bring back, then by its exact inner product in double precision.  The best k of each block then meet in one
 top-k per query.
 
 Blocks: vectors and queries are dealt by a hash of the id into blocks of about
@@ -81,10 +81,15 @@ def search_block(q_ids, queries, ids, vectors, codes, norm, fit, turn, k: int, b
     first = np.argpartition(-guess, k - 1, axis=1)[:, :k] if len(ids) > k else np.broadcast_to(np.arange(len(ids)), guess.shape)
     high = guess + error
     out_q, out_i, out_s = [], [], []
+    rough_of, queries32 = vectors.astype(np.float32), queries.astype(np.float32)
     for row in range(len(q_ids)):
         tried = first[row][guess[row][first[row]] > -np.inf]
         bar = inner(vectors[tried], queries[row]).min() if len(tried) >= k else -np.inf
         near = np.flatnonzero((high[row] >= bar - 1e-6 * abs(bar)) & (guess[row] > -np.inf))
+        if len(near) > k:  # single precision first, with room for its rounding
+            rough = rough_of[near] @ queries32[row]
+            room = 1e-5 * float(norm[near].max()) * float(np.sqrt((queries[row] ** 2).sum()))
+            near = near[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 2 * room]
         exact = inner(vectors[near], queries[row])
         best = np.lexsort((ids[near], -exact))[:k]
         out_q.append(np.full(len(best), q_ids[row]))
