@@ -6,20 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, language, mixing, packing, quality, sharding, toxicity
+from . import ann, language, mixing, neardup, packing, pii, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
     "op3_language": language.query,
     "op4_hilbert_sharding": sharding.query,
+    "op5_personal_data": pii.query,
     "op6_curriculum_mixing": mixing.query,
     "op7_packing": packing.query,
     "op8_quality": quality.query,
+    "op9_near_duplicates": neardup.query,
     "op10_nearest": ann.query,
 }
 
 #: Where SQL can't express the method, tests hold the query against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op6_curriculum_mixing": mixing.SQL,
+    "op9_near_duplicates": neardup.SQL,
     "op10_nearest": ann.SQL,
 }
