@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, language, mixing, neardup, packing, pii, quality, sharding, toxicity
+from . import ann, language, mixing, neardup, packing, pii, quality, sharding, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
+    "op2_substring": substring.query,
     "op3_language": language.query,
     "op4_hilbert_sharding": sharding.query,
     "op5_personal_data": pii.query,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Where SQL can't express the method, tests hold the query against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring": substring.SQL,
     "op6_curriculum_mixing": mixing.SQL,
     "op9_near_duplicates": neardup.SQL,
     "op10_nearest": ann.SQL,
