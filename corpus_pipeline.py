@@ -4,7 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, packing
+from quillon.llm import mixing, neardup, packing, pii, toxicity
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score doesn't reject."""
+    return toxicity.filtered(docs, toxicity.fit(spark, docs, sf_dir))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the least id."""
+    return neardup.distinct(docs)
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data masked."""
+    return pii.masked(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +32,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("mixing", mixed), ("packing", packed)]
-#: The stages before the last train models or decode them; SQL has neither.
+STAGES = [("toxicity", clean), ("near_duplicates", deduplicated), ("personal_data", masked), ("mixing", mixed), ("packing", packed)]
+#: The first stage trains a model and the last runs a tokenizer; SQL has neither.
 ORACLE_SQL = None
 
 
