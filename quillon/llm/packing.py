@@ -15,16 +15,18 @@ cheaper.  Memory: tokens are held for ``STRETCH`` of them at a time; the program
 is settled whenever that many have gathered, and what follows the last full
 window stays for the next round.
 
-Ids: each word between ASCII white space is tokenised once and remembered; that
-gives the same ids as the whole text, for the tokenizer drops white space and
-joins nothing across it.  Texts with a special token's string go to the tokenizer
+Ids: each word between ASCII white space is tokenised once and remembered, up to
+a bounded number of words; that gives the same ids as the whole text, for the
+tokenizer drops white space and joins nothing across it.  Texts with a special token's string go to the tokenizer
 whole.  A document ends with id 1 and so has a piece even if its text is null
 or empty.  Null or repeated doc_id: rows stay.  Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -43,6 +45,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: White space after a sentence's last sign; the end id as bytes.
 SENTENCE = re.compile(rb"(?<=[.!?])[ \t-\r]+")
 LAST = END.to_bytes(4, "little")
+SIGNS = b".,;:!?"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -81,14 +84,29 @@ def windows(points: list[int], prices: list[int], size: int, final: bool) -> lis
     return cuts if final else [j for j in cuts if points[j] <= points[-1] - 2 * size]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the
+    others for the code points from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder(dict):
-    """Text -> ids and the indices after which a sentence ends.  Word -> its ids as bytes."""
+    """Text -> ids and the indices after which a sentence ends.  Word -> its ids as bytes.
+
+    ASCII capitals are lowered first, which the tokenizer does anyway.  A word
+    of lower-case letters is one pre-token and goes to the model directly; a
+    word and the sign after it are two.  Anything else takes the tokenizer's
+    whole way.
+    """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.limit = limit
@@ -97,7 +115,13 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.whole(word.decode("utf-8", "surrogatepass"))
+        if word[-1] in SIGNS and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1:]]
+        text = word.decode("utf-8", "surrogatepass")
+        if text.isalpha() and (text.isascii() or (text.lower() == text and unicodedata.is_normalized("NFC", text))):
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))])
+        else:
+            ids = self.whole(text)
         if len(self) < self.limit:
             self[word] = ids
         return ids
@@ -106,12 +130,18 @@ class Encoder(dict):
         if self.special and self.special.search(text):
             return np.frombuffer(self.whole(text) + LAST, "<u4"), np.zeros(0, np.int64)
         get = self.__getitem__
-        parts = [b"".join(map(get, s.split())) for s in SENTENCE.split(text.encode("utf-8", "surrogatepass"))]
+        parts = [b"".join(map(get, s.split())) for s in SENTENCE.split(text.encode("utf-8", "surrogatepass").lower())]
         ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
         parts.append(LAST)
         return np.frombuffer(b"".join(parts), "<u4"), ends[:-1]
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One a Python worker, whatever tasks it runs."""
+    return Encoder(path)
+
+
 class Run:
     """One partition's stream."""
 
@@ -182,7 +212,7 @@ def pack(docs: DataFrame, size: int = SIZE, path: str | Callable[[], str] | None
     import pyarrow as pa
 
     def run(batches):
-        stream, encode = Run(TaskContext.get().partitionId(), size, stretch), Encoder(path)
+        stream, encode = Run(TaskContext.get().partitionId(), size, stretch), encoder(path)
         types = [pa.int64()] * 7
 
         def packed(rows):
