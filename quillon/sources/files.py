@@ -12,7 +12,7 @@ QUESTIONS = "question_id string, category string, question string, expected_docu
 
 
 def _parts(name: str):
-    return F.filter(F.transform(F.split(F.coalesce(name, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(name, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
