@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the contracts: a run of anything but space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
-MASK = (1 << 64) - 1
+#: Rows of documents in an Arrow batch.
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +40,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, whose session passes texts to Python in smaller Arrow batches than
+    the default of 10,000 rows; a value that somebody has chosen stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name, "10000") == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, after which freed memory goes back to the
+    system: Spark keeps Python workers for the stages that follow."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def fold_of(doc_id: Column, parts: int) -> Column:
     """crc32 of the decimal id modulo ``parts``; null ids give null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
@@ -53,7 +81,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordCodes(dict):
     """Word -> 64-bit code, kept while the table stays below ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -79,21 +107,3 @@ def mix(x: np.ndarray) -> np.ndarray:
 def shift_pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Code of the concatenation of two neighbouring pieces."""
     return mix(left * np.uint64(0x9E3779B97F4A7C15) + right)
-
-
-def by_arrow(df: DataFrame, one: Callable[[dict], dict] | None, schema: str, batches: Callable[[Iterator], Iterator] | None = None) -> DataFrame:
-    """mapInArrow; ``one`` turns a dict of column lists into another."""
-    import pyarrow as pa
-
-    if batches is None:
-
-        def batches(it):
-            for batch in it:
-                if batch.num_rows:
-                    yield pa.RecordBatch.from_pydict(one(batch.to_pydict()), schema=target)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    target = to_arrow_schema(StructType.fromDDL(schema))
-    return df.mapInArrow(batches, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, fold_of
+from .common import documents, fold_of, frugal, lean
 
 TRAIN_ROWS, LANGUAGES, LEAST, BITS, ROUNDS, SEED = 2_400, 200, 12, 12, 120, 7
 FOLDS, HELD_OUT = 4, 2
@@ -112,8 +112,10 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = LANGUAGES, least:
     if not sizes:
         return None
     share = max(least, rows // len(sizes))
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").where(F.col("lang").isin([r.lang for r in sizes])).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= share)
+    first = W.partitionBy("lang").orderBy("h", "doc_id")
+    part = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, 2.0 * share / r["count"]))])[F.col("lang")]  # about twice the share, so that no task ranks a whole language
+    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).where((F.col("h") / float(1 << 63) + 1) / 2 < part)
+    ids = ids.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= share)
     sample = known.drop("lang").join(F.broadcast(ids.select("doc_id", "lang")), "doc_id")
 
     def vectors(batches):
@@ -122,7 +124,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = LANGUAGES, least:
             pdf = pdf[keep]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "lang": pdf.lang.astype(object), "v": pd.Series([grams(t).astype(np.float16).tobytes() for t in pdf.text], index=pdf.index, dtype=object)})
 
-    got = sorted(sample.mapInPandas(vectors, "doc_id long, lang string, v binary").collect(), key=lambda r: (r.doc_id, r.lang))
+    got = sorted(sample.mapInPandas(frugal(vectors), "doc_id long, lang string, v binary").collect(), key=lambda r: (r.doc_id, r.lang))
     if not got:
         return None
     languages = sorted({r.lang for r in got})
@@ -166,7 +168,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": pdf.held_out, "lang_pred": pd.Series(lang, dtype=object), "score": score, "ambiguous": close})
 
     held_out = F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
-    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInPandas(run, SCHEMA)
+    return lean(docs).select("doc_id", "text", held_out.alias("held_out")).mapInPandas(frugal(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCodes, cut, documents, mix, shift_pair
+from .common import WordCodes, cut, documents, frugal, lean, mix, shift_pair
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
             n, digest, band, odd = zip(*out, strict=True) if out else ([],) * 4
             yield pd.DataFrame({"doc_id": pdf.doc_id, "n_shingles": n, "digest": pd.Series(digest, dtype=object, index=pdf.index), "bands": pd.Series(band, dtype=object, index=pdf.index), "odd": pd.Series(odd, dtype=object, index=pdf.index)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>")
+    return lean(docs).select("doc_id", "text").mapInPandas(frugal(run), "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>")
 
 
 def confirmed(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
@@ -179,7 +179,7 @@ def links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, bands: i
             sets = [shingles(t, codes, shingle).tobytes() for t in pdf.text]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "cluster": pdf.cluster, "keys": pd.Series(sets, dtype=object, index=pdf.index)})
 
-    sets = docs.select("doc_id", "text").where("text is not null").join(member, "doc_id").mapInPandas(gather, "doc_id long, cluster long, keys binary")
+    sets = docs.select("doc_id", "text").where("text is not null").join(member, "doc_id").mapInPandas(frugal(gather), "doc_id long, cluster long, keys binary")
     sets = cut(sets)
 
     def against(batches):
@@ -188,7 +188,7 @@ def links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, bands: i
             yield pd.DataFrame({"doc_id": pdf.doc_id, "cluster": pdf.cluster, "hit": hit})
 
     hubs = sets.where("doc_id = cluster").select("cluster", F.col("keys").alias("hub")).dropDuplicates(["cluster"])
-    tried = cut(sets.join(hubs, "cluster").mapInPandas(against, "doc_id long, cluster long, hit boolean").groupBy("doc_id", "cluster").agg(F.max("hit").alias("hit")))
+    tried = cut(sets.join(hubs, "cluster").mapInPandas(frugal(against), "doc_id long, cluster long, hit boolean").groupBy("doc_id", "cluster").agg(F.max("hit").alias("hit")))
     star = tried.where("hit and doc_id <> cluster").select(F.col("cluster").alias("a"), F.col("doc_id").alias("b"))
     # clusters of more than the hub and its friends, in blocks of askers and members
     size = tried.groupBy("cluster").agg(F.count_if(~F.col("hit")).alias("askers"), F.count(F.lit(1)).alias("members")).where("askers > 0 and members > 2")
@@ -221,9 +221,10 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, **pa
 
 
 def distinct(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with one document of each group: the one with the least id."""
-    kept = groups(docs, **parameters).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """``docs`` with one document of each group: the one with the least id.
+    Documents without an id are in no group and stay."""
+    gone = groups(docs, **parameters).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

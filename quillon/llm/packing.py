@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_arrow, documents
+from .common import documents, frugal, lean
 
 SIZE, END, STRETCH = 2048, 1, 262_144
 #: Cost in tokens of ending a window at a sentence, or inside one, and of a window.
@@ -101,7 +101,7 @@ class Encoder(dict):
     whole way.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -229,7 +229,7 @@ def pack(docs: DataFrame, size: int = SIZE, path: str | Callable[[], str] | None
         if rows:
             yield packed(rows)
 
-    return by_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None, SCHEMA, run)
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

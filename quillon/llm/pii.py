@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, frugal, lean
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
@@ -320,7 +320,7 @@ def spans(docs: DataFrame) -> DataFrame:
             out["spans"] = [",".join(f"{k}:{s}:{e}" for k, s, e in e_) for e_ in every]
             yield pd.DataFrame(out)
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return lean(docs).select("doc_id", "text").mapInPandas(frugal(run), SCHEMA)
 
 
 def mask(text: str, every: list[tuple[str, int, int]]) -> str:
@@ -355,7 +355,7 @@ def masked(docs: DataFrame) -> DataFrame:
                     columns.append(batch[name])
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return lean(docs).mapInArrow(frugal(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

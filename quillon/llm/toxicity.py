@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, fold_of, table
+from .common import cut, documents, fold_of, frugal, lean, table
 
 TRAIN_ROWS, ENTRIES, LEAST_DOCS, LEAST_ODDS = 20_000, 4_000, 4, 2.0
 BEGINNINGS = (4, 5, 6, 7, 8, 10)
@@ -64,14 +64,14 @@ def _table() -> dict[int, str]:
 
 
 FOLD = _table()
-SIGN_IN_WORD = re.compile(r"\$(?=\w)")
+SIGN_IN_WORD = re.compile(r"\$+(?=\w)")
 
 
 def fold(text: str | None) -> str:
     """The text as the lexicon sees it, between two spaces."""
     text = (text or "").lower()
     if "$" in text:
-        text = SIGN_IN_WORD.sub("s", text)
+        text = SIGN_IN_WORD.sub(lambda m: "s" * len(m[0]), text)
     return f" {text.translate(FOLD)} "
 
 
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic) -> the model."""
     chosen = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     chosen = chosen.where(fold_of(F.col("id"), FOLDS) != HELD_OUT).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(rows)
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    sample = lean(docs).select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
     sample = cut(sample.select("text", "y", (F.pmod(F.xxhash64("id", F.lit("part")), F.lit(10)) < 3).alias("curve")).repartition(12))
     learn, curve = sample.where("not curve"), sample.where("curve")
 
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             yield pd.DataFrame({"unit": pd.Series(keys, dtype=object), "toxic": [toxic[k] for k in keys], "clean": [clean[k] for k in keys]})
 
     def counted(units):
-        return learn.mapInPandas(lambda it: count(it, units), "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        return learn.mapInPandas(frugal(lambda it: count(it, units)), "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
     total = learn.groupBy("y").count().collect()
     n = {0: 0, 1: 0} | {r.y: r["count"] for r in total}
@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         holder[0] = model.automaton()
         yield from count(it, around)
 
-    spared = learn.mapInPandas(phrases, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    spared = learn.mapInPandas(frugal(phrases), "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     spared = spared.withColumn("w", odds).where("clean >= 3 and w < 0").orderBy(F.desc("clean"), "unit").limit(ENTRIES)
     model.exceptions = [r.unit for r in spared.collect() if r.unit not in model.weights]
 
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             got = np.array([evidence(a, fold(t)) for t in pdf.text], float).reshape(-1, 4)
             yield pd.DataFrame({"y": pdf.y, "a": got[:, 0], "b": got[:, 1], "c": got[:, 2], "d": got[:, 3]})
 
-    known = curve.mapInPandas(seen, "y int, a double, b double, c double, d double").toPandas()
+    known = curve.mapInPandas(frugal(seen), "y int, a double, b double, c double, d double").toPandas()
     if known.y.nunique() < 2:
         model.curve = [-4.0, 1.0, 0.3, 1.0, 0.0]
     else:
@@ -228,7 +228,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": pdf.held_out, "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
     held_out = F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
-    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInPandas(run, SCHEMA)
+    return lean(docs).select("doc_id", "text", held_out.alias("held_out")).mapInPandas(frugal(run), SCHEMA)
 
 
 def filtered(docs: DataFrame, model: Model) -> DataFrame:
@@ -241,7 +241,7 @@ def filtered(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([evidence(a, fold(t)) for t in batch["text"].to_pylist()], float).reshape(-1, 4)
             yield batch.filter(pa_bools(w[0] + x @ w[1:] < 0))
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return lean(docs).select(*names).mapInArrow(frugal(run), schema)
 
 
 def pa_bools(values: np.ndarray):
