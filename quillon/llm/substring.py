@@ -46,7 +46,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCodes, cut, documents, mix, shift_pair, words_of
+from .common import WordCodes, cut, documents, frugal, lean, mix, shift_pair, words_of
 
 WINDOW, GRAM = 20, 8
 #: Suffixes a group, anchors a bucket, words a stretch.
@@ -130,7 +130,7 @@ def prefix_counts(docs: DataFrame, window: int) -> DataFrame:
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"bin": hit, "n": total[hit]})
 
-    return docs.select("text").mapInPandas(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    return lean(docs).select("text").mapInPandas(frugal(run), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
 def bins(s: Stretch, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,12 +169,12 @@ def packed(table: np.ndarray, key: np.ndarray, **fixed) -> pd.DataFrame:
     order = np.argsort(key, kind="stable")
     key, table = key[order], table[order]
     cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-    ends = np.r_[cuts[1:], len(key)]
+    ends = np.r_[cuts[1:], len(key)][: len(cuts)]
     return pd.DataFrame({"key": key[cuts].astype(np.int64), "rows": pd.Series([table[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], dtype=object)} | fixed)
 
 
-def anchors(docs: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
-    """text (code), codes (binary): of each text the minimizers that repeat."""
+def anchors(docs: DataFrame, window: int, gram: int, buckets: int, homes: int) -> DataFrame:
+    """name (code of a text), codes (binary): of each text the minimizers that repeat."""
 
     def send(batches):
         codes = WordCodes()
@@ -193,28 +193,39 @@ def anchors(docs: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
             table.sort(order=["code", "text"])
             same = np.r_[False, table["code"][1:] == table["code"][:-1]]
             often = same | np.r_[same[1:], False] | np.isin(table["code"], s.close(window, gram))
-            yield packed(np.unique(table[often]), np.unique(table[often])["text"] % np.uint64(buckets), known=True)
+            often = np.unique(table[often])
+            yield packed(often, -1 - (often["text"] % np.uint64(homes)).astype(np.int64), known=True)
             yield packed(table[~same], table["code"][~same] % np.uint64(buckets), known=False)
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
-        known = [np.frombuffer(b, ANCHOR) for b in part["rows"][part.known]]
-        table = np.concatenate([np.frombuffer(b, ANCHOR) for b in part["rows"][~part.known]] or [np.zeros(0, ANCHOR)])
+        if part.known.iloc[0]:
+            return pd.DataFrame({"key": -1 - part.key[:1], "rows": [b"".join(part["rows"])]})
+        table = np.concatenate([np.frombuffer(b, ANCHOR) for b in part["rows"]])
         table = table[np.argsort(table["code"], kind="stable")]
         code, text = table["code"], table["text"]
-        start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, int)
+        start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
         size = np.diff(np.r_[start, len(code)])
-        other = np.repeat(text[start], size) != text if len(code) else np.zeros(0, bool)
-        mixed = np.repeat(np.add.reduceat(other, start) > 0, size) if len(code) else other
-        both = np.concatenate([table[mixed], *known])
-        if not len(both):
-            return pd.DataFrame({"text": np.zeros(0, np.int64), "codes": pd.Series([], dtype=object)})
-        both = np.unique(both[["text", "code"]])
-        cuts = np.flatnonzero(np.r_[True, both["text"][1:] != both["text"][:-1]])
-        ends = np.r_[cuts[1:], len(both)]
-        return pd.DataFrame({"text": both["text"][cuts].astype(np.uint64).view(np.int64), "codes": pd.Series([np.ascontiguousarray(both["code"][s:e]).tobytes() for s, e in zip(cuts, ends, strict=True)], dtype=object)})
+        other = np.repeat(text[start], size) != text
+        table = table[np.repeat(np.add.reduceat(other, start) > 0, size)]
+        return packed(table, table["text"] % np.uint64(homes))
 
-    sent = docs.where("text is not null").select("text", F.xxhash64("text").alias("name")).mapInPandas(send, "key long, rows binary, known boolean")
-    return sent.groupBy("key").applyInPandas(meet, "text long, codes binary")
+    def gather(part: pd.DataFrame) -> pd.DataFrame:
+        table = np.unique(np.frombuffer(b"".join(part["rows"]), ANCHOR))
+        return by_owner(table, "text", "code")
+
+    sent = docs.where("text is not null").select("text", F.xxhash64("text").alias("name")).mapInPandas(frugal(send), "key long, rows binary, known boolean")
+    return sent.groupBy("key").applyInPandas(meet, "key long, rows binary").groupBy("key").applyInPandas(gather, "text long, codes binary").withColumnRenamed("text", "name")
+
+
+def by_owner(table: np.ndarray, owner: str, what: str) -> pd.DataFrame:
+    """One row for each ``owner`` of the table's rows with its ``what`` as one binary."""
+    table = table[np.lexsort((table[what], table[owner]))]
+    own = table[owner]
+    cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, int)
+    ends = np.r_[cuts[1:], len(own)][: len(cuts)]
+    values = np.ascontiguousarray(table[what])
+    names = {"text": "codes", "doc": "at"}
+    return pd.DataFrame({owner: own[cuts].view(np.int64), names[owner]: pd.Series([values[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], dtype=object)})
 
 
 # 3. Subtrees.
@@ -255,22 +266,26 @@ def suffixes(marked: DataFrame, window: int, gram: int, first: np.ndarray, parts
             if late.any():
                 yield packed(table[late], -1 - table["doc"][late] % homes, known=True)
 
-    return marked.mapInPandas(send, "key long, rows binary, known boolean")
+    return marked.mapInPandas(frugal(send), "key long, rows binary, known boolean")
 
 
-def subtree(part: pd.DataFrame) -> pd.DataFrame:
-    """Places that a group removes: below each deep node of its subtree, all but the earliest."""
-    table = np.concatenate([np.frombuffer(b, PLACE) for b in part["rows"]])
-    if not part.known.iloc[0]:
+def subtrees(places: DataFrame, homes: int) -> DataFrame:
+    """doc, at (binary): places to remove.  In a group, below each deep node of its
+    subtree, all but the earliest; they and the places known before meet by document."""
+
+    def subtree(part: pd.DataFrame) -> pd.DataFrame:
+        if part.known.iloc[0]:
+            return pd.DataFrame({"key": -1 - part.key[:1], "rows": [b"".join(part["rows"])]})
+        table = np.frombuffer(b"".join(part["rows"]), PLACE)
         table = table[np.lexsort((table["at"], table["doc"], table["check"], table["code"]))]
-        table = table[np.r_[True, table[1:] != table[:-1]]] if len(table) else table
+        table = table[np.r_[True, table[1:] != table[:-1]]]
         table = table[np.r_[False, (table["code"][1:] == table["code"][:-1]) & (table["check"][1:] == table["check"][:-1])]]
-    table = table[np.lexsort((table["at"], table["doc"]))]
-    if not len(table):
-        return pd.DataFrame({"doc": np.zeros(0, np.int64), "at": pd.Series([], dtype=object)})
-    cuts = np.flatnonzero(np.r_[True, table["doc"][1:] != table["doc"][:-1]])
-    ends = np.r_[cuts[1:], len(table)]
-    return pd.DataFrame({"doc": table["doc"][cuts], "at": pd.Series([np.ascontiguousarray(table["at"][s:e]).tobytes() for s, e in zip(cuts, ends, strict=True)], dtype=object)})
+        return packed(table, table["doc"] % homes)
+
+    def gather(part: pd.DataFrame) -> pd.DataFrame:
+        return by_owner(np.frombuffer(b"".join(part["rows"]), PLACE), "doc", "at")
+
+    return places.groupBy("key").applyInPandas(subtree, "key long, rows binary").groupBy("key").applyInPandas(gather, "doc long, at binary")
 
 
 # 4. Documents.
@@ -302,11 +317,11 @@ def judged(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int =
     keys = named.where("text is not null").select("doc", F.md5(F.col("text").cast("binary")).alias("digest"), F.xxhash64("text").alias("code"))
     names = cut(keys.groupBy("digest", "code").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")))
     copies = keys.join(names.where("n > 1"), ["digest", "code"]).where("doc <> first").select("doc", F.lit(True).alias("copy")).distinct()
-    marks = anchors(docs, window, gram, max(1, -(-2 * total // ((window - gram + 2) * bucket))))
-    marks = marks.join(names.select(F.col("code").alias("text"), F.col("first").alias("doc")), "text").groupBy("doc").agg(F.collect_list("codes").alias("codes"))
+    homes = max(8, -(-total // group))
+    marks = anchors(docs, window, gram, max(1, -(-2 * total // ((window - gram + 2) * bucket))), homes)
+    marks = marks.join(names.select(F.col("code").alias("name"), F.col("first").alias("doc")), "name").groupBy("doc").agg(F.collect_list("codes").alias("codes"))
     marked = named.join(marks, "doc").select("doc_id", "doc", "text", "codes")
-    places = suffixes(marked, window, gram, first, parts, max(8, -(-total // (8 * group))))
-    removed = places.groupBy("key").applyInPandas(subtree, "doc long, at binary").groupBy("doc").agg(F.collect_list("at").alias("removed"))
+    removed = subtrees(suffixes(marked, window, gram, first, parts, homes), homes).groupBy("doc").agg(F.collect_list("at").alias("removed"))
     return named.join(removed, "doc", "left").join(copies, "doc", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "removed")
 
 
@@ -316,7 +331,7 @@ def _each(docs: DataFrame, make, schema: str, window: int, **parameters) -> Data
             got = [remains(t if isinstance(t, str) else None, [] if r is None else r, bool(c), window) for t, c, r in zip(pdf.text, pdf.copy_, pdf.removed, strict=True)]
             yield make(pdf, got)
 
-    return judged(docs, window, **parameters).withColumnRenamed("copy", "copy_").mapInPandas(run, schema)
+    return judged(docs, window, **parameters).withColumnRenamed("copy", "copy_").mapInPandas(frugal(run), schema)
 
 
 def digests(docs: DataFrame, window: int = WINDOW, **parameters) -> DataFrame:
