@@ -122,8 +122,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, **parameters) -> DataFrame:
 
 def write(docs: DataFrame, path: str, shards: int = SHARDS, **parameters) -> None:
     """The documents themselves as Parquet folders ``shard=K``, each in curve order."""
-    places = shard(docs, shards, **parameters).select("doc_id", "shard", "slot").where("doc_id is not null").dropDuplicates(["doc_id"])
-    docs.join(places, "doc_id").repartition(shards, "shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    places = shard(docs, shards, **parameters).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row")).join(places, F.col("__row.doc_id").eqNullSafe(F.col("__id")))
+    rows.repartition(shards, "__shard").sortWithinPartitions("__shard", "__slot").select("__row.*", F.col("__shard").alias("shard")).write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
