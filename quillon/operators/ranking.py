@@ -46,7 +46,9 @@ def bm25_search(index: dict[str, DataFrame], queries: DataFrame, k: int, config:
     count as often; only hits with a positive score stay, after the cut."""
     asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query", "token").agg(F.count(F.lit(1)).alias("qtf"))
     weighed = asked.join(index["idf"].select("token", "idf"), "token")
-    hits = index["postings"].join(weighed, "token").join(index["lengths"], "key").join(F.broadcast(index["totals"]), how="inner", on=F.lit(True))
+    # only the queries' terms: the semi-join moves below the aggregate that makes the postings
+    postings = index["postings"].join(asked.select("token").distinct(), "token", "left_semi")
+    hits = postings.join(weighed, "token").join(index["lengths"], "key").join(F.broadcast(index["totals"]), how="inner", on=F.lit(True))
     k1, b = config.k1, config.b
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query", "key").agg(F.round(F.sum(part), DIGITS).alias("score"))
