@@ -72,8 +72,7 @@ def tokens(text: Column, compose: bool = False, stop_words: list[str] = STOP_WOR
     """Words of one script or numbers, in order, repeats kept; stop words and
     single characters go."""
     found = F.regexp_extract_all(normalize_for_search(text, compose), F.lit(r"[а-яa-z]+|[0-9]+(?:[.,][0-9]+)?"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in stop_words if len(w) > 1])
-    return F.filter(found, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(stop_words))
 
 
 def chunk_id(document_id: Column, coordinates: list[Column], text: Column, ordinal: Column) -> Column:

@@ -19,12 +19,17 @@ CELLS = 4_000_000
 
 
 def bm25_index(chunks: DataFrame, config: EngineConfig = DEFAULT) -> dict[str, DataFrame]:
-    """postings(token, key, tf), lengths(key, dl), idf(token, df, idf), totals (one row).
+    """postings(token, key, tf), lengths(key, dl), idf(token, df, idf), totals (one row),
+    words(key, tokens).
+
+    The tokenised corpus is persisted, for all of these read it, and again by every
+    plan of the session over the same chunks; ``index["words"].unpersist()`` frees it.
+    ``sources.files.save_index`` keeps the tables for good.
 
     ``chunks`` has key and text.  A term's weight is ln(N-df+0.5) - ln(df+0.5);
     negative ones become epsilon times the mean weight.
     """
-    words = chunks.select("key", tokens(F.col("text")).alias("tokens"))
+    words = chunks.select("key", tokens(F.col("text")).alias("tokens")).persist()
     lengths = words.select("key", F.size("tokens").alias("dl"))
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     postings = words.select("key", F.explode("tokens").alias("token")).groupBy("token", "key").agg(F.count(F.lit(1)).alias("tf"))
@@ -32,7 +37,7 @@ def bm25_index(chunks: DataFrame, config: EngineConfig = DEFAULT) -> dict[str, D
     raw = df.join(F.broadcast(totals), how="inner", on=F.lit(True)).withColumn("raw", F.round(F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5), 9))
     mean = raw.agg(F.round(F.avg("raw"), 9).alias("mean"))
     idf = raw.join(F.broadcast(mean), how="inner", on=F.lit(True)).select("token", "df", F.when(F.col("raw") < 0, config.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return {"postings": postings, "lengths": lengths, "idf": idf, "totals": totals}
+    return {"postings": postings, "lengths": lengths, "idf": idf, "totals": totals, "words": words}
 
 
 def top(rows: DataFrame, by: str | list[str], k: int, *order: Column, name: str = "rank") -> DataFrame:

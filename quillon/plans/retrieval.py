@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from quillon.operators import ranking as R
 from quillon.sources import tables
 
 ORDINALS = 1_000_000
+#: Questions in one automaton.
+QUESTIONS = 20_000
 
 
 def keyed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,18 +85,36 @@ def search(spark: SparkSession, sf_dir: str, mode: str = "hybrid-rerank") -> Sea
     return Search(spark, sf_dir, mode=mode)
 
 
-def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+def relevant(spark: SparkSession, sf_dir: str, block: int = QUESTIONS) -> DataFrame:
     """request, document_id: documents that hold the whole question.
 
-    Candidates share the question's rarest eight-word piece; containment is then
-    tested on whole texts.
+    Questions go to the tasks in blocks of a fixed size, each as one automaton
+    that reads a text once whatever the number of questions; texts stay where
+    they are.
     """
-    q = tables.questions(spark, sf_dir).withColumn("w", F.split("question", " "))
-    width = 5
-    piece = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(width)), " ")))
-    inner = F.when(F.size("w") >= width + 2, F.slice("w", F.lit(2), F.size("w") - 2)).otherwise(F.col("w"))
-    keys = q.select("item_id", "question", F.element_at(piece(inner), 1).alias("piece"))
+    q = tables.questions(spark, sf_dir).where("question <> ''")
+    blocks = max(1, -(-q.count() // block))
     docs = tables.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
-    found = docs.select("doc_id", F.explode(F.array_distinct(piece(F.split("text", "[ \n]+")))).alias("piece"))
-    hits = found.join(F.broadcast(keys), "piece").select("doc_id", "item_id", "question").distinct()
-    return hits.join(docs, "doc_id").where(F.contains("text", F.col("question"))).select(F.col("item_id").alias("request"), F.col("doc_id").alias("document_id"))
+    found = []
+    for b in range(blocks):
+        asked_for: dict[str, list[int]] = {}
+        for r in q.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect():
+            asked_for.setdefault(r.question, []).append(r.item_id)
+        found.append(docs.mapInPandas(_holders(asked_for), "request long, document_id long"))
+    return R.union(found)
+
+
+def _holders(asked_for: dict[str, list[int]]):
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for question, items in asked_for.items():
+            automaton.add_word(question, items)
+        if asked_for:
+            automaton.make_automaton()
+        for pdf in batches:
+            hits = [(i, d) for d, t in zip(pdf.doc_id, pdf.text, strict=True) for i in ({i for _, items in automaton.iter(t) for i in items} if asked_for else ())]
+            yield pd.DataFrame(hits, columns=["request", "document_id"]).astype("int64")
+
+    return run
