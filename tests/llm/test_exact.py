@@ -110,13 +110,11 @@ def test_odd_sketch_estimates():
     for share in (0.7, 0.8, 0.9):
         odd, want = [], neardup.most_odd(share, 128, 512)
         for _ in range(60):
-            common, own = int(2000 * share / (1 + share)) * 2, 0
             a = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
             n = int(2 * 2000 * share / (1 + share))
             b = np.concatenate([a[:n], rng.integers(0, 1 << 63, 2000 - n, dtype=np.uint64)])
             x, y = (np.array(signer.sign(s)[1], np.int64) for s in (a, b))
             odd.append(int(np.unpackbits((x ^ y).view(np.uint8)).sum()))
-            del common, own
         assert abs(np.mean(odd) - want) < 8
 
 
