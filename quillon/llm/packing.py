@@ -101,7 +101,7 @@ class Encoder(dict):
     whole way.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         super().__init__()
