@@ -11,7 +11,10 @@ group is what links connect.
 2. Every class is paired with the least and the greatest class of each of its
    band buckets.  The population count of the XOR of two odd sketches estimates
    how many samples differ, and so the similarity; pairs well below the bound
-   are dropped.  What stays connects candidates into clusters.
+   are dropped.  What stays connects candidates into clusters.  A bucket whose
+   other classes are in several clusters then compares the sketches of all
+   pairs from different clusters, in blocks, and what passes joins the clusters:
+   each pair that shares a bucket is in one cluster or was rejected by its sketches.
 3. Full sets confirm: every member against its cluster's least member; where
    some fail, those against all members of the cluster, in blocks, since they
    may be linked to any.  Members confirmed against the same one need no pairs
@@ -23,7 +26,8 @@ Chances: a pair at similarity s shares no band with probability
 
 Scale: no bucket or cluster is gathered in one place.  Buckets are minima and
 maxima with partial aggregation, joins may be split by the optimiser, blocks
-have ``BLOCK`` rows.  Text moves once, to meet the members of clusters.
+have ``BLOCK`` rows of sets or ``CROWD`` of sketches.  A bucket's pairs outside
+its largest cluster are quadratic, in numpy; no pair of them is left out.  Text moves once, to meet the members of clusters.
 
 Fewer words than a shingle: the whole sequence is the one shingle.  Null text
 or text without words: empty set, linked with nothing.  Null doc_id: linked
@@ -45,7 +49,7 @@ from .common import WordCodes, cut, documents, frugal, lean, mix, shift_pair
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
-BANDS, ROWS, BITS, SEED, BLOCK = 32, 4, 512, 31, 256
+BANDS, ROWS, BITS, SEED, BLOCK, CROWD = 32, 4, 512, 31, 256, 1024
 #: An estimate so far below the bound drops a pair: six standard errors and more.
 SLACK = 0.25
 
@@ -160,18 +164,74 @@ def block_links(ids: list[int], sets: list[np.ndarray], lone: list[bool], asks:
     return links
 
 
-def links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+def crowd_links(group: np.ndarray, cluster: np.ndarray, odd: np.ndarray, asks: np.ndarray, most: int, step: int = 1 << 18) -> list[tuple[int, int]]:
+    """Links between clusters that sketches allow: in each group (its rows are
+    neighbours) of the asking rows with all others.  Links that join nothing are left out."""
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[start, len(group)])
+    own = np.repeat(np.arange(len(start)), size)
+    who, joined, found = np.flatnonzero(asks), Joined(), []
+    turn = np.cumsum(size[own[who]]) // step
+    for part in np.split(who, np.flatnonzero(np.diff(turn)) + 1):
+        length = size[own[part]]
+        at = np.arange(length.sum()) + np.repeat(start[own[part]] - (np.cumsum(length) - length), length)
+        by = np.repeat(part, length)
+        apart = cluster[by] != cluster[at]
+        by, at = by[apart], at[apart]
+        close = np.bitwise_count(odd[by] ^ odd[at]).sum(axis=1) <= most
+        pairs = np.unique(np.sort(np.stack([cluster[by[close]], cluster[at[close]]], axis=1), axis=1), axis=0)
+        found += [(a, b) for a, b in pairs.tolist() if joined.join(a, b)]
+    return found
+
+
+def crowded(met: DataFrame, placed: DataFrame, most: int, crowd: int) -> DataFrame:
+    """Links (a, b) between the clusters of ``placed(rep, odd, cluster)`` by the pairs of a
+    bucket of ``met(key, rep, lo, hi)`` that were not compared with its ends."""
+    rest = met.where("rep <> lo and rep <> hi").select("key", "rep").join(placed.select("rep", "odd", "cluster"), "rep")
+    shares = rest.groupBy("key", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    shares = shares.agg(F.max(F.struct("n", "cluster")).alias("main"), F.sum("n").alias("members")).where("main.n < members")
+    shares = shares.select("key", F.col("main.cluster").alias("main"), F.ceil((F.col("members") - F.col("main.n")) / crowd).cast("int").alias("ask_blocks"), F.ceil(F.col("members") / crowd).cast("int").alias("blocks"))
+    rest = rest.join(shares, "key")
+    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
+    asks = rest.where("cluster <> main").select("key", "cluster", "odd", F.lit(True).alias("asks"), deal("a", "ask_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    told = rest.select("key", "cluster", "odd", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("i"), deal("m", "blocks").alias("j"))
+
+    def compare(batches):
+        held = None
+        for pdf in batches:
+            part = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            new = (part[["key", "i", "j"]].to_numpy()[1:] != part[["key", "i", "j"]].to_numpy()[:-1]).any(axis=1)
+            last = int(np.flatnonzero(np.r_[True, new])[-1]) if len(part) else 0
+            held = part.iloc[last:]
+            yield linked(part.iloc[:last], new[: max(0, last - 1)])
+        if held is not None and len(held):
+            yield linked(held, np.zeros(len(held) - 1, bool))
+
+    def linked(part: pd.DataFrame, new: np.ndarray) -> pd.DataFrame:
+        found = crowd_links(np.r_[0, np.cumsum(new)], part.cluster.to_numpy(), np.stack(part.odd.to_numpy()), part.asks.to_numpy(bool), most) if len(part) else []
+        return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype=np.int64)
+
+    blocks = asks.unionByName(told).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return lean(blocks).mapInPandas(frugal(compare), "a long, b long")
+
+
+def links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """Confirmed links (a, b) between class representatives ``reps(rep, bands, odd)``
     that connect what all links connect."""
     entries = reps.select("rep", F.explode("bands").alias("key"))
     ends = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    pairs = entries.join(ends, "key").select("rep", F.explode(F.array("lo", "hi")).alias("end")).where("rep <> end")
+    met = cut(entries.join(ends, "key"))
+    pairs = met.select("rep", F.explode(F.array("lo", "hi")).alias("end")).where("rep <> end")
     pairs = pairs.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
     odd = reps.select("rep", "odd")
     pairs = pairs.join(odd.select(F.col("rep").alias("a"), F.col("odd").alias("x")), "a").join(odd.select(F.col("rep").alias("b"), F.col("odd").alias("y")), "b")
     differing = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
-    near = pairs.where(differing <= most_odd(percent / 100 - SLACK, bands * rows, bits)).select("a", "b")
-    member = cut(components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
+    most = most_odd(percent / 100 - SLACK, bands * rows, bits)
+    found = components(pairs.where(differing <= most).select("a", "b"))
+    placed = cut(odd.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "odd", F.coalesce("component", "rep").alias("cluster"), F.col("component").isNotNull().alias("linked")))
+    wider = components(crowded(met, placed, most, crowd)).select(F.col("node").alias("cluster"), F.col("component").alias("wide"))
+    member = placed.join(wider, "cluster", "left").where("linked or wide is not null")
+    member = cut(member.select(F.col("rep").alias("doc_id"), F.coalesce("wide", "cluster").alias("cluster")))
 
     def gather(batches):
         codes = WordCodes()

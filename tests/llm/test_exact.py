@@ -105,6 +105,20 @@ def test_near_duplicates_edges(spark):
     assert kept.columns == frame(spark, []).columns and kept.count() == len({c for _, c in groups_by_force(ROWS, 3, 85).values()})
 
 
+@pytest.mark.parametrize("crowd", [1024, 2])
+def test_near_duplicates_between_strangers(spark, crowd):
+    """Copies that meet only in a bucket whose ends are unlike them."""
+    rng = np.random.default_rng(7)
+    prose = lambda: [str(x) for x in rng.integers(0, 10**9, 120)]
+    pairs = [prose() for _ in range(4)]
+    texts = {1: prose(), 99: prose()} | {10 + k: p for k, p in enumerate(pairs)} | {20 + k: [*p[:-3], "x"] for k, p in enumerate(pairs)} | {30 + k: prose() for k in range(5)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    signer, codes = neardup.Signer(32, 4, 512), neardup.WordCodes()
+    reps = [(i, [5], signer.sign(neardup.shingles(" ".join(w), codes, 3))[1]) for i, w in texts.items()]
+    found = neardup.links(docs, spark.createDataFrame(reps, "rep long, bands array<long>, odd array<long>"), 3, 85, crowd=crowd)
+    assert sorted(tuple(r) for r in found.collect()) == [(10 + k, 20 + k) for k in range(4)]
+
+
 def test_odd_sketch_estimates():
     signer, rng = neardup.Signer(32, 4, 512), np.random.default_rng(2)
     for share in (0.7, 0.8, 0.9):
