@@ -10,9 +10,11 @@ gradient ascent on the conditional likelihood with forward-backward sums,
 from a small labelled table that ``examples`` builds by rule.  Tokens without
 a digit and without ``@`` are clamped to nothing, so a text falls into short
 runs of other tokens, which are exactly the chains that Viterbi decodes, in
-numpy batches of runs of like length.  A labelled run becomes a span if it
-passes the plain test of its kind and touches no pattern's span; pattern spans
-always stay.
+numpy batches of runs of like length.  Labels have no mark for where an item
+begins, so a labelled run is cut into parts that pass the plain test of their
+kind and touch no pattern's span: those that cover most tokens, then with the
+fewest line ends or signs of a new item inside, then the fewest.  Each part is
+a span; pattern spans always stay.
 
 One pass, no shuffle, whole texts.  Null or empty text: no spans.  Null or
 repeated doc_id: rows stay.  Empty table: no rows.
@@ -20,8 +22,10 @@ repeated doc_id: rows stay.  Empty table: no rows.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 
@@ -253,13 +257,65 @@ def fits(kind: str, found: str) -> bool:
     return 9 <= digits <= 15
 
 
+#: Tokens of a part at most: each has a digit, and no kind has more digits.
+LONGEST = 19
+
+
+def trimmed(text: str, start: int, end: int) -> Span:
+    while start < end and text[start] in EDGE:
+        start += 1
+    while end > start and (text[end - 1] in EDGE or text[end - 1] == "."):
+        end -= 1
+    return start, end
+
+
+def parts(kind: str, text: str, run: list[Span], taken: list[Span]) -> list[Span]:
+    """The parts of a run of tokens of one label that are spans; ``taken`` is sorted."""
+    starts = [s for s, _ in taken]
+    furthest = list(itertools.accumulate((e for _, e in taken), max))
+
+    def whole(i: int, j: int) -> Span | None:
+        start, end = trimmed(text, run[i][0], run[j][1])
+        k = bisect.bisect_left(starts, end)
+        return (start, end) if fits(kind, text[start:end]) and not (k and furthest[k - 1] > start) else None
+
+    # seams[j]: places up to token j where a new item seems to begin
+    sign = "@" if kind == "email" else "+"
+    new = [j > 0 and ("\n" in text[run[j - 1][1] : run[j][0]] or sign in text[slice(*run[j])]) for j in range(len(run))]
+    seams = list(itertools.accumulate(new))
+    if seams[-1] == 0 and (span := whole(0, len(run) - 1)):
+        return [span]
+    best: list[tuple] = [(0, 0, 0)]  # uncovered tokens, seams, parts
+    back: list[tuple[int, Span | None]] = [(0, None)]
+    for j in range(len(run)):
+        a, b, c = best[j]
+        low, way, digits = (a + 1, b, c), (j, None), 0
+        for i in range(j, max(-1, j - LONGEST), -1):
+            digits += sum("0" <= x <= "9" for x in text[slice(*run[i])])
+            if digits > LONGEST and kind != "email":
+                break
+            a, b, c = best[i]
+            cost = (a, b + seams[j] - seams[i], c + 1)
+            if cost < low and (span := whole(i, j)):
+                low, way = cost, (i, span)
+        best.append(low)
+        back.append(way)
+    found, j = [], len(run)
+    while j:
+        j, span = back[j]
+        if span:
+            found.append(span)
+    return found[::-1]
+
+
 def added(texts: list[str], base: list[dict[str, list[Span]]]) -> list[list[tuple[str, int, int]]]:
     """The field's spans of each text, beside the patterns'."""
     model, chains, places = field(), [], []
+    taken: dict[int, list[Span]] = {}
     for d, text in enumerate(texts):
         if not text or not ("@" in text or DIGIT.search(text)):
             continue
-        taken = sorted(s for spans in base[d].values() for s in spans)
+        taken[d] = sorted(s for spans in base[d].values() for s in spans)
         run: list[re.Match] = []
         for m in MARKED.finditer(text):
             if run and text[run[-1].end() : m.start()].strip():
@@ -286,14 +342,8 @@ def added(texts: list[str], base: list[dict[str, list[Span]]]) -> list[list[tupl
             while j + 1 < len(run) and path[j + 1] == path[i]:
                 j += 1
             if path[i]:
-                start, end = run[i].start(), run[j].end()
-                while start < end and text[start] in EDGE:
-                    start += 1
-                while end > start and (text[end - 1] in EDGE or text[end - 1] == "."):
-                    end -= 1
                 kind = LABELS[path[i]]
-                if fits(kind, text[start:end]) and not any(s < end and start < e for own in base[d].values() for s, e in own):
-                    spans[d].append((kind, start, end))
+                spans[d] += [(kind, *p) for p in parts(kind, text, [m.span() for m in run[i : j + 1]], taken[d])]
             i = j + 1
     return spans
 

@@ -272,6 +272,32 @@ def test_personal_data(spark):
     assert masked[2].text is None and masked[3].text == rows[2][1] and pii.spans(frame(spark, [])).count() == 0
 
 
+LISTS = {
+    "Call 555-123-4567\n555-987-6543 today": ["555-123-4567", "555-987-6543"],
+    "Call 555-123-4567 555-987-6543 555-222-3333 today": ["555-123-4567", "555-987-6543", "555-222-3333"],
+    "Call (212) 555-0100 (212) 555-0101 today": ["(212) 555-0100", "(212) 555-0101"],
+    "Call +1 (974) 555-3436\n555-987-6543 today": ["+1 (974) 555-3436", "555-987-6543"],
+    "Call +49 301 234 567, 555-987-6543 today": ["+49 301 234 567", "555-987-6543"],
+    "Paid with 4111 1111 1111 1111 4012 8888 8888 1881 today": ["4111 1111 1111 1111", "4012 8888 8888 1881"],
+}
+
+
+@pytest.mark.parametrize("text", LISTS)
+def test_lists_of_numbers(text):
+    _, every = pii.find([text])
+    assert [text[s:e] for _, s, e in sorted(every[0], key=lambda x: x[1])] == LISTS[text]
+
+
+def test_parts_of_runs():
+    """Long lists are cut into items, and line ends are respected."""
+    text = "\n".join(f"555-{100 + k}-{1000 + k}" for k in range(500))
+    tokens = [m.span() for m in pii.MARKED.finditer(text)]
+    assert pii.parts("phone", text, tokens, []) == tokens
+    assert pii.parts("phone", text, tokens[:3], [tokens[1]]) == [tokens[0], tokens[2]]
+    text = "020 7946 0958\n020 7946 0959 12"
+    assert [text[s:e] for s, e in pii.parts("phone", text, [m.span() for m in pii.MARKED.finditer(text)], [])][0] == "020 7946 0958"
+
+
 def test_field_learns():
     model, held = pii.field(), pii.examples(seed=77)
     right = 0
