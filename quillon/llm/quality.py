@@ -7,16 +7,19 @@ language and source the location and scatter of the ``COVER`` of its rows with
 the smallest covariance determinant are estimated, and a row whose Mahalanobis
 distance from them is above ``CUT`` (the 0.9999 quantile of chi with five degrees) is rejected.
 
-Estimation: deterministic start (median-like histogram centre and spread),
-then ``STEPS`` concentration steps.  A step takes the distances of all rows
+Estimation: robust start (each component's exact median, and its quartiles'
+distance as spread), then ``STEPS`` concentration steps.  A step takes the distances of all rows
 under the last estimate, finds the radius that covers ``COVER`` of a group's
 rows, and takes mean and covariance of the rows inside.  It is one aggregation
 of sums by (group, ring), a ring being a narrow band of distances, so a group of
 any size meets as at most ``RINGS`` rows; rows are never collected or sampled.
 Vectors are in whole thousandths, so that the sums are exact and reruns agree.
 
-The scatter has a floor on its diagonal: a group whose inner rows all have no
-sign or no repeated line would otherwise reject the first that has one.  Groups
+Directions without scatter: a group whose inner rows all have no sign or no
+repeated line has variance 0 there.  In units of ``NOISE``, the deviations that
+counting alone gives a text of 200 words, the scatter's eigenvalues are 1 at
+least; a direction that varies more than that is judged by its own scatter.
+Groups
 of fewer than ``LEAST`` rows use the estimate of all rows together.
 
 Null text: no words, so it fails the base.  Null language or source: a group of
@@ -37,8 +40,10 @@ SIGNS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 Z = tuple(f"z{i}" for i in range(5))
-#: Least standard deviations of the five components, in their own units.
-FLOOR = (0.8, 0.12, 0.05, 0.35, 0.25)
+#: Counting noise of 200 words: a count k that comes in clumps of c has a deviation
+#: of sqrt(c) / 2 on the root scale.  Word lengths deviate by half of their mean,
+#: signs come in fours, lines one by one, repeated windows bring six words.
+NOISE = tuple(x / 200**0.5 for x in (1.0, 0.5, (4 / 5) ** 0.5 / 2, 10**0.5 / 2, 6**0.5 / 2))
 SCALE = 1000
 
 
@@ -129,7 +134,9 @@ def estimate_group(sums: pd.DataFrame, cover: float = COVER) -> tuple[np.ndarray
     scatter = square / SCALE**2
     share = total / max(1.0, n.sum())
     widen = 1.0 / max(0.4, 1 - 1.6 * (1 - share))  # the inner rows' scatter is too small for all
-    return mean, np.linalg.inv(scatter * widen + np.diag(np.square(FLOOR)))
+    noise = np.outer(NOISE, NOISE)
+    size, way = np.linalg.eigh(scatter * widen / noise)
+    return mean, way / np.maximum(size, 1.0) @ way.T / noise
 
 
 SUMS = ["n"] + [f"s{i}" for i in range(5)] + [f"s{i}{j}" for i in range(5) for j in range(i, 5)]
@@ -141,6 +148,15 @@ def sums_by(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in parts.items()])
 
 
+def start(rows: DataFrame) -> DataFrame:
+    """group, center, inverse by medians and quartiles, exact at any size: what
+    moves are counts of whole thousandths."""
+    found = rows.groupBy("group").agg(*[F.percentile(z, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(z) for z in Z])
+    wide = [F.greatest((F.col(z)[2] - F.col(z)[0]) / (1.349 * SCALE), F.lit(noise)) for z, noise in zip(Z, NOISE, strict=True)]
+    inverse = [1 / (wide[i] * wide[i]) if i == j else F.lit(0.0) for i in range(5) for j in range(5)]
+    return found.select("group", F.array(*[F.col(z)[1] for z in Z]).alias("center"), F.array(*inverse).alias("inverse"))
+
+
 def scatter(rows: DataFrame, steps: int = STEPS, cover: float = COVER, least: int = LEAST) -> DataFrame:
     """rows(group, z0..z4) -> group, center, inverse: one row a group, and one with
     a null group for all rows together."""
@@ -151,12 +167,11 @@ def scatter(rows: DataFrame, steps: int = STEPS, cover: float = COVER, least: in
         return pd.DataFrame({"group": part.group[:1], "rows": [int(part.n.sum())], "center": [mean.tolist()], "inverse": [inverse.ravel().tolist()]})
 
     schema = "group string, rows long, center array<double>, inverse array<double>"
-    ringed = both.withColumn("ring", F.lit(0))
-    model = None
-    for _ in range(steps + 1):
-        model = cut(sums_by(ringed, "group", "ring").groupBy("group").applyInPandas(fit, schema))
+    model = cut(start(both))
+    for _ in range(steps):
         near = both.join(model.withColumnRenamed("group", "__g"), F.col("group").eqNullSafe(F.col("__g")))
         ringed = near.withColumn("ring", F.least(F.floor(_distance("center", "inverse") * 16), F.lit(RINGS * 16)).cast("int"))
+        model = cut(sums_by(ringed, "group", "ring").groupBy("group").applyInPandas(fit, schema))
     return model.where(F.col("group").isNull() | (F.col("rows") >= least))
 
 

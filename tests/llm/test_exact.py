@@ -329,6 +329,21 @@ def test_outliers(spark):
     assert not quality.judge(frame(spark, [(1, None, None, None, None, None)])).first().kept
 
 
+def test_outlying_repeats(spark):
+    """Repeats below the base limit are rejected where a group has none, kept where they are usual."""
+    import random
+
+    rng = random.Random(4)
+    prose = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n)]
+    repeating = lambda share: (lambda w: " ".join(w + w[: int(len(w) * share)]))(prose(200))
+    rows = [(i, " ".join(prose(rng.randrange(100, 300))), "en", "s", None, None) for i in range(150)]
+    rows += [(1000 + i, repeating(0.28), "en", "s", None, None) for i in range(30)]
+    rows += [(2000 + i, repeating(rng.uniform(0.0, 0.3)), "en", "t", None, None) for i in range(150)]
+    got = by_id(quality.judge(frame(spark, rows)), "kept", "base_failed")
+    assert not any(failed for _, failed in got.values())
+    assert all(got[i][0] for i in range(150)) and not any(got[1000 + i][0] for i in range(30)) and all(got[2000 + i][0] for i in range(150))
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     v = rng.standard_normal((400, 16)).astype(np.float32)
