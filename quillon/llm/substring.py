@@ -84,10 +84,11 @@ class Stretch:
         return np.flatnonzero(left >= n)
 
     def close(self, window: int, gram: int) -> np.ndarray:
-        """Codes of the pieces that two places within one window share."""
+        """Codes of the pieces that two places share of which every window between
+        them holds one: at most ``window - gram + 1`` apart."""
         code = mix(self.pieces(gram))
         near = np.zeros(len(code), bool)
-        for d in range(1, window - gram + 1):
+        for d in range(1, window - gram + 2):
             near[:-d] |= code[:-d] == code[d:]
         return np.unique(code[near])
 

@@ -50,6 +50,14 @@ def test_substring_repeated_rows_and_empty(spark):
     assert substring.digests(frame(spark, [(None, "a b", None, None, None, None)])).first().n_words == 2
 
 
+@pytest.mark.parametrize("period", range(11, 16))
+def test_substring_of_one_period(spark, period):
+    """Lines repeated back to back inside one text, found in no other."""
+    rows = [(1, "\n".join([" ".join(f"w{k}" for k in range(period))] * 6), None, None, None, None), (2, "other words " * 3, None, None, None, None)]
+    got = by_id(substring.digests(frame(spark, rows)), "n_words", "n_removed", "kept_sha256")
+    assert got == removed_by_force(rows) and got[1][1] > 0
+
+
 def test_prefix_groups():
     counts = np.random.default_rng(1).integers(0, 50, substring.FIRST * substring.SECOND)
     counts[7] = 100_000
