@@ -198,6 +198,18 @@ def test_mixed_copies(spark):
     assert Counter(r.doc_id for r in out.collect()) == {i: c for i, (c,) in want.items() if c}
 
 
+def test_mixed_copies_without_ids(spark):
+    """Rows without an id, with one id, and equal rows have plans of their own."""
+    rows = [(None if i % 3 else 7, "w " * (i + 1), "en", f"s{i % 2}", i, None) for i in range(40)]
+    rows += [(None, "v " * 50, "en", "s0", None, None)] * 3
+    plan = defaultdict(int)
+    for r in mixing.mix(frame(spark, rows)).collect():
+        plan[r.size] += r.copies
+    out = [r.text for r in mixing.copies_in_order(frame(spark, rows)).collect()]
+    assert Counter(len(words(t)) for t in out) == {k: n for k, n in plan.items() if n}
+    assert out == [r.text for r in mixing.copies_in_order(frame(spark, rows[::-1]).repartition(3)).collect()]
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
