@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,18 +29,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and go on from there.
+def folder(df: DataFrame) -> str:
+    """The session's checkpoint folder.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; one is made only
-    where none is set, which is the case in tests on one machine.
+    It is the cluster's ``spark.checkpoint.dir``; one is made only where none
+    is set, which is the case in tests on one machine.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's checkpoint folder and go on from there."""
+    folder(df)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the checkpoint folder and read it; the files stay."""
+    df.write.parquet(path := f"{folder(df)}/{name}-{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lean(df: DataFrame) -> DataFrame:
     """``df``, whose session passes texts to Python in smaller Arrow batches than
     the default of 10,000 rows; a value that somebody has chosen stays."""

@@ -103,6 +103,17 @@ def test_pipeline(spark, sf, tmp_path):
         assert docs.count()
 
 
+def test_pipeline_is_stored(spark, sf, monkeypatch):
+    """Each stage reads what the one before it has written, and the result is read too."""
+    read = []
+    stages = [(name, lambda s, docs, d, f=stage: (read.append(docs.inputFiles()), f(s, docs, d))[1]) for name, stage in corpus_pipeline.STAGES[2:]]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    out = corpus_pipeline.run(spark, sf)
+    names = ["documents", *(name for name, _ in stages)]
+    assert all(files and all(f"/{name}" in f and f.endswith(".parquet") for f in files) for name, files in zip(names, [*read, out.inputFiles()], strict=True))
+    assert out.count()
+
+
 def test_pipeline_awkward_rows(spark, tmp_path):
     """Nulls everywhere, repeated rows, clashing extra columns."""
     rows = corpus(40)
