@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: A word of the contracts: a run of anything but space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of documents in an Arrow batch.
+#: Rows of documents that a Python worker handles at once.
 BATCH_ROWS = 2_000
 
 
@@ -32,12 +33,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def folder(df: DataFrame) -> str:
     """The session's checkpoint folder.
 
-    It is the cluster's ``spark.checkpoint.dir``; one is made only where none
-    is set, which is the case in tests on one machine.
+    It is the cluster's ``spark.checkpoint.dir``.  Where none is set, a folder of
+    this machine serves a local master, as in tests; on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -53,21 +57,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lean(df: DataFrame) -> DataFrame:
-    """``df``, whose session passes texts to Python in smaller Arrow batches than
-    the default of 10,000 rows; a value that somebody has chosen stays."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name, "10000") == "10000":
-        conf.set(name, str(BATCH_ROWS))
-    return df
+def forget(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` frame, which nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` over a task's batches, after which freed memory goes back to the
-    system: Spark keeps Python workers for the stages that follow."""
+    """``run`` over a task's batches, in pieces of ``BATCH_ROWS`` rows whatever the
+    session's Arrow batches are.  Freed memory goes back to the system at the end:
+    Spark keeps Python workers for the stages that follow."""
+
+    def pieces(batches):
+        for batch in batches:
+            for s in range(0, max(1, len(batch)), BATCH_ROWS):
+                yield batch.iloc[s : s + BATCH_ROWS].reset_index(drop=True) if isinstance(batch, pd.DataFrame) else batch.slice(s, BATCH_ROWS)
 
     def wrapped(batches):
-        yield from run(batches)
+        yield from run(pieces(batches))
         gc.collect()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # a C library without it

@@ -11,9 +11,9 @@ the random code, of several drawn from a fixed seed, whose codewords are
 furthest apart.
 
 Learning takes documents with a language and ``crc32(doc_id) mod 4 <> 2``, of
-these at most ``TRAIN_ROWS / languages`` a language by a hash of the id (a
-bounded sample; at most ``LANGUAGES`` languages, the commonest).  All texts are
-predicted whole, in one pass without a shuffle.
+these at most ``TRAIN_ROWS / languages`` a language, ``LEAST`` where that is less,
+by a hash of the id.  Every language is learned; the sample grows with the number
+of languages only.  All texts are predicted whole, in one pass without a shuffle.
 
 Null text or text without a letter: ``und``, score 0.  Nothing to learn from:
 ``und``, score 0.  Null or repeated doc_id: rows stay (``held_out`` is false for
@@ -22,7 +22,6 @@ null).  Empty table: no rows.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,13 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, fold_of, frugal, lean
+from .common import documents, fold_of, frugal
 
-TRAIN_ROWS, LANGUAGES, LEAST, BITS, ROUNDS, SEED = 2_400, 200, 12, 12, 120, 7
+TRAIN_ROWS, LEAST, BITS, ROUNDS, SEED = 2_400, 8, 12, 120, 7
 FOLDS, HELD_OUT = 4, 2
 #: Two best codewords closer than this part of the worst loss: ambiguous.
 CLOSE = 0.08
-LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 
 
@@ -53,6 +51,10 @@ def _plain() -> np.ndarray:
 PLAIN = _plain()
 
 
+def lettered(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def grams(text: str, bits: int = BITS) -> np.ndarray:
     """Unit vector of hashed 1- to 4-grams of bytes, square roots of counts."""
     b = PLAIN[np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)].astype(np.uint32)
@@ -105,10 +107,10 @@ def learn(x: np.ndarray, target: np.ndarray, rounds: int = ROUNDS, ridge: float
     return w
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = LANGUAGES, least: int = LEAST) -> Model | None:
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, least: int = LEAST) -> Model | None:
     """docs(doc_id, text, lang) -> the model; None if no language can be learned."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT).select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
+    sizes = known.groupBy("lang").count().collect()  # a row a language
     if not sizes:
         return None
     share = max(least, rows // len(sizes))
@@ -120,7 +122,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = LANGUAGES, least:
 
     def vectors(batches):
         for pdf in batches:
-            keep = [bool(LETTER.search(t)) for t in pdf.text]
+            keep = [lettered(t) for t in pdf.text]
             pdf = pdf[keep]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "lang": pdf.lang.astype(object), "v": pd.Series([grams(t).astype(np.float16).tobytes() for t in pdf.text], index=pdf.index, dtype=object)})
 
@@ -157,7 +159,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf.text]
-            able = np.array([bool(model) and bool(LETTER.search(t)) for t in texts], bool)
+            able = np.array([bool(model) and lettered(t) for t in texts], bool)
             lang, score, close = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts), bool)
             if able.any():
                 where = np.flatnonzero(able)
@@ -168,7 +170,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": pdf.held_out, "lang_pred": pd.Series(lang, dtype=object), "score": score, "ambiguous": close})
 
     held_out = F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
-    return lean(docs).select("doc_id", "text", held_out.alias("held_out")).mapInPandas(frugal(run), SCHEMA)
+    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInPandas(frugal(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

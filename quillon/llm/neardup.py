@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCodes, cut, documents, frugal, lean, mix, shift_pair
+from .common import WordCodes, cut, documents, frugal, mix, shift_pair
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
             n, digest, band, odd = zip(*out, strict=True) if out else ([],) * 4
             yield pd.DataFrame({"doc_id": pdf.doc_id, "n_shingles": n, "digest": pd.Series(digest, dtype=object, index=pdf.index), "bands": pd.Series(band, dtype=object, index=pdf.index), "odd": pd.Series(odd, dtype=object, index=pdf.index)})
 
-    return lean(docs).select("doc_id", "text").mapInPandas(frugal(run), "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>")
+    return docs.select("doc_id", "text").mapInPandas(frugal(run), "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>")
 
 
 def confirmed(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
@@ -212,7 +212,7 @@ def crowded(met: DataFrame, placed: DataFrame, most: int, crowd: int) -> DataFra
         return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype=np.int64)
 
     blocks = asks.unionByName(told).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return lean(blocks).mapInPandas(frugal(compare), "a long, b long")
+    return blocks.mapInPandas(frugal(compare), "a long, b long")
 
 
 def links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:

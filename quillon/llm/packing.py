@@ -15,16 +15,18 @@ cheaper.  Memory: tokens are held for ``STRETCH`` of them at a time; the program
 is settled whenever that many have gathered, and what follows the last full
 window stays for the next round.
 
-Ids: each word between ASCII white space is tokenised once and remembered, up to
-a bounded number of words; that gives the same ids as the whole text, for the
-tokenizer drops white space and joins nothing across it.  Texts with a special token's string go to the tokenizer
-whole.  A document ends with id 1 and so has a piece even if its text is null
+Ids: with a tokenizer of the kind ``BY_WORD`` describes, each word between ASCII
+white space is tokenised once and remembered, up to a bounded number of words;
+that gives the same ids as the whole text, for such a tokenizer drops white space
+and joins nothing across it.  Texts with a special token's string, and all texts
+for a tokenizer of another kind, go to the tokenizer whole.  A document ends with id 1 and so has a piece even if its text is null
 or empty.  Null or repeated doc_id: rows stay.  Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 import zlib
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, frugal, lean
+from .common import documents, frugal
 
 SIZE, END, STRETCH = 2048, 1, 262_144
 #: Cost in tokens of ending a window at a sentence, or inside one, and of a window.
@@ -46,6 +48,18 @@ TOKENIZER = "word_bpe_49k.json"
 SENTENCE = re.compile(rb"(?<=[.!?])[ \t-\r]+")
 LAST = END.to_bytes(4, "little")
 SIGNS = b".,;:!?"
+#: What a tokenizer does before its model, for its texts to be tokenised by words.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -109,6 +123,8 @@ class Encoder(dict):
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        kind = json.loads(self.tokenizer.to_str())
+        self.by_word = all(kind[part] == how for part, how in BY_WORD.items()) and all(not t["normalized"] for t in kind["added_tokens"])
         self.limit = limit
 
     def whole(self, text: str) -> bytes:
@@ -127,7 +143,7 @@ class Encoder(dict):
         return ids
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if self.special and self.special.search(text):
+        if not self.by_word or (self.special and self.special.search(text)):
             return np.frombuffer(self.whole(text) + LAST, "<u4"), np.zeros(0, np.int64)
         get = self.__getitem__
         parts = [b"".join(map(get, s.split())) for s in SENTENCE.split(text.encode("utf-8", "surrogatepass").lower())]
@@ -229,7 +245,7 @@ def pack(docs: DataFrame, size: int = SIZE, path: str | Callable[[], str] | None
         if rows:
             yield packed(rows)
 
-    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

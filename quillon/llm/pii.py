@@ -28,12 +28,13 @@ import hashlib
 import itertools
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, frugal, lean
+from .common import documents, frugal
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
@@ -92,12 +93,22 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 # The field.
 
-TOKEN = re.compile(r"\S+")
-MARKED = re.compile(r"\S*[0-9@]\S*")
+#: From a token's first digit or ``@`` to its end.
+FROM_MARK = re.compile(r"[0-9@]\S*")
 RUNS = re.compile(r"[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]")
 EDGE = "\"'`,;:!?<>[]{}|*#%&$"
 
 
+def marked(text: str) -> Iterator[Span]:
+    """Tokens with a digit or ``@``; each character is looked at twice at most."""
+    free = 0
+    for m in FROM_MARK.finditer(text):
+        start = m.start()
+        while start > free and not text[start - 1].isspace():
+            start -= 1
+        yield start, (free := m.end())
+
+
 def shape(token: str) -> str:
     """Runs of one class with their length, up to eight runs."""
     parts = []
@@ -168,7 +179,7 @@ class Field:
         for k, (tokens, labels) in enumerate(table):
             m = len(tokens)
             x[k, :m], y[k, :m], on[k, :m] = rows[k], labels, True
-            free[k, :m] = [bool(MARKED.fullmatch(t)) for t in tokens]
+            free[k, :m] = [bool(FROM_MARK.search(t)) for t in tokens]
         size = len(LABELS)
         self.weights, self.step = np.zeros((len(self.index), size)), np.zeros((size, size))
         gw, gs = np.full_like(self.weights, 1e-8), np.full_like(self.step, 1e-8)
@@ -316,13 +327,13 @@ def added(texts: list[str], base: list[dict[str, list[Span]]]) -> list[list[tupl
         if not text or not ("@" in text or DIGIT.search(text)):
             continue
         taken[d] = sorted(s for spans in base[d].values() for s in spans)
-        run: list[re.Match] = []
-        for m in MARKED.finditer(text):
-            if run and text[run[-1].end() : m.start()].strip():
+        run: list[Span] = []
+        for span in marked(text):
+            if run and text[run[-1][1] : span[0]].strip():
                 chains.append(run)
                 places.append(d)
                 run = []
-            run.append(m)
+            run.append(span)
         if run:
             chains.append(run)
             places.append(d)
@@ -332,9 +343,9 @@ def added(texts: list[str], base: list[dict[str, list[Span]]]) -> list[list[tupl
     score = []
     for d, run in zip(places, chains, strict=True):
         text = texts[d]
-        before = text[max(0, run[0].start() - 64) : run[0].start()].split()
-        after = text[run[-1].end() : run[-1].end() + 64].split()
-        score.append(model.emissions([*(before[-1:] or ["^"]), *(m[0] for m in run), *(after[:1] or ["$"])]))
+        start, end = run[0][0], run[-1][1]
+        before, after = text[max(0, start - 64) : start].split(), text[end : end + 64].split()
+        score.append(model.emissions([*(before[-1:] or ["^"]), *(text[slice(*span)] for span in run), *(after[:1] or ["$"])]))
     for d, run, path in zip(places, chains, model.decode(score), strict=True):
         text, i = texts[d], 0
         while i < len(run):
@@ -343,7 +354,7 @@ def added(texts: list[str], base: list[dict[str, list[Span]]]) -> list[list[tupl
                 j += 1
             if path[i]:
                 kind = LABELS[path[i]]
-                spans[d] += [(kind, *p) for p in parts(kind, text, [m.span() for m in run[i : j + 1]], taken[d])]
+                spans[d] += [(kind, *p) for p in parts(kind, text, run[i : j + 1], taken[d])]
             i = j + 1
     return spans
 
@@ -370,7 +381,7 @@ def spans(docs: DataFrame) -> DataFrame:
             out["spans"] = [",".join(f"{k}:{s}:{e}" for k, s, e in e_) for e_ in every]
             yield pd.DataFrame(out)
 
-    return lean(docs).select("doc_id", "text").mapInPandas(frugal(run), SCHEMA)
+    return docs.select("doc_id", "text").mapInPandas(frugal(run), SCHEMA)
 
 
 def mask(text: str, every: list[tuple[str, int, int]]) -> str:
@@ -405,7 +416,7 @@ def masked(docs: DataFrame) -> DataFrame:
                     columns.append(batch[name])
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return lean(docs).mapInArrow(frugal(run), schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

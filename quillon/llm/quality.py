@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCodes, cut, documents, frugal, lean, shift_pair, words_of
+from .common import WordCodes, cut, documents, frugal, shift_pair, words_of
 
 COVER, STEPS, RINGS, LEAST, CUT = 0.75, 4, 64, 60, 5.1
 SIGNS = "#*$%&|<>"
@@ -95,7 +95,7 @@ def stats(docs: DataFrame) -> DataFrame:
                 out[name] = got[:, i]
             yield out
 
-    counts = lean(docs).select("doc_id", "text", "lang", "source").mapInPandas(frugal(run), "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    counts = docs.select("doc_id", "text", "lang", "source").mapInPandas(frugal(run), "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
     return counts.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 

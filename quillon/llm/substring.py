@@ -46,7 +46,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCodes, cut, documents, frugal, lean, mix, shift_pair, words_of
+from .common import WordCodes, cut, documents, frugal, mix, shift_pair, words_of
 
 WINDOW, GRAM = 20, 8
 #: Suffixes a group, anchors a bucket, words a stretch.
@@ -131,7 +131,7 @@ def prefix_counts(docs: DataFrame, window: int) -> DataFrame:
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"bin": hit, "n": total[hit]})
 
-    return lean(docs).select("text").mapInPandas(frugal(run), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(frugal(run), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
 def bins(s: Stretch, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

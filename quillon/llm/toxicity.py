@@ -18,8 +18,8 @@ share of matching words is the score.  It is fitted on training texts which
 the lexicon was not learned from.
 
 Learning takes rows of ``labels`` with ``crc32(doc_id) mod 5 <> 0``, of these at
-most ``TRAIN_ROWS`` by a hash of the id, which bounds the model; all documents
-are scored, over whole texts, in one pass without a shuffle.
+most ``TRAIN_ROWS`` by a hash of the id, and keeps at most ``ENTRIES`` entries and
+as many exception phrases, which bounds the model; all documents are scored, over whole texts, in one pass without a shuffle.
 
 Null or empty text: the score of no match.  No labels: score 0.  Rows of labels
 without id or label are not used.  Null or repeated doc_id: rows stay (``held_out``
@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, fold_of, frugal, lean, table
+from .common import cut, documents, fold_of, frugal, table
 
 TRAIN_ROWS, ENTRIES, LEAST_DOCS, LEAST_ODDS = 20_000, 4_000, 4, 2.0
 BEGINNINGS = (4, 5, 6, 7, 8, 10)
@@ -64,7 +64,8 @@ def _table() -> dict[int, str]:
 
 
 FOLD = _table()
-SIGN_IN_WORD = re.compile(r"\$+(?=\w)")
+#: A whole run of signs before a letter; no run is tried twice.
+SIGN_IN_WORD = re.compile(r"(?<!\$)\$++(?=\w)")
 
 
 def fold(text: str | None) -> str:
@@ -149,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic) -> the model."""
     chosen = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     chosen = chosen.where(fold_of(F.col("id"), FOLDS) != HELD_OUT).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(rows)
-    sample = lean(docs).select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
     sample = cut(sample.select("text", "y", (F.pmod(F.xxhash64("id", F.lit("part")), F.lit(10)) < 3).alias("curve")).repartition(12))
     learn, curve = sample.where("not curve"), sample.where("curve")
 
@@ -228,7 +229,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": pdf.held_out, "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
     held_out = F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
-    return lean(docs).select("doc_id", "text", held_out.alias("held_out")).mapInPandas(frugal(run), SCHEMA)
+    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInPandas(frugal(run), SCHEMA)
 
 
 def filtered(docs: DataFrame, model: Model) -> DataFrame:
@@ -241,7 +242,7 @@ def filtered(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([evidence(a, fold(t)) for t in batch["text"].to_pylist()], float).reshape(-1, 4)
             yield batch.filter(pa_bools(w[0] + x @ w[1:] < 0))
 
-    return lean(docs).select(*names).mapInArrow(frugal(run), schema)
+    return docs.select(*names).mapInArrow(frugal(run), schema)
 
 
 def pa_bools(values: np.ndarray):

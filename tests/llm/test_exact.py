@@ -243,6 +243,19 @@ def test_packing(spark):
     assert packing.pack(frame(spark, [(1, None, None, None, None, None)])).first().doc_tokens == 1
 
 
+def test_packing_by_another_tokenizer(spark):
+    """A tokenizer that isn't of the fast path's kind tokenises whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, rows = Tokenizer.from_file(path), [(1, "One two,  three.\n Four É", None, None, None, None), (2, "", None, None, None, None)]
+    assert packing.encoder(public_tokenizers.path(packing.TOKENIZER)).by_word and not packing.encoder(path).by_word
+    for r in packing.pack(frame(spark, rows), path=path).collect():
+        ids = [*tokenizer.encode(rows[r.doc_id - 1][1], add_special_tokens=False).ids, 1][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
 def test_windows_against_force():
     rng = np.random.default_rng(6)
     for _ in range(60):
@@ -311,11 +324,54 @@ def test_lists_of_numbers(text):
 def test_parts_of_runs():
     """Long lists are cut into items, and line ends are respected."""
     text = "\n".join(f"555-{100 + k}-{1000 + k}" for k in range(500))
-    tokens = [m.span() for m in pii.MARKED.finditer(text)]
+    tokens = list(pii.marked(text))
     assert pii.parts("phone", text, tokens, []) == tokens
     assert pii.parts("phone", text, tokens[:3], [tokens[1]]) == [tokens[0], tokens[2]]
     text = "020 7946 0958\n020 7946 0959 12"
-    assert [text[s:e] for s, e in pii.parts("phone", text, [m.span() for m in pii.MARKED.finditer(text)], [])][0] == "020 7946 0958"
+    assert [text[s:e] for s, e in pii.parts("phone", text, list(pii.marked(text)), [])][0] == "020 7946 0958"
+
+
+def test_marked_tokens_against_force():
+    import random
+    import re
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab1@ \n\u3000\x1c") for _ in range(rng.randrange(30)))
+        assert list(pii.marked(text)) == [m.span() for m in re.finditer(r"\S*[0-9@]\S*", text)]
+
+
+@pytest.mark.parametrize("text", ["x" * 1_000_000 + "1", "x" * 1_000_000 + " 1", "1" * 1_000_000, "a@" * 500_000, "+1(" * 300_000, "1." * 500_000, "$" * 1_000_000, "1 " * 200_000])
+def test_long_tokens_take_linear_time(text):
+    from time import process_time
+
+    from quillon.llm import toxicity
+
+    pii.field()
+    automaton, start = toxicity.Model({" bad": 2.0}).automaton(), process_time()
+    pii.base_spans(text)
+    assert len(list(pii.marked(text))) <= text.count(" ") + 1
+    toxicity.evidence(automaton, toxicity.fold(text))
+    assert process_time() - start < 2
+    start = process_time()
+    pii.find([text[:200_000]])
+    assert process_time() - start < 20
+
+
+def test_viterbi_against_enumeration():
+    import itertools
+
+    model, rng = pii.field(), np.random.default_rng(5)
+    labels = range(len(pii.LABELS))
+    for length in (1, 2, 3, 4):
+        chains = [rng.normal(0, 3, (length, len(pii.LABELS))) for _ in range(20)]
+        for chain, path in zip(chains, model.decode(chains), strict=True):
+            def worth(p, chain=chain):
+                steps = zip((0, *p), (*p, 0), strict=True)
+                return sum(chain[t, k] for t, k in enumerate(p)) + sum(model.step[a, b] for a, b in steps)
+
+            best = max(itertools.product(labels, repeat=length), key=worth)
+            assert worth(tuple(path.tolist())) == pytest.approx(worth(best))
 
 
 def test_field_learns():

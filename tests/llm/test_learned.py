@@ -25,6 +25,51 @@ def test_matches_and_exceptions():
     assert toxicity.matches(a, toxicity.fold("bad luck")) == []
 
 
+def test_matches_against_force():
+    """The automaton's matches are those of a naive search, over random texts."""
+    rng = random.Random(12)
+    for _ in range(400):
+        piece = lambda k: "".join(rng.choice("ab ") for _ in range(k))
+        entries = {f" {piece(rng.randrange(1, 5))}".rstrip() + rng.choice(["", " "]): rng.choice([0.5, 1.0, 2.0]) for _ in range(6)}
+        entries = {e: w for e, w in entries.items() if e.strip()}
+        phrases = [p for p in {f" {piece(4).strip()} {piece(3).strip()} " for _ in range(3)} if p not in entries]
+        folded = f" {piece(40)} "
+        best = {}
+        for start in range(len(folded)):
+            for e, w in entries.items():
+                if folded.startswith(e, start) and len(e) > best.get(start, (0, 0))[0]:
+                    best[start] = (len(e), w)
+        spans = [(s, s + len(p) - 1) for p in phrases for s in range(len(folded)) if folded.startswith(p, s)]
+        want = [(s, n, w) for s, (n, w) in sorted(best.items()) if not any(a <= s and b >= s + min(n, 2) for a, b in spans)]
+        assert sorted(toxicity.matches(toxicity.Model(entries, phrases).automaton(), folded)) == want
+
+
+def test_decoding_against_force():
+    """Loss-weighted decoding chooses the codeword of least weighted loss."""
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 5, 9):
+        code = language.codewords(n)
+        trust = rng.uniform(0.05, 1, code.shape[1])
+        model = language.Model([f"l{k}" for k in range(n)], code, None, trust / trust.sum())
+        margins = rng.normal(0, 2, (50, code.shape[1]))
+        best, score, close = language.decode(model, margins)
+        for m, b, s, c in zip(margins, best, score, close, strict=True):
+            loss = [sum(t * np.log1p(np.exp(-x * bit)) for t, x, bit in zip(model.trust, m, word, strict=True)) for word in code]
+            low, second = sorted(loss)[:2]
+            assert loss[b] == pytest.approx(low) and 0 < s <= 1 and c == ((second - low) / max(loss) < language.CLOSE)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the sample has rows for: each keeps its least share."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{chr(0x4E00 + i % 30)}{rng.choice('xyz')}" for _ in range(20)), f"l{i % 30:02}", "s", None, None) for i in range(900)]
+    model = language.train(frame(spark, rows), rows=60)
+    assert len(model.languages) == 30
+    got = {r.doc_id: r.lang_pred for r in language.predict(frame(spark, rows), model).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert np.mean([got[r[0]] == r[2] for r in held]) > 0.9
+
+
 def toxic_corpus(n=900):
     rng = random.Random(9)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
@@ -68,7 +113,7 @@ def test_language(spark):
     for i in range(600):
         lang = list(letters)[i % 4]
         rows.append((i, "".join(rng.choice(letters[lang]) for _ in range(rng.randrange(20, 200))) + "a", lang, "s", None, None))
-    rows += [(9000, None, "aa", None, None, None), (9001, "12 !?", "bb", None, None, None), (9002, "fghi jfgh", None, None, None, None)]
+    rows += [(9000, None, "aa", None, None, None), (9001, "12 !? ²½Ⅷ", "bb", None, None, None), (9002, "fghi jfgh", None, None, None, None)]
     got = {r.doc_id: r for r in language.predict(frame(spark, rows), language.train(frame(spark, rows))).collect()}
     held = [r for r in rows[:600] if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     assert np.mean([got[r[0]].lang_pred == r[2] for r in held]) > 0.98 and all(got[r[0]].held_out for r in held)
