@@ -15,19 +15,27 @@ group is what links connect.
    other classes are in several clusters then compares the sketches of all
    pairs from different clusters, in blocks, and what passes joins the clusters:
    each pair that shares a bucket is in one cluster or was rejected by its sketches.
-3. Full sets confirm: every member against its cluster's least member; where
-   some fail, those against all members of the cluster, in blocks, since they
-   may be linked to any.  Members confirmed against the same one need no pairs
-   among themselves.  A block gives only links that join groups.
+3. Full sets confirm: every member against its cluster's least member, its hub.
+   Members confirmed against the hub need no pairs among themselves; the others
+   may be linked to any member, and each cluster takes the cheaper of two exact
+   ways.  In blocks they meet all members, and a block gives only links that
+   join groups.  Or they meet the members that share a rare shingle: of two
+   linked sets the rarest ``n - ceil(percent n / 100) + 1`` shingles have one in
+   common, in any order of the shingles, here by counts in some of the cluster's
+   rows.  That keeps a site whose pages share a template, but little else, from
+   all its pairs.  The ways' costs are the sets to move, counted beforehand.
 4. The links' components are the groups.
 
 Chances: a pair at similarity s shares no band with probability
 ``(1 - s ** ROWS) ** BANDS``: 5e-11 at 0.85, 5e-8 at 0.8.
 
 Scale: no bucket or cluster is gathered in one place.  Buckets are minima and
-maxima with partial aggregation, joins may be split by the optimiser, blocks
-have ``BLOCK`` rows of sets or ``CROWD`` of sketches.  A bucket's pairs outside
-its largest cluster are quadratic, in numpy; no pair of them is left out.  Text moves once, to meet the members of clusters.
+maxima with partial aggregation; ``SPOKES`` members share a copy of their hub;
+blocks have ``BLOCK`` rows of sets or ``CROWD`` of sketches, and a shingle's rows
+are dealt into parts of ``BLOCK``.  A bucket's pairs outside its largest cluster
+are quadratic in sketches, in numpy, and so are a cluster's whose members are
+nearly all alike but not linked with the hub; no pair of them is left out.  Text
+moves once, to meet the members of clusters.
 
 Fewer words than a shingle: the whole sequence is the one shingle.  Null text
 or text without words: empty set, linked with nothing.  Null doc_id: linked
@@ -42,14 +50,16 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCodes, cut, documents, frugal, mix, shift_pair
+from .common import WordCodes, cut, documents, forget, frugal, mix, shift_pair, stored
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS, BITS, SEED, BLOCK, CROWD = 32, 4, 512, 31, 256, 1024
+#: Members that meet one copy of their hub; keys of a cluster known to be common.
+SPOKES, COMMON = 4096, 8192
 #: An estimate so far below the bound drops a pair: six standard errors and more.
 SLACK = 0.25
 
@@ -192,9 +202,8 @@ def crowded(met: DataFrame, placed: DataFrame, most: int, crowd: int) -> DataFra
     shares = shares.agg(F.max(F.struct("n", "cluster")).alias("main"), F.sum("n").alias("members")).where("main.n < members")
     shares = shares.select("key", F.col("main.cluster").alias("main"), F.ceil((F.col("members") - F.col("main.n")) / crowd).cast("int").alias("ask_blocks"), F.ceil(F.col("members") / crowd).cast("int").alias("blocks"))
     rest = rest.join(shares, "key")
-    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
-    asks = rest.where("cluster <> main").select("key", "cluster", "odd", F.lit(True).alias("asks"), deal("a", "ask_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    told = rest.select("key", "cluster", "odd", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("i"), deal("m", "blocks").alias("j"))
+    asks = rest.where("cluster <> main").select("key", "cluster", "odd", F.lit(True).alias("asks"), dealt("a", "ask_blocks", "rep").alias("i"), every("blocks").alias("j"))
+    told = rest.select("key", "cluster", "odd", F.lit(False).alias("asks"), every("ask_blocks").alias("i"), dealt("m", "blocks", "rep").alias("j"))
 
     def compare(batches):
         held = None
@@ -220,7 +229,7 @@ def links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, bands: i
     that connect what all links connect."""
     entries = reps.select("rep", F.explode("bands").alias("key"))
     ends = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    met = cut(entries.join(ends, "key"))
+    met = stored(entries.join(ends, "key"), "buckets")
     pairs = met.select("rep", F.explode(F.array("lo", "hi")).alias("end")).where("rep <> end")
     pairs = pairs.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
     odd = reps.select("rep", "odd")
@@ -231,15 +240,18 @@ def links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, bands: i
     placed = cut(odd.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "odd", F.coalesce("component", "rep").alias("cluster"), F.col("component").isNotNull().alias("linked")))
     wider = components(crowded(met, placed, most, crowd)).select(F.col("node").alias("cluster"), F.col("component").alias("wide"))
     member = placed.join(wider, "cluster", "left").where("linked or wide is not null")
-    member = cut(member.select(F.col("rep").alias("doc_id"), F.coalesce("wide", "cluster").alias("cluster")))
+    member = member.select(F.col("rep").alias("doc_id"), F.coalesce("wide", "cluster").alias("cluster"))
+    shares = member.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / SPOKES).cast("int").alias("shares"))
+    member = cut(member.join(shares, "cluster").withColumn("share", dealt("s", "shares")))
+    forget(met)
 
     def gather(batches):
         codes = WordCodes()
         for pdf in batches:
             sets = [shingles(t, codes, shingle).tobytes() for t in pdf.text]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "cluster": pdf.cluster, "keys": pd.Series(sets, dtype=object, index=pdf.index)})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "cluster": pdf.cluster, "share": pdf["share"], "shares": pdf.shares, "keys": pd.Series(sets, dtype=object, index=pdf.index)})
 
-    sets = docs.select("doc_id", "text").where("text is not null").join(member, "doc_id").mapInPandas(frugal(gather), "doc_id long, cluster long, keys binary")
+    sets = docs.select("doc_id", "text").where("text is not null").join(member, "doc_id").mapInPandas(frugal(gather), "doc_id long, cluster long, share int, shares int, keys binary")
     sets = cut(sets)
 
     def against(batches):
@@ -247,24 +259,105 @@ def links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, bands: i
             hit = [a == c or confirmed(np.frombuffer(k, np.uint64), np.frombuffer(h, np.uint64), percent) for a, c, k, h in zip(pdf.doc_id, pdf.cluster, pdf["keys"], pdf["hub"], strict=True)]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "cluster": pdf.cluster, "hit": hit})
 
-    hubs = sets.where("doc_id = cluster").select("cluster", F.col("keys").alias("hub")).dropDuplicates(["cluster"])
-    tried = cut(sets.join(hubs, "cluster").mapInPandas(frugal(against), "doc_id long, cluster long, hit boolean").groupBy("doc_id", "cluster").agg(F.max("hit").alias("hit")))
+    hubs = sets.where("doc_id = cluster").dropDuplicates(["cluster"]).select("cluster", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("keys").alias("hub"))
+    tried = cut(sets.join(hubs, ["cluster", "share"]).mapInPandas(frugal(against), "doc_id long, cluster long, hit boolean").groupBy("doc_id", "cluster").agg(F.max("hit").alias("hit")))
     star = tried.where("hit and doc_id <> cluster").select(F.col("cluster").alias("a"), F.col("doc_id").alias("b"))
-    # clusters of more than the hub and its friends, in blocks of askers and members
+    # clusters of more than the hub and its friends
     size = tried.groupBy("cluster").agg(F.count_if(~F.col("hit")).alias("askers"), F.count(F.lit(1)).alias("members")).where("askers > 0 and members > 2")
-    size = size.select("cluster", F.ceil(F.col("askers") / block).cast("int").alias("ask_blocks"), F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    rest = sets.join(tried, ["doc_id", "cluster"]).join(size, "cluster")
-    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.col(n)).cast("int")
-    asks = rest.where("not hit").select("cluster", "doc_id", "keys", "hit", F.lit(True).alias("asks"), deal("a", "ask_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    told = rest.select("cluster", "doc_id", "keys", "hit", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("i"), deal("m", "blocks").alias("j"))
+    size = cut(size.select("cluster", "members", F.ceil(F.col("askers") / block).cast("int").alias("ask_blocks"), F.ceil(F.col("members") / block).cast("int").alias("blocks")))
+    rest = sets.select("doc_id", "cluster", "keys").join(tried, ["doc_id", "cluster"])
+    large = rest.join(size.where("blocks > 1"), "cluster")
+    prefixes = cut(rare_prefixes(large, percent, block))
+    shared = prefixes.groupBy("cluster", "key").agg(F.count_if("asks").alias("a"), F.count(F.lit(1)).alias("m")).where("a > 0 and m > 1")
+    by_pairs = shared.groupBy("cluster").agg(F.sum(F.col("a") * F.col("m")).alias("pairs")).join(size, "cluster").where(F.col("pairs") <= F.col("ask_blocks") * F.col("blocks") * block)
+    by_pairs = cut(by_pairs.select("cluster").unionByName(size.where("blocks > 1").join(shared, "cluster", "left_anti").select("cluster")))
+    few = paired(prefixes.join(by_pairs, "cluster", "left_semi"), shared, rest, percent, block)
+    return star.unionByName(few).unionByName(blocked(rest.join(size, "cluster").join(by_pairs, "cluster", "left_anti"), percent))
+
+
+def dealt(salt: str, n: str, by: str = "doc_id") -> Column:
+    """One of the ``n`` parts for a row, by a hash of its id."""
+    return F.pmod(F.xxhash64(F.lit(salt), by), F.col(n)).cast("int")
+
+
+def every(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def blocked(rest: DataFrame, percent: int) -> DataFrame:
+    """Links of ``rest(cluster, doc_id, keys, hit, ask_blocks, blocks)`` that join groups: in each
+    cluster, blocks of the rows that missed the hub meet blocks of all rows."""
+    asks = rest.where("not hit").select("cluster", "doc_id", "keys", "hit", F.lit(True).alias("asks"), dealt("a", "ask_blocks").alias("i"), every("blocks").alias("j"))
+    told = rest.select("cluster", "doc_id", "keys", "hit", F.lit(False).alias("asks"), every("ask_blocks").alias("i"), dealt("m", "blocks").alias("j"))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "asks"])
         found = block_links(part.doc_id.tolist(), [np.frombuffer(k, np.uint64) for k in part["keys"]], (~part.hit).tolist(), part.asks.to_numpy(bool), percent, int(part.cluster.iloc[0]))
         return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype=np.int64)
 
-    more = asks.unionByName(told).groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
-    return star.unionByName(more)
+    return asks.unionByName(told).groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def common_keys(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest keys that two sets or more hold, sorted, with their counts."""
+    key, n = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in sets]), return_counts=True)
+    top = np.sort(np.argsort(-n, kind="stable")[:COMMON])
+    top = top[n[top] > 1]
+    return key[top], n[top]
+
+
+def rare_prefix(keys: np.ndarray, known: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest keys of a set, so many that a set linked with it has one of them among its own."""
+    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+    seen = np.where(known[at] == keys, count[at], 0) if len(known) else np.zeros(len(keys), np.int64)
+    need = -(-percent * len(keys) // 100)
+    return keys[np.lexsort((mix(keys), seen))[: len(keys) - need + 1]]
+
+
+def rare_prefixes(large: DataFrame, percent: int, block: int) -> DataFrame:
+    """cluster, key, doc_id, n, asks: the rare prefixes of the rows of large clusters.
+
+    What is rare in a cluster is judged by some ``block`` of its rows.  That decides the order
+    of keys, any of which is right, and so only how many pairs there are to confirm.
+    """
+
+    def common(part: pd.DataFrame) -> pd.DataFrame:
+        key, n = common_keys(part["keys"].tolist())
+        return pd.DataFrame({"cluster": part.cluster[:1], "blocks": part.blocks[:1], "known": [key.tobytes()], "counts": [n.astype(np.int64).tobytes()]})
+
+    def cut_off(part: pd.DataFrame) -> pd.DataFrame:
+        head = part[part.known.notna()]
+        known, counts = (np.frombuffer(head[c].iloc[0], t) if len(head) else np.zeros(0, t) for c, t in (("known", np.uint64), ("counts", np.int64)))
+        rows = part[part["keys"].notna()]
+        own = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
+        found = [rare_prefix(k, known, counts, percent) for k in own]
+        length = np.array([len(k) for k in found], np.int64)
+        again = lambda values: np.repeat(np.asarray(values), length)
+        return pd.DataFrame({"cluster": again(rows.cluster), "key": np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64), "doc_id": again(rows.doc_id), "n": again([len(k) for k in own]), "asks": again(~rows.hit.astype(bool))})
+
+    some = large.where(F.pmod(F.xxhash64(F.lit("c"), "doc_id"), F.col("blocks")) == 0)
+    heads = some.select("cluster", "blocks", "keys").groupBy("cluster").applyInPandas(common, "cluster long, blocks int, known binary, counts binary")
+    none = lambda kind: F.lit(None).cast(kind)
+    heads = heads.select("cluster", every("blocks").alias("i"), "known", "counts", none("long").alias("doc_id"), none("binary").alias("keys"), none("boolean").alias("hit"))
+    rows = large.select("cluster", dealt("p", "blocks").alias("i"), none("binary").alias("known"), none("binary").alias("counts"), "doc_id", "keys", "hit")
+    return heads.unionByName(rows).groupBy("cluster", "i").applyInPandas(cut_off, "cluster long, key long, doc_id long, n long, asks boolean")
+
+
+def paired(prefixes: DataFrame, shared: DataFrame, rest: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links of rows of one cluster that share a rare key, one of them a row that missed the hub."""
+    rows = prefixes.join(shared.select("cluster", "key", F.ceil(F.col("m") / block).cast("int").alias("parts")), ["cluster", "key"])
+    asks = rows.where("asks").select("cluster", "key", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), every("parts").alias("part"))
+    told = rows.select("cluster", "key", F.col("doc_id").alias("y"), F.col("n").alias("y_n"), F.col("asks").alias("y_asks"), dealt("k", "parts").alias("part"))
+    alike = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
+    pairs = asks.join(told, ["cluster", "key", "part"]).where(alike & F.expr("x <> y and not (y_asks and x > y)")).select("x", "y").distinct()
+    left, right = (rest.select(F.col("doc_id").alias(c), F.col("keys").alias(f"{c}_keys")) for c in "xy")
+
+    def check(batches):
+        for pdf in batches:
+            hit = np.array([confirmed(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(pdf.x_keys, pdf.y_keys, strict=True)], bool)
+            yield pd.DataFrame({"a": pdf.x[hit], "b": pdf.y[hit]})
+
+    return pairs.join(left, "x").join(right, "y").mapInPandas(frugal(check), "a long, b long")
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, **parameters) -> DataFrame:

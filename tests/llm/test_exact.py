@@ -127,6 +127,46 @@ def test_near_duplicates_between_strangers(spark, crowd):
     assert sorted(tuple(r) for r in found.collect()) == [(10 + k, 20 + k) for k in range(4)]
 
 
+def crowded_corpus(seed, others=800):
+    """Two near copies among documents that share some two thirds of their words with both."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{k}" for k in range(100)]
+    rows = [(1000, " ".join(base)), (1001, " ".join([*base[:96], "q0", "q1", "q2", "q3"]))]
+    for i in range(others):
+        rows.append((i if i % 2 else 2000 + i, " ".join([base[k] for k in rng.choice(96, 62, replace=False)] + [f"u{i}_{k}" for k in range(38)])))
+    return [(i, t, None, None, None, None) for i, t in rows]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_near_duplicates_in_crowded_buckets(spark, seed):
+    rows = crowded_corpus(seed)
+    assert by_id(neardup.groups(frame(spark, rows), shingle=1, percent=85), "n_shingles", "component_id") == groups_by_force(rows, 1, 85)
+
+
+def templated(seed, pages=160):
+    """A site: pages of one template, each with words of its own, some with near copies."""
+    rng, rows = np.random.default_rng(seed), []
+    head = [f"t{k}" for k in range(72)]
+    for i in range(pages):
+        own = [f"p{i}_{k}" for k in range(28)]
+        rows.append((i, " ".join(head + own)))
+        if i % 8 == 0:
+            rows += [(1000 + i * 4 + k, " ".join([*head, *own[: 24 - 3 * k], *(f"c{i}_{k}_{j}" for j in range(rng.integers(1, 4)))])) for k in range(3)]
+    return [(i, t, None, None, None, None) for i, t in rows]
+
+
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    """One cluster of pages that mostly aren't linked: pairs by rare shingles, not all pairs; either way is exact."""
+    rows = templated(3)
+    want = groups_by_force(rows, 1, 85)
+    assert len({c for _, c in want.values()}) > 150
+    moved, paired, blocked = [], neardup.paired, neardup.blocked
+    monkeypatch.setattr(neardup, "paired", lambda prefixes, *a: moved.append(prefixes.select("cluster").distinct().count()) or paired(prefixes, *a))
+    monkeypatch.setattr(neardup, "blocked", lambda rest, *a: moved.append(rest.count()) or blocked(rest, *a))
+    assert by_id(neardup.groups(frame(spark, rows), shingle=1, percent=85, block=4), "n_shingles", "component_id") == want
+    assert moved == [1, 0]
+
+
 def test_odd_sketch_estimates():
     signer, rng = neardup.Signer(32, 4, 512), np.random.default_rng(2)
     for share in (0.7, 0.8, 0.9):
