@@ -6,35 +6,42 @@ doc_id, or same document and earlier start).
 
 Suffixes of all documents would go into a suffix tree, whose internal nodes of
 depth ``WINDOW`` and more are the repeats.  The tree is never built in one
-place: suffixes are split by prefixes of variable length into groups of about
+place: suffixes are split by prefixes of variable length into groups of at most
 ``GROUP`` suffixes, and each group's subtree is built alone, down to depth
 ``WINDOW``, below which nothing matters here.
 
-1. Prefix counts.  One pass counts suffixes by first word and by first two
-   words in tables of fixed size.  A first word that begins few suffixes shares
-   a group with others; one that begins more is split by its second word, and
-   then by its first four, so long as a part is too large.
-2. Anchors.  Only suffixes whose window repeats matter.  Each window has a
-   minimizer, the least code of its ``GRAM``-word pieces, and equal windows have
-   equal ones.  Minimizers that two texts share, or one text has twice, mark
-   the windows worth keeping; nothing that repeats is lost.
-3. Subtrees.  The suffixes at marked windows go to their groups, where sorting
-   makes the subtree: its deep nodes are runs of equal windows.  Every suffix
-   of a node but the earliest is removed.
+1. Prefix counts.  A window's anchor is the first of its ``GRAM``-word pieces
+   with the least code; equal windows have equal anchors at the same distance.
+   One pass counts windows by the anchor's first word, two, four and eight words,
+   in tables of fixed size.  A window's group is that of the shortest of these
+   prefixes that no more than ``GROUP`` windows have; small prefixes share a group.
+   Windows whose anchor is more frequent than that at every length are split by
+   all of their words, so no prefix, however common, makes a large group.
+2. Marks.  Only suffixes whose window repeats matter.  Anchors' pieces that two
+   texts share, or one text has twice, mark the windows worth keeping; nothing
+   that repeats is lost.
+3. Subtrees.  Marked windows travel to their groups as stretches of a document's
+   words, a stretch for each run of windows with one anchor.  There the suffixes
+   from all windows' starts are sorted by their words and the lengths of the common
+   prefixes of neighbours are taken; a run of neighbours with ``WINDOW`` words and
+   more in common is what hangs below a deep node.  Every suffix of it but the
+   earliest is removed.
 4. Documents meet their removed windows and drop the words these cover.
 
 Copies of a whole text are no work: all windows of a copy start earlier in the
 copy with the smallest id, so only that one goes through 2 and 3.
 
-Hot windows: each task sends a window (or anchor) once for a stretch of
+Hot windows: each task sends a window (or mark) once for a stretch of
 ``STRETCH`` words, with its earliest place there; the other places in the stretch
-are known to repeat and go home by a key of their own, not by the window's.
-So a passage in a third of all documents meets as one row a stretch.
-
-Rows travel as packed binary, a group's rows of a stretch in one.  Windows are
-compared by two 64-bit codes.  Null text: no words.  Null doc_id: after all
-others.  Rows that share a doc_id count as one document, at whose places windows
-are removed alike.  Empty table: no rows.
+are known to repeat (by two 64-bit codes) and go home by a key of their own, not
+by the window's.  So a passage in a third of all documents meets as one row a
+stretch.
+
+Rows travel as packed binary, a group's rows of a stretch in one; words are
+64-bit codes.  Null text: no words.  Null doc_id: after all others.  Rows with
+one doc_id and one text are one document, at whose places windows are removed
+alike; other texts of that doc_id are documents of their own, in the order of
+their texts' hashes.  Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -49,11 +56,14 @@ from pyspark.sql import functions as F
 from .common import WordCodes, cut, documents, frugal, mix, shift_pair, words_of
 
 WINDOW, GRAM = 20, 8
-#: Suffixes a group, anchors a bucket, words a stretch.
-GROUP, BUCKET, STRETCH = 1_000_000, 1_500_000, 1_000_000
-FIRST, SECOND = 256, 64
+#: Suffixes a group, marks a bucket, words a stretch.
+GROUP, BUCKET, STRETCH = 400_000, 1_500_000, 1_000_000
+#: Lengths of prefixes, and bins of prefixes of each length.
+DEPTHS, BINS = (1, 2, 4, 8), 1 << 14
 ANCHOR = np.dtype([("code", "<u8"), ("text", "<u8")])
-PLACE = np.dtype([("code", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("at", "<i4")])
+#: A window's start in a document, and a stretch of ``n`` windows from there.
+PLACE = np.dtype([("doc", "<i8"), ("name", "<i8"), ("at", "<i4")])
+HEAD = np.dtype([*PLACE.descr, ("n", "<u1")])
 
 
 class Stretch:
@@ -92,13 +102,21 @@ class Stretch:
             near[:-d] |= code[:-d] == code[d:]
         return np.unique(code[near])
 
-    def minimizers(self, window: int, gram: int, places: np.ndarray) -> np.ndarray:
-        """Least piece code of the window at each of ``places``."""
-        least, span, width = mix(self.pieces(gram)), window - gram + 1, 1
+    def anchors(self, window: int, gram: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the window at each of ``places`` has its first piece of the least code, and that code."""
+        code, span, width = mix(self.pieces(gram)), window - gram + 1, 1
+        at = np.arange(len(code))
         while width * 2 <= span:
-            least = np.minimum(least[: len(least) - width], least[width:])
+            near, far = at[: len(at) - width], at[width:]
+            at = np.where(code[far] < code[near], far, near)
             width *= 2
-        return np.minimum(least[places], least[places + span - width])
+        near, far = at[places], at[places + span - width]
+        at = np.where(code[far] < code[near], far, near)
+        return at, code[at]
+
+    def prefixes(self, at: np.ndarray) -> list[np.ndarray]:
+        """The bin of the prefix of each length of the suffixes ``at``."""
+        return [(mix(self.pieces(depth))[at] % np.uint64(BINS)).astype(np.int64) for depth in DEPTHS]
 
 
 def stretches(batches, columns: tuple[str, ...], codes: WordCodes, most: int = STRETCH):
@@ -120,49 +138,48 @@ def stretches(batches, columns: tuple[str, ...], codes: WordCodes, most: int = S
 # 1. Groups by prefixes of variable length.
 
 
-def prefix_counts(docs: DataFrame, window: int) -> DataFrame:
-    """Suffixes by (first word, second word), each in bins."""
+def prefix_counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """Windows by bin of the prefix of each length of their anchors."""
 
     def run(batches):
-        codes, total = WordCodes(), np.zeros(FIRST * SECOND, np.int64)
+        codes, total = WordCodes(), np.zeros(len(DEPTHS) * BINS, np.int64)
         for _, s in stretches(batches, ("text",), codes):
             if len(where := s.whole(window)):
-                total += np.bincount(bins(s, where)[0], minlength=FIRST * SECOND)
+                for level, own in enumerate(s.prefixes(s.anchors(window, gram, where)[0])):
+                    total += np.bincount(own + level * BINS, minlength=len(total))
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"bin": hit, "n": total[hit]})
 
     return docs.select("text").mapInPandas(frugal(run), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
-def bins(s: Stretch, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bin of the first two words of each suffix, and the code of its first four."""
-    one, two = s.words[where], shift_pair(s.words[where], s.words[where + 1])
-    return ((one >> np.uint64(20)) % np.uint64(FIRST)).astype(np.int64) * SECOND + (two % np.uint64(SECOND)).astype(np.int64), shift_pair(two, shift_pair(s.words[where + 2], s.words[where + 3]))
-
-
-def grouping(counts: np.ndarray, most: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
-    """For each bin its first group, and in how many parts the first four words split it."""
-    first, parts = np.zeros(FIRST * SECOND, np.int64), np.ones(FIRST * SECOND, np.int64)
-    group = held = 0
-    for word in range(FIRST):
-        own = slice(word * SECOND, (word + 1) * SECOND)
-        steps = [own] if counts[own].sum() <= most else [slice(b, b + 1) for b in range(own.start, own.stop)]
-        for step in steps:
-            n = int(counts[step].sum())
-            if n > most:
-                split = -(-n // most)
-                group += held > 0
-                first[step], parts[step] = group, split
-                group, held = group + split, 0
-                continue
-            if held + n > most:
-                group, held = group + 1, 0
-            first[step] = group
-            held += n
-    return first, parts
+class Groups:
+    """The group of a window by the shortest prefix that is rare enough."""
+
+    def __init__(self, counts: np.ndarray, most: int = GROUP):
+        counts = counts.reshape(len(DEPTHS), BINS)
+        self.of_bin = np.full(counts.shape, -1, np.int64)
+        group = held = 0
+        for level, own in enumerate(counts.tolist()):
+            for b, n in enumerate(own):
+                if n > most:
+                    continue
+                if held + n > most:
+                    group, held = group + 1, 0
+                self.of_bin[level, b] = group
+                held += n
+        self.tail = group + 1
+        self.parts = max(1, -(-int(counts[-1][counts[-1] > most].sum()) // most))
 
+    def of(self, prefixes: list[np.ndarray], code: np.ndarray) -> np.ndarray:
+        """For windows by their anchors' bins and the codes of all their words."""
+        group = np.full(len(code), -1, np.int64)
+        for table, own in zip(self.of_bin, prefixes, strict=True):
+            group = np.where(group < 0, table[own], group)
+        return np.where(group < 0, self.tail + (code % np.uint64(self.parts)).astype(np.int64), group)
 
-# 2. Anchors.
+
+# 2. Marks.
 
 
 def packed(table: np.ndarray, key: np.ndarray, **fixed) -> pd.DataFrame:
@@ -174,8 +191,8 @@ def packed(table: np.ndarray, key: np.ndarray, **fixed) -> pd.DataFrame:
     return pd.DataFrame({"key": key[cuts].astype(np.int64), "rows": pd.Series([table[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], dtype=object)} | fixed)
 
 
-def anchors(docs: DataFrame, window: int, gram: int, buckets: int, homes: int) -> DataFrame:
-    """name (code of a text), codes (binary): of each text the minimizers that repeat."""
+def marks_of(docs: DataFrame, window: int, gram: int, buckets: int, homes: int) -> DataFrame:
+    """name (code of a text), codes (binary): of each text the anchors' pieces that repeat."""
 
     def send(batches):
         codes = WordCodes()
@@ -184,7 +201,7 @@ def anchors(docs: DataFrame, window: int, gram: int, buckets: int, homes: int) -
             if not len(where):
                 continue
             names = np.array([r.name for r in rows], np.int64).view(np.uint64)
-            least, doc = s.minimizers(window, gram, where), s.doc[where]
+            least, doc = s.anchors(window, gram, where)[1], s.doc[where]
             new = np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])]
             table = np.zeros(new.sum(), ANCHOR)
             table["code"], table["text"], doc = least[new], names[doc[new]], doc[new]
@@ -211,82 +228,133 @@ def anchors(docs: DataFrame, window: int, gram: int, buckets: int, homes: int) -
         return packed(table, table["text"] % np.uint64(homes))
 
     def gather(part: pd.DataFrame) -> pd.DataFrame:
-        table = np.unique(np.frombuffer(b"".join(part["rows"]), ANCHOR))
-        return by_owner(table, "text", "code")
+        return by_owner(np.unique(np.frombuffer(b"".join(part["rows"]), ANCHOR)), ["text"], "code", "codes")
 
     sent = docs.where("text is not null").select("text", F.xxhash64("text").alias("name")).mapInPandas(frugal(send), "key long, rows binary, known boolean")
     return sent.groupBy("key").applyInPandas(meet, "key long, rows binary").groupBy("key").applyInPandas(gather, "text long, codes binary").withColumnRenamed("text", "name")
 
 
-def by_owner(table: np.ndarray, owner: str, what: str) -> pd.DataFrame:
+def by_owner(table: np.ndarray, owner: list[str], what: str, named: str) -> pd.DataFrame:
     """One row for each ``owner`` of the table's rows with its ``what`` as one binary."""
-    table = table[np.lexsort((table[what], table[owner]))]
+    table = table[np.lexsort([table[c] for c in (what, *owner)])]
     own = table[owner]
     cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, int)
     ends = np.r_[cuts[1:], len(own)][: len(cuts)]
     values = np.ascontiguousarray(table[what])
-    names = {"text": "codes", "doc": "at"}
-    return pd.DataFrame({owner: own[cuts].view(np.int64), names[owner]: pd.Series([values[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], dtype=object)})
+    return pd.DataFrame({c: np.ascontiguousarray(own[c][cuts]).view(np.int64) for c in owner} | {named: pd.Series([values[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], dtype=object)})
 
 
 # 3. Subtrees.
 
 
-def suffixes(marked: DataFrame, window: int, gram: int, first: np.ndarray, parts: np.ndarray, homes: int) -> DataFrame:
-    """Rows of places by group: known False, the earliest of each window of a
-    stretch; known True, places that are not the earliest, by a key of the document."""
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each length, end to end."""
+    return np.arange(length.sum()) + np.repeat(start - (np.cumsum(length) - length), length)
+
+
+def suffixes(marked: DataFrame, window: int, gram: int, groups: Groups, homes: int) -> DataFrame:
+    """Packed rows by group: known False, runs of windows (the earliest of each window of a
+    stretch) with their words; known True, places that are not the earliest, by a key of the document."""
 
     def send(batches):
         codes = WordCodes()
-        for rows, s in stretches(batches, ("doc", "text", "codes"), codes):
+        for rows, s in stretches(batches, ("doc", "name", "text", "codes"), codes):
             where = s.whole(window)
             if not len(where):
                 continue
-            least, doc = s.minimizers(window, gram, where), s.doc[where]
+            (anchor, least), doc = s.anchors(window, gram, where), s.doc[where]
             keep = np.zeros(len(where), bool)
             edge = np.searchsorted(doc, np.arange(len(rows) + 1))
             for k, row in enumerate(rows):
                 own = np.frombuffer(b"".join(row.codes), np.uint64)
                 keep[edge[k] : edge[k + 1]] = np.isin(least[edge[k] : edge[k + 1]], own)
-            where, doc = where[keep], doc[keep]
+            where, doc, anchor = where[keep], doc[keep], anchor[keep]
             if not len(where):
                 continue
-            table = np.zeros(len(where), PLACE)
             code = s.pieces(window)[where]
-            table["code"], table["check"] = code, shift_pair(s.pieces(window - 3)[where + 3], s.words[where] ^ mix(s.words[where + 1] + s.words[where + 2]))
-            table["doc"] = np.array([r.doc for r in rows], np.int64)[doc]
-            table["at"] = where - s.starts[doc]
-            pair, four = bins(s, where)
-            group = first[pair] + (four % parts[pair].astype(np.uint64)).astype(np.int64)
-            order = np.lexsort((table["at"], table["doc"], table["check"], table["code"]))
-            table, group = table[order], group[order]
-            once = np.r_[True, table[1:] != table[:-1]]  # a row and its repetition are one document
-            table, group = table[once], group[once]
-            late = np.r_[False, (table["code"][1:] == table["code"][:-1]) & (table["check"][1:] == table["check"][:-1])]
-            yield packed(table[~late], group[~late], known=False)
-            if late.any():
-                yield packed(table[late], -1 - table["doc"][late] % homes, known=True)
-
-    return marked.mapInPandas(frugal(send), "key long, rows binary, known boolean")
-
-
-def subtrees(places: DataFrame, homes: int) -> DataFrame:
-    """doc, at (binary): places to remove.  In a group, below each deep node of its
+            check = shift_pair(s.pieces(window - 3)[where + 3], s.words[where] ^ mix(s.words[where + 1] + s.words[where + 2]))
+            place = np.zeros(len(where), PLACE)
+            for c in ("doc", "name"):
+                place[c] = np.array([getattr(r, c) for r in rows], np.int64)[doc]
+            place["at"] = where - s.starts[doc]
+            order = np.lexsort((place["at"], place["name"], place["doc"], check, code))
+            same = np.r_[False, (code[order][1:] == code[order][:-1]) & (check[order][1:] == check[order][:-1])]
+            again = np.r_[False, place[order][1:] == place[order][:-1]]  # a row and its repetition are one document
+            late = order[same & ~again]
+            first = np.sort(order[~same])
+            where, anchor, code = where[first], anchor[first], code[first]
+            group = groups.of(s.prefixes(anchor), code)
+            # runs of windows of one anchor and one group, side by side in a document
+            new = np.flatnonzero(np.r_[True, (np.diff(where) != 1) | (np.diff(anchor) != 0) | (np.diff(group) != 0)])
+            head = np.zeros(len(new), HEAD)
+            for c in PLACE.names:
+                head[c] = place[c][first[new]]
+            head["n"] = np.diff(np.r_[new, len(where)])
+            yield packed_runs(s, head, where[new], group[new], window)
+            if len(late):
+                home = packed(place[late], -1 - homes_of(place[late], homes), known=True)
+                yield home.rename(columns={"rows": "heads"}).assign(words=b"")
+
+    return marked.mapInPandas(frugal(send), "key long, heads binary, words binary, known boolean")
+
+
+def homes_of(place: np.ndarray, homes: int) -> np.ndarray:
+    return (mix(place["doc"].astype(np.uint64) ^ place["name"].astype(np.uint64)) % np.uint64(homes)).astype(np.int64)
+
+
+def packed_runs(s: Stretch, head: np.ndarray, where: np.ndarray, group: np.ndarray, window: int) -> pd.DataFrame:
+    """Runs by group, each group's heads as one binary and their words as another."""
+    order = np.argsort(group, kind="stable")
+    head, where, group = head[order], where[order], group[order]
+    length = head["n"].astype(np.int64) + window - 1
+    words = s.words[ranges(where, length)]
+    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    ends, upto = np.r_[cuts[1:], len(group)], np.r_[0, np.cumsum(length)]
+    return pd.DataFrame({
+        "key": group[cuts],
+        "heads": [head[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)],
+        "words": [words[upto[a] : upto[b]].tobytes() for a, b in zip(cuts, ends, strict=True)],
+        "known": False,
+    })
+
+
+def subtree(head: np.ndarray, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of a group's runs in the order of their first ``window`` words, the
+    earlier place first, and how many words each has in common with the one before it."""
+    n = head["n"].astype(np.int64)
+    length = n + window - 1
+    start = ranges(np.cumsum(length) - length, n)
+    place = np.zeros(len(start), PLACE)
+    for c in ("doc", "name"):
+        place[c] = np.repeat(head[c], n)
+    place["at"] = ranges(head["at"].astype(np.int64), n)
+    order = np.lexsort((place["at"], place["name"], place["doc"]))
+    order = order[np.r_[True, place[order][1:] != place[order][:-1]]]
+    rank = np.unique(words, return_inverse=True)[1]
+    width = 2 if len(rank) == 0 or rank.max() < 1 << 16 else 4
+    rows = np.lib.stride_tricks.sliding_window_view(rank.astype(f">u{width}"), window)[start[order]]  # big-endian: bytes sort as ranks do
+    by_words = np.argsort(np.ascontiguousarray(rows).view(f"S{window * width}").ravel(), kind="stable")
+    rows = rows[by_words].view(f"<u{width}")
+    differ = rows[1:] != rows[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), window)
+    return place[order][by_words], np.r_[0, common]
+
+
+def subtrees(runs: DataFrame, window: int, homes: int) -> DataFrame:
+    """doc, name, at (binary): places to remove.  In a group, below each deep node of its
     subtree, all but the earliest; they and the places known before meet by document."""
 
-    def subtree(part: pd.DataFrame) -> pd.DataFrame:
+    def remove(part: pd.DataFrame) -> pd.DataFrame:
         if part.known.iloc[0]:
-            return pd.DataFrame({"key": -1 - part.key[:1], "rows": [b"".join(part["rows"])]})
-        table = np.frombuffer(b"".join(part["rows"]), PLACE)
-        table = table[np.lexsort((table["at"], table["doc"], table["check"], table["code"]))]
-        table = table[np.r_[True, table[1:] != table[:-1]]]
-        table = table[np.r_[False, (table["code"][1:] == table["code"][:-1]) & (table["check"][1:] == table["check"][:-1])]]
-        return packed(table, table["doc"] % homes)
+            return pd.DataFrame({"key": -1 - part.key[:1], "rows": [b"".join(part.heads)]})
+        place, common = subtree(np.frombuffer(b"".join(part.heads), HEAD), np.frombuffer(b"".join(part.words), "<u8"), window)
+        late = place[common >= window]
+        return packed(late, homes_of(late, homes))
 
     def gather(part: pd.DataFrame) -> pd.DataFrame:
-        return by_owner(np.frombuffer(b"".join(part["rows"]), PLACE), "doc", "at")
+        return by_owner(np.frombuffer(b"".join(part["rows"]), PLACE), ["doc", "name"], "at", "at")
 
-    return places.groupBy("key").applyInPandas(subtree, "key long, rows binary").groupBy("key").applyInPandas(gather, "doc long, at binary")
+    return runs.groupBy("key").applyInPandas(remove, "key long, rows binary").groupBy("key").applyInPandas(gather, "doc long, name long, at binary")
 
 
 # 4. Documents.
@@ -309,21 +377,21 @@ def remains(text: str | None, removed: list[bytes], copy: bool, window: int) ->
 
 def judged(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, bucket: int = BUCKET) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text, copy, removed (binaries of starts of removed windows)."""
-    counts = np.zeros(FIRST * SECOND, np.int64)
-    for r in prefix_counts(docs, window).collect():  # FIRST * SECOND rows at most
+    counts = np.zeros(len(DEPTHS) * BINS, np.int64)
+    for r in prefix_counts(docs, window, gram).collect():  # len(DEPTHS) * BINS rows at most
         counts[r["bin"]] = r.n
-    first, parts = grouping(counts, group)
-    total = int(counts.sum())
-    named = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"))
-    keys = named.where("text is not null").select("doc", F.md5(F.col("text").cast("binary")).alias("digest"), F.xxhash64("text").alias("code"))
-    names = cut(keys.groupBy("digest", "code").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")))
-    copies = keys.join(names.where("n > 1"), ["digest", "code"]).where("doc <> first").select("doc", F.lit(True).alias("copy")).distinct()
+    total = int(counts[:BINS].sum())
+    named = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("name"))
+    keys = named.where("text is not null").select("doc", "name", F.md5(F.col("text").cast("binary")).alias("digest"))
+    names = cut(keys.groupBy("digest", "name").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")))
+    several = names.where("n > 1").select("digest", "name", F.col("doc").alias("first"))
+    copies = keys.join(several, ["digest", "name"]).where("doc <> first").select("doc", "name", F.lit(True).alias("copy")).distinct()
     homes = max(8, -(-total // group))
-    marks = anchors(docs, window, gram, max(1, -(-2 * total // ((window - gram + 2) * bucket))), homes)
-    marks = marks.join(names.select(F.col("code").alias("name"), F.col("first").alias("doc")), "name").groupBy("doc").agg(F.collect_list("codes").alias("codes"))
-    marked = named.join(marks, "doc").select("doc_id", "doc", "text", "codes")
-    removed = subtrees(suffixes(marked, window, gram, first, parts, homes), homes).groupBy("doc").agg(F.collect_list("at").alias("removed"))
-    return named.join(removed, "doc", "left").join(copies, "doc", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "removed")
+    marks = marks_of(docs, window, gram, max(1, -(-2 * total // ((window - gram + 2) * bucket))), homes)
+    marks = marks.join(names.select("name", "doc"), "name").groupBy("doc", "name").agg(F.collect_list("codes").alias("codes"))
+    marked = named.join(marks, ["doc", "name"]).select("doc", "name", "text", "codes")
+    removed = subtrees(suffixes(marked, window, gram, Groups(counts, group), homes), window, homes).groupBy("doc", "name").agg(F.collect_list("at").alias("removed"))
+    return named.join(removed, ["doc", "name"], "left").join(copies, ["doc", "name"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "removed")
 
 
 def _each(docs: DataFrame, make, schema: str, window: int, **parameters) -> DataFrame:

@@ -58,16 +58,65 @@ def test_substring_of_one_period(spark, period):
     assert got == removed_by_force(rows) and got[1][1] > 0
 
 
+def shared_ids():
+    p = [f"p{k}" for k in range(30)]
+    row = lambda i, *w: (i, " ".join(w), None, None, None, None)
+    some = lambda c, n: [f"{c}{k}" for k in range(n)]
+    return [
+        ([row(1, *p), row(None, *some("a", 100), *p), row(None, *some("b", 5))], [0, 30, 0]),
+        ([row(1, *p), row(7, *some("a", 100), *p), row(7, *some("b", 140))], [0, 30, 0]),
+        ([row(7, *p), row(7, *p), row(8, *p), row(8, *some("c", 40), *p), (7, None, None, None, None, None)], [0, 0, 30, 30, 0]),
+    ]
+
+
+@pytest.mark.parametrize("case", range(3))
+def test_substring_of_shared_ids(spark, case):
+    """Texts that share an id, or have none, are documents of their own."""
+    rows, want = shared_ids()[case]
+    got = {(r.n_words, r.n_removed) for r in substring.digests(frame(spark, rows)).collect()}
+    assert got == {(len(words(r[1])), n) for r, n in zip(rows, want, strict=True)}
+
+
 def test_prefix_groups():
-    counts = np.random.default_rng(1).integers(0, 50, substring.FIRST * substring.SECOND)
-    counts[7] = 100_000
-    first, parts = substring.grouping(counts, 5_000)
-    assert parts[7] == 20 and (first[1:] >= first[:-1]).all()
-    held = Counter()
-    for b, n in enumerate(counts):
-        if parts[b] == 1:
-            held[first[b]] += int(n)
-    assert max(held.values()) <= 5_000 and not any(first[7] <= g < first[7] + 20 for g in held)
+    """Groups hold at most what they may; a prefix that is frequent at every length is split by whole windows."""
+    rng = np.random.default_rng(1)
+    stream = rng.integers(0, 3000, 60_000)
+    stream[rng.random(60_000) < 0.3] = 7
+    for k in range(0, 59_000, 20):
+        stream[k : k + 8] = 3000 + k // 20 % 8  # eight words common to many windows
+    s = substring.Stretch([stream.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)])
+    where = s.whole(20)
+    at, _ = s.anchors(20, 8, where)
+    assert ((at >= where) & (at <= where + 12)).all()
+    bins = s.prefixes(at)
+    counts = np.concatenate([np.bincount(b, minlength=substring.BINS) for b in bins])
+    groups = substring.Groups(counts, 500)
+    found = groups.of(bins, s.pieces(20)[where])
+    assert (found < groups.tail).any() and np.bincount(found[found < groups.tail]).max() <= 500
+    hot = Counter(found[found >= groups.tail].tolist())
+    assert sum(hot.values()) > 500 and max(hot.values()) < 2 * 500
+    lengths = [(groups.of_bin[level][b] >= 0).mean() for level, b in enumerate(bins)]
+    assert lengths == sorted(lengths) and lengths[0] < lengths[-1]
+
+
+def test_subtree_against_force():
+    """Sorted suffixes, common prefixes and deep nodes of a group's runs."""
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        docs = [rng.integers(0, 3, rng.integers(6, 40)).astype(np.uint64) for _ in range(6)]
+        head, text = [], []
+        for i, d in enumerate(docs):
+            at = 0
+            while at + 5 <= len(d):
+                n = int(min(rng.integers(1, 5), len(d) - 4 - at))
+                head.append((i, 0, at, n))
+                text.append(d[at : at + n + 4])
+                at += n
+        place, common = substring.subtree(np.array(head, substring.HEAD), np.concatenate(text), 5)
+        want = sorted((tuple(d[k : k + 5].tolist()), i, k) for i, d in enumerate(docs) for k in range(len(d) - 4))
+        assert [(i, k) for _, i, k in want] == list(zip(place["doc"].tolist(), place["at"].tolist(), strict=True))
+        for (x, *_), (y, *_), n in zip(want, want[1:], common[1:], strict=False):
+            assert n == next((k for k in range(5) if x[k] != y[k]), 5)
 
 
 def shingle_sets(rows, k):
