@@ -389,7 +389,7 @@ def judged(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int =
     homes = max(8, -(-total // group))
     marks = marks_of(docs, window, gram, max(1, -(-2 * total // ((window - gram + 2) * bucket))), homes)
     marks = marks.join(names.select("name", "doc"), "name").groupBy("doc", "name").agg(F.collect_list("codes").alias("codes"))
-    marked = named.join(marks, ["doc", "name"]).select("doc", "name", "text", "codes")
+    marked = named.join(marks, ["doc", "name"]).select("doc_id", "doc", "name", "text", "codes")  # all columns: the texts' exchange is reused below
     removed = subtrees(suffixes(marked, window, gram, Groups(counts, group), homes), window, homes).groupBy("doc", "name").agg(F.collect_list("at").alias("removed"))
     return named.join(removed, ["doc", "name"], "left").join(copies, ["doc", "name"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "removed")
 
