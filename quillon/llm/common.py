@@ -58,9 +58,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(df: DataFrame) -> None:
-    """Delete the files of a ``stored`` frame, which nothing reads any more."""
+    """Delete the files of a frame that ``cut`` or ``stored`` has written and nothing reads any more."""
     context = df.sparkSession.sparkContext
-    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() == "LogicalRDD":
+        file = plan.rdd().getCheckpointFile()
+        paths = {file.get()} if file.isDefined() else set()
+    else:
+        paths = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    for path in paths:
         at = context._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -5,24 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, stored
-
-#: A node with more edges than ``HOT`` and than one part in ``HUBS`` of all is a hub:
-#: there are ``HUBS`` of them at most (two per edge), whatever the input.
-HOT, HUBS = 1_000, 10_000
-
-
-def tied(edges: DataFrame, edges_in_all: int) -> DataFrame:
-    """edges(u, v, m) of edges(u, v): ``m`` is the least of u and its neighbours.
-
-    Hubs' edges stay where they are and meet a broadcast table of at most
-    ``2 * HUBS`` rows; only the others are dealt by u.
-    """
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    hub = F.col("n") > max(HOT, edges_in_all // HUBS)
-    met = edges.join(F.broadcast(least.where(hub).select("u", F.col("m").alias("hub_m"))), "u", "left")
-    rest = met.where("hub_m is null").select("u", "v").join(least.where(~hub).select("u", "m"), "u")
-    return met.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).union(rest.select("u", "v", "m"))
+from .common import cut, forget
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,19 +15,22 @@ def components(edges: DataFrame) -> DataFrame:
     A large star ties every greater neighbour of a node to the least node around
     it; a small star ties the lesser ones together.  Each round is written to
     the checkpoint folder and the round before it deleted.  Aggregates are combined
-    before they move, and edges of hubs aren't dealt by the hub.
+    before they move.  Rows of a join are two ids, so a node's edges fill a partition
+    only by the ten millions; adaptive execution then splits it, whatever its keys.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    n, mark = now.count(), None
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = tied(both, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = tied(large, n).select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e"))
-        after = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        after = cut(small.select("e.a", "e.b").where("a <> b").distinct())
         forget(now)
         now = after
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == mark:
             break
-        n, mark = seen[0], seen
+        mark = seen
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

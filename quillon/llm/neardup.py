@@ -229,7 +229,7 @@ def links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, bands: i
     that connect what all links connect."""
     entries = reps.select("rep", F.explode("bands").alias("key"))
     ends = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    met = stored(entries.join(ends, "key"), "buckets")
+    met = cut(entries.join(ends, "key"))
     pairs = met.select("rep", F.explode(F.array("lo", "hi")).alias("end")).where("rep <> end")
     pairs = pairs.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
     odd = reps.select("rep", "odd")
@@ -257,22 +257,23 @@ def links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, bands: i
     def against(batches):
         for pdf in batches:
             hit = [a == c or confirmed(np.frombuffer(k, np.uint64), np.frombuffer(h, np.uint64), percent) for a, c, k, h in zip(pdf.doc_id, pdf.cluster, pdf["keys"], pdf["hub"], strict=True)]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "cluster": pdf.cluster, "hit": hit})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "cluster": pdf.cluster, "keys": pdf["keys"], "hit": hit})
 
     hubs = sets.where("doc_id = cluster").dropDuplicates(["cluster"]).select("cluster", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("keys").alias("hub"))
-    tried = cut(sets.join(hubs, ["cluster", "share"]).mapInPandas(frugal(against), "doc_id long, cluster long, hit boolean").groupBy("doc_id", "cluster").agg(F.max("hit").alias("hit")))
-    star = tried.where("hit and doc_id <> cluster").select(F.col("cluster").alias("a"), F.col("doc_id").alias("b"))
-    # clusters of more than the hub and its friends
-    size = tried.groupBy("cluster").agg(F.count_if(~F.col("hit")).alias("askers"), F.count(F.lit(1)).alias("members")).where("askers > 0 and members > 2")
-    size = cut(size.select("cluster", "members", F.ceil(F.col("askers") / block).cast("int").alias("ask_blocks"), F.ceil(F.col("members") / block).cast("int").alias("blocks")))
-    rest = sets.select("doc_id", "cluster", "keys").join(tried, ["doc_id", "cluster"])
-    large = rest.join(size.where("blocks > 1"), "cluster")
-    prefixes = cut(rare_prefixes(large, percent, block))
+    rest = cut(sets.join(hubs, ["cluster", "share"]).mapInPandas(frugal(against), "doc_id long, cluster long, keys binary, hit boolean"))
+    forget(sets)
+    star = rest.where("hit and doc_id <> cluster").select(F.col("cluster").alias("a"), F.col("doc_id").alias("b"))
+    # clusters of more than the hub and its friends; stored, so that Spark knows how small the table is
+    size = rest.groupBy("cluster").agg(F.count_if(~F.col("hit")).alias("askers"), F.count(F.lit(1)).alias("members")).where("askers > 0 and members > 2")
+    size = stored(size.select("cluster", F.ceil(F.col("askers") / block).cast("int").alias("ask_blocks"), F.ceil(F.col("members") / block).cast("int").alias("blocks")), "clusters")
+    large = size.where("blocks > 1")
+    prefixes = cut(rare_prefixes(rest.join(large, "cluster"), percent, block))
     shared = prefixes.groupBy("cluster", "key").agg(F.count_if("asks").alias("a"), F.count(F.lit(1)).alias("m")).where("a > 0 and m > 1")
-    by_pairs = shared.groupBy("cluster").agg(F.sum(F.col("a") * F.col("m")).alias("pairs")).join(size, "cluster").where(F.col("pairs") <= F.col("ask_blocks") * F.col("blocks") * block)
-    by_pairs = cut(by_pairs.select("cluster").unionByName(size.where("blocks > 1").join(shared, "cluster", "left_anti").select("cluster")))
-    few = paired(prefixes.join(by_pairs, "cluster", "left_semi"), shared, rest, percent, block)
-    return star.unionByName(few).unionByName(blocked(rest.join(size, "cluster").join(by_pairs, "cluster", "left_anti"), percent))
+    cost = shared.groupBy("cluster").agg(F.sum(F.col("a") * F.col("m")).alias("pairs"))
+    by_pairs = large.join(cost, "cluster", "left").where(F.coalesce("pairs", F.lit(0)) <= F.col("ask_blocks") * F.col("blocks") * block)
+    by_pairs = stored(by_pairs.select("cluster"), "sparse")
+    few = paired(prefixes.join(by_pairs, "cluster", "left_semi"), shared, rest.join(by_pairs, "cluster", "left_semi"), percent, block)
+    return star.unionByName(few).unionByName(blocked(rest.join(size.join(by_pairs, "cluster", "left_anti"), "cluster"), percent))
 
 
 def dealt(salt: str, n: str, by: str = "doc_id") -> Column:
