@@ -7,20 +7,26 @@ language and source the location and scatter of the ``COVER`` of its rows with
 the smallest covariance determinant are estimated, and a row whose Mahalanobis
 distance from them is above ``CUT`` (the 0.9999 quantile of chi with five degrees) is rejected.
 
-Estimation: robust start (each component's exact median, and its quartiles'
-distance as spread), then ``STEPS`` concentration steps.  A step takes the distances of all rows
-under the last estimate, finds the radius that covers ``COVER`` of a group's
-rows, and takes mean and covariance of the rows inside.  It is one aggregation
-of sums by (group, ring), a ring being a narrow band of distances, so a group of
-any size meets as at most ``RINGS`` rows; rows are never collected or sampled.
-Vectors are in whole thousandths, so that the sums are exact and reruns agree.
+Estimation (FAST-MCD over aggregates): ``STARTS`` initial estimates of each
+group, two of them robust: medians with quartile distances, spatial signs around
+the medians, and plain means and covariances.  From each, ``STEPS`` concentration
+steps: distances of all rows under the last estimate, the radius that covers
+``COVER`` of the rows, mean and covariance of the rows inside.  The start whose
+inner rows' covariance has the least determinant wins.  A last step takes the
+rows within the 0.975 quantile.  Covariances are multiplied by the factor that
+makes them consistent for normal rows.
+
+A step is two aggregations: counts of distances by rings (``RINGS`` for each
+doubling; rows at the radius's ring are inside), then sums of the rows inside.
+A group of any size meets as counts and sums; rows are never collected or
+sampled.  Vectors are in whole thousandths, so that the sums are exact and reruns agree.
 
 Directions without scatter: a group whose inner rows all have no sign or no
 repeated line has variance 0 there.  In units of ``NOISE``, the deviations that
 counting alone gives a text of 200 words, the scatter's eigenvalues are 1 at
-least; a direction that varies more than that is judged by its own scatter.
-Groups
-of fewer than ``LEAST`` rows use the estimate of all rows together.
+least, also in determinants; a direction that varies more than that is judged by
+its own scatter.  Small groups: every group's estimate is averaged with that of
+all rows together, which weighs like ``SHRINK`` rows.
 
 Null text: no words, so it fails the base.  Null language or source: a group of
 their own.  Null or repeated doc_id: rows stay.  Empty table: no rows.
@@ -28,14 +34,19 @@ their own.  Null or repeated doc_id: rows stay.  Empty table: no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCodes, cut, documents, frugal, shift_pair, words_of
+from .common import WordCodes, cut, documents, forget, frugal, shift_pair, stored, words_of
 
-COVER, STEPS, RINGS, LEAST, CUT = 0.75, 4, 64, 60, 5.1
+COVER, STEPS, RINGS, SHRINK, CUT = 0.75, 4, 256, 20, 5.1
+STARTS = ("quartiles", "signs", "plain")
+#: The 0.975 quantile of chi with five degrees, and the share it covers.
+NEAR, NEAR_SHARE = 3.582, 0.975
 SIGNS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -119,71 +130,150 @@ def _distance(center: str, inverse: str) -> Column:
     return F.sqrt(F.greatest(square, F.lit(0.0)))
 
 
-def estimate_group(sums: pd.DataFrame, cover: float = COVER) -> tuple[np.ndarray, np.ndarray]:
-    """Centre (thousandths) and inverse scatter of a group from its rings' sums."""
-    sums = sums.sort_values("ring")
-    n = sums.n.to_numpy(float)
-    inside = np.searchsorted(np.cumsum(n), cover * n.sum()) + 1
-    inner = sums.iloc[:inside]
-    total = float(inner.n.sum())
-    mean = inner[[f"s{i}" for i in range(5)]].sum().to_numpy(float) / total
+def chi_square(x: float, degrees: int) -> float:
+    """The distribution function, for odd degrees of freedom."""
+    total, term = math.erf(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    for k in range(1, degrees, 2):
+        total, term = total - term, term * x / (k + 2)
+    return total
+
+
+def consistency(share: float) -> float:
+    """What the covariance of the inner ``share`` of normal rows is multiplied by."""
+    if share >= 1:
+        return 1.0
+    low, high = 0.0, 100.0
+    while high - low > 1e-9:
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, len(Z)) < share else (low, middle)
+    return share / chi_square(high, len(Z) + 2)
+
+
+def floored(scatter: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inverse and log determinant, no direction under its noise."""
+    noise = np.outer(NOISE, NOISE)
+    size, way = np.linalg.eigh(scatter / noise)
+    size = np.maximum(size, 1.0)
+    return way / size @ way.T / noise, float(np.log(size).sum())
+
+
+MODEL = "group string, start int, rows long, center array<double>, scatter array<double>, inverse array<double>, det double"
+
+
+def sums() -> list[Column]:
+    """Sums and products of the vectors' components."""
+    one = [F.sum(z).alias(f"s{i}") for i, z in enumerate(Z)]
+    return [F.count(F.lit(1)).alias("n"), *one, *[F.sum(F.col(Z[i]) * F.col(Z[j])).alias(f"s{i}{j}") for i in range(5) for j in range(i, 5)]]
+
+
+def moments(row: dict, n: float, names: str = "s") -> tuple[np.ndarray, np.ndarray]:
+    """Mean (thousandths) and covariance of ``n`` rows with these sums."""
+    mean = np.array([row[f"{names}{i}"] for i in range(5)], float) / n
     square = np.zeros((5, 5))
     for i in range(5):
         for j in range(i, 5):
-            square[i, j] = square[j, i] = float(inner[f"s{i}{j}"].sum()) / total - mean[i] * mean[j]
-    scatter = square / SCALE**2
-    share = total / max(1.0, n.sum())
-    widen = 1.0 / max(0.4, 1 - 1.6 * (1 - share))  # the inner rows' scatter is too small for all
-    noise = np.outer(NOISE, NOISE)
-    size, way = np.linalg.eigh(scatter * widen / noise)
-    return mean, way / np.maximum(size, 1.0) @ way.T / noise
+            square[i, j] = square[j, i] = row[f"{names}{i}{j}"] / n - mean[i] * mean[j]
+    return mean, square / SCALE**2
 
 
-SUMS = ["n"] + [f"s{i}" for i in range(5)] + [f"s{i}{j}" for i in range(5) for j in range(i, 5)]
+def estimated(sums: DataFrame, share: Column) -> DataFrame:
+    """Models of rows (group, start, rows, n, sums) whose inner rows are ``share`` of the normal ones."""
 
-
-def sums_by(rows: DataFrame, *keys: str) -> DataFrame:
-    squares = {f"s{i}{j}": F.sum(F.col(Z[i]) * F.col(Z[j])) for i in range(5) for j in range(i, 5)}
-    parts = {f"s{i}": F.sum(Z[i]) for i in range(5)} | squares
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in parts.items()])
+    def fit(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                mean, scatter = moments(row, row["n"])
+                scatter = scatter * consistency(row["share"])
+                inverse, det = floored(scatter)
+                out.append((row["group"], row["start"], row["rows"], mean.tolist(), scatter.ravel().tolist(), inverse.ravel().tolist(), det))
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in MODEL.split(", ")])
+
+    return stored(sums.withColumn("share", share).mapInPandas(fit, MODEL), "model")
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """The initial models; medians and quartiles are exact at any size: what moves
+    are counts of whole thousandths."""
+    found = rows.groupBy("group").agg(*[F.percentile(z, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{z}") for z in Z])
+    wide = [F.greatest((F.col(f"q_{z}")[2] - F.col(f"q_{z}")[0]) / (1.349 * SCALE), F.lit(noise)) for z, noise in zip(Z, NOISE, strict=True)]
+    found = stored(found.select("group", F.array(*[F.col(f"q_{z}")[1] for z in Z]).alias("middle"), F.array(*wide).alias("wide")), "middle")
+    unit = [(F.col(z) - F.col("middle")[i]) / (F.col("wide")[i] * SCALE) for i, z in enumerate(Z)]
+    length = F.greatest(sum(u * u for u in unit), F.lit(1e-12))
+    signs = [F.sum(F.round(unit[i] * unit[j] / length * 1_000_000).cast("long")).alias(f"u{i}{j}") for i in range(5) for j in range(i, 5)]
+    sum_of = rows.join(found, "group").groupBy("group").agg(*sums(), *signs).join(found, "group")
+
+    def make(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                middle, wide = np.array(row["middle"]), np.array(row["wide"])
+                mean, scatter = moments(row, row["n"])
+                sign = np.array([[row[f"u{min(i, j)}{max(i, j)}"] for j in range(5)] for i in range(5)]) / row["n"] / 1e6 * 5
+                for k, (center, own) in enumerate(((middle, np.diag(wide**2)), (middle, sign * np.outer(wide, wide)), (mean, scatter))):
+                    inverse, det = floored(own)
+                    out.append((row["group"], k, row["n"], center.tolist(), own.ravel().tolist(), inverse.ravel().tolist(), det))
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in MODEL.split(", ")])
+
+    return stored(sum_of.mapInPandas(make, MODEL), "model")
+
+
+def concentrated(rows: DataFrame, model: DataFrame, cover: float) -> DataFrame:
+    """One concentration step of every start."""
+    ringed = rows.join(model.select("group", "start", "center", "inverse"), "group")
+    ringed = ringed.select("group", "start", *Z, F.floor(F.log2(1 + _distance("center", "inverse")) * RINGS).cast("int").alias("ring"))
+    radius = ringed.groupBy("group", "start").agg(F.expr(f"percentile_disc({cover}) WITHIN GROUP (ORDER BY ring)").alias("radius"), F.count(F.lit(1)).alias("rows"))
+    inner = ringed.join(radius, ["group", "start"]).where("ring <= radius").groupBy("group", "start", "rows").agg(*sums())
+    return estimated(inner, F.col("n") / F.col("rows"))
+
+
+def scatters(rows: DataFrame, steps: int = STEPS, cover: float = COVER) -> DataFrame:
+    """rows(group, z0..z4) -> the model of least determinant of each group, and of
+    the group '' of all rows together."""
+    both = rows.select("group", *Z).unionByName(rows.select(F.lit("").alias("group"), *Z))
+    model = starts(both)
+    for _ in range(steps):
+        after = concentrated(both, model, cover)
+        forget(model)
+        model = after
+    best = model.groupBy("group").agg(F.min_by(F.struct("start", "center", "scatter", "inverse", "det"), F.struct("det", "start")).alias("m")).select("group", "m.*")
+    return stored(best, "best")
 
 
-def start(rows: DataFrame) -> DataFrame:
-    """group, center, inverse by medians and quartiles, exact at any size: what
-    moves are counts of whole thousandths."""
-    found = rows.groupBy("group").agg(*[F.percentile(z, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(z) for z in Z])
-    wide = [F.greatest((F.col(z)[2] - F.col(z)[0]) / (1.349 * SCALE), F.lit(noise)) for z, noise in zip(Z, NOISE, strict=True)]
-    inverse = [1 / (wide[i] * wide[i]) if i == j else F.lit(0.0) for i in range(5) for j in range(5)]
-    return found.select("group", F.array(*[F.col(z)[1] for z in Z]).alias("center"), F.array(*inverse).alias("inverse"))
+def weighted(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """The last step: group, rows, center, scatter of the rows that are near."""
+    both = rows.select("group", *Z).unionByName(rows.select(F.lit("").alias("group"), *Z))
+    inner = both.join(best, "group").where(_distance("center", "inverse") <= NEAR)
+    total = both.groupBy("group").agg(F.count(F.lit(1)).alias("rows"))
+    inner = inner.groupBy("group").agg(*sums()).join(total, "group").withColumn("start", F.lit(0))
+    return estimated(inner, F.lit(NEAR_SHARE))
 
 
-def scatter(rows: DataFrame, steps: int = STEPS, cover: float = COVER, least: int = LEAST) -> DataFrame:
-    """rows(group, z0..z4) -> group, center, inverse: one row a group, and one with
-    a null group for all rows together."""
-    both = rows.select("group", *Z).unionByName(rows.select(F.lit(None).cast("string").alias("group"), *Z))
+def averaged(model: DataFrame, shrink: int = SHRINK) -> DataFrame:
+    """group, center, inverse: each group's estimate averaged with that of all rows."""
+    every = model.where("group = ''").select(F.col("center").alias("all_center"), F.col("scatter").alias("all_scatter"))
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        mean, inverse = estimate_group(part, cover)
-        return pd.DataFrame({"group": part.group[:1], "rows": [int(part.n.sum())], "center": [mean.tolist()], "inverse": [inverse.ravel().tolist()]})
+    def make(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                part = row["rows"] / (row["rows"] + shrink)
+                mean = part * np.array(row["center"]) + (1 - part) * np.array(row["all_center"])
+                scatter = part * np.array(row["scatter"]) + (1 - part) * np.array(row["all_scatter"])
+                out.append((row["group"], mean.tolist(), floored(scatter.reshape(5, 5))[0].ravel().tolist()))
+            yield pd.DataFrame(out, columns=["group", "center", "inverse"])
 
-    schema = "group string, rows long, center array<double>, inverse array<double>"
-    model = cut(start(both))
-    for _ in range(steps):
-        near = both.join(model.withColumnRenamed("group", "__g"), F.col("group").eqNullSafe(F.col("__g")))
-        ringed = near.withColumn("ring", F.least(F.floor(_distance("center", "inverse") * 16), F.lit(RINGS * 16)).cast("int"))
-        model = cut(sums_by(ringed, "group", "ring").groupBy("group").applyInPandas(fit, schema))
-    return model.where(F.col("group").isNull() | (F.col("rows") >= least))
+    own = model.where("group <> ''").crossJoin(F.broadcast(every))  # one row
+    return stored(own.mapInPandas(make, "group string, center array<double>, inverse array<double>"), "scatter")
 
 
-def judge(docs: DataFrame, distance: float = CUT, **parameters) -> DataFrame:
+def judge(docs: DataFrame, distance: float = CUT, shrink: int = SHRINK, **parameters) -> DataFrame:
     """docs(doc_id, text, lang, source) -> counts, base_failed, distance, kept."""
     group = F.to_json(F.struct("lang", "source"))
     rows = cut(stats(docs).withColumn("group", group).withColumns(vector()))
-    model = cut(scatter(rows.where("not base_failed"), **parameters))
-    common = model.where("group is null").select(F.col("center").alias("all_center"), F.col("inverse").alias("all_inverse"), F.lit(1).alias("one"))
-    own = model.where("group is not null").select("group", "center", "inverse")
-    rows = rows.join(own, "group", "left").withColumn("one", F.lit(1)).join(F.broadcast(common), "one", "left")
-    rows = rows.withColumns({"center": F.coalesce("center", "all_center"), "inverse": F.coalesce("inverse", "all_inverse")})
+    able = rows.where("not base_failed")
+    model = averaged(weighted(able, scatters(able, **parameters)), shrink)
+    rows = rows.join(model, "group", "left")
     far = F.coalesce(_distance("center", "inverse"), F.lit(0.0))
     return rows.select("doc_id", *COUNTS, "base_failed", far.alias("distance"), (~F.col("base_failed") & (far <= distance)).alias("kept"))
 

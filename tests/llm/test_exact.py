@@ -509,6 +509,74 @@ def test_outlying_repeats(spark):
     assert all(got[i][0] for i in range(150)) and not any(got[1000 + i][0] for i in range(30)) and all(got[2000 + i][0] for i in range(150))
 
 
+def test_consistency():
+    """Of normal rows, the inner ones' covariance times the factor is that of all."""
+    x = np.random.default_rng(3).standard_normal((400_000, 5))
+    near = np.sort((x**2).sum(axis=1))
+    for share in (0.5, 0.75, 0.975):
+        edge = near[int(share * len(near)) - 1]
+        assert quality.chi_square(edge, 5) == pytest.approx(share, abs=0.005)
+        inner = x[(x**2).sum(axis=1) <= edge]
+        assert np.trace(inner.T @ inner / len(inner)) / 5 * quality.consistency(share) == pytest.approx(1, abs=0.01)
+    assert quality.consistency(1.0) == 1
+
+
+def determinant_by_force(x, cover, tries=300):
+    """Least log determinant of the covariance of ``cover`` of the rows, by many random starts."""
+    rng, best, h = np.random.default_rng(0), np.inf, int(np.ceil(cover * len(x)))
+    for _ in range(tries):
+        inner = x[rng.choice(len(x), 6, replace=False)]
+        for _ in range(30):
+            center, inverse = inner.mean(axis=0), quality.floored(np.cov(inner.T, bias=True))[0]
+            far = np.einsum("ni,ij,nj->n", x - center, inverse, x - center)
+            after = x[np.argsort(far, kind="stable")[:h]]
+            if after is inner or (len(after) == len(inner) and (after == inner).all()):
+                break
+            inner = after
+        det = quality.floored(np.cov(inner.T, bias=True) * quality.consistency(h / len(x)))[1]
+        if det < best:
+            best, own = det, inner
+    return best, own
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_determinant_against_force(spark, seed):
+    """Small groups with a fifth of outliers: the least determinant, and the verdicts of a plain search."""
+    rng = np.random.default_rng(seed)
+    turn = rng.standard_normal((5, 5))
+    groups = {}
+    for g, n in (("a", 60), ("b", 45)):
+        x = rng.standard_normal((n, 5)) @ turn * 0.4 + rng.normal(0, 1, 5)
+        x[: n // 5] = x[: n // 5] * 0.05 + rng.normal(0, 1, 5) * 8
+        groups[g] = np.round(x * quality.SCALE).astype(int)
+    rows = spark.createDataFrame([(g, *map(int, r)) for g, x in groups.items() for r in x], "group string, " + ", ".join(f"{z} long" for z in quality.Z))
+    best = quality.scatters(rows, steps=10)
+    found = {r.group: r for r in best.collect()}
+    last = {r.group: r for r in quality.weighted(rows, best).collect()}
+    for g, x in groups.items():
+        x = x / quality.SCALE
+        want, inner = determinant_by_force(x, quality.COVER)
+        assert found[g].det == pytest.approx(want, abs=0.2)
+
+        def judged(center, inverse, x=x):
+            return np.sqrt(np.einsum("ni,ij,nj->n", x - center, inverse, x - center))
+
+        inverse = quality.floored(np.cov(inner.T, bias=True) * quality.consistency(len(inner) / len(x)))[0]
+        near = x[judged(inner.mean(axis=0), inverse) <= quality.NEAR]
+        inverse = quality.floored(np.cov(near.T, bias=True) * quality.consistency(quality.NEAR_SHARE))[0]
+        plain = judged(near.mean(axis=0), inverse) <= quality.CUT
+        own = judged(np.array(last[g].center) / quality.SCALE, np.array(last[g].inverse).reshape(5, 5)) <= quality.CUT
+        assert (own == plain).all() and not own[: len(x) // 5].any() and own[len(x) // 5 :].mean() > 0.9
+
+
+def test_small_groups_lean_on_all_rows(spark):
+    """A group of one or two rows is judged; none is skipped or switched to other rules."""
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 997}" for k in range(80 + i)), "en", "s", None, None) for i in range(60)]
+    rows += [(900, " ".join(f"w{(3 + k * k) % 997}" for k in range(100)), "xx", "t", None, None), (901, " ".join(f"{k}$$$$$$%%%%%%" for k in range(100)), "yy", "t", None, None)]
+    got = by_id(quality.judge(frame(spark, rows)), "kept", "distance")
+    assert got[900][0] and not got[901][0] and got[901][1] > got[900][1] > 0
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     v = rng.standard_normal((400, 16)).astype(np.float32)
