@@ -223,6 +223,7 @@ def concentrated(rows: DataFrame, model: DataFrame, cover: float) -> DataFrame:
     ringed = rows.join(model.select("group", "start", "center", "inverse"), "group")
     ringed = ringed.select("group", "start", *Z, F.floor(F.log2(1 + _distance("center", "inverse")) * RINGS).cast("int").alias("ring"))
     radius = ringed.groupBy("group", "start").agg(F.expr(f"percentile_disc({cover}) WITHIN GROUP (ORDER BY ring)").alias("radius"), F.count(F.lit(1)).alias("rows"))
+    radius = stored(radius, "radius")  # three rows a group: Spark knows its size and joins without a shuffle
     inner = ringed.join(radius, ["group", "start"]).where("ring <= radius").groupBy("group", "start", "rows").agg(*sums())
     return estimated(inner, F.col("n") / F.col("rows"))
 
