@@ -166,6 +166,12 @@ def act_numbers(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?iu)(?:решени|рекомендаци|распоряжени)[а-яё]*[ \t\n\r\f\x0B]+(?:совета|коллегии)?[^№.]{0,40}№[ \t\n\r\f\x0B]*([0-9]{1,4})"), F.lit(1))))
 
 
+def references(text: Column) -> Column:
+    """The ids of all ``[1, 7]`` in a text, in order and with repeats."""
+    marks = F.regexp_extract_all(text, F.lit(r"\[([0-9]{1,3}(?:\s*,\s*[0-9]{1,3})*)\]"), F.lit(1))
+    return F.transform(F.flatten(F.transform(marks, lambda m: F.split(m, r"\s*,\s*"))), lambda i: i.cast("int"))
+
+
 @F.pandas_udf(StringType())
 def keep_known_references(texts: pd.Series, known: pd.Series) -> pd.Series:
     """``[1, 7]`` keeps the ids in ``known``; an empty bracket goes."""

@@ -9,10 +9,39 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 
 # Labels and notes.
-TIER_LABELS = {"TIER_1": "Обязательный акт ЕАЭС", "TIER_2": "Акт Коллегии ЕЭК", "TIER_3": "Рекомендация Экспертного комитета", "TIER_4": "Международный справочный источник", "TIER_5": "Вспомогательный источник"}
+TIER_LABELS = {
+    "TIER_1": "Обязательный нормативный акт ЕАЭС",
+    "TIER_2": "Руководство/рекомендация ЕЭК",
+    "TIER_3": "Рекомендация Экспертного комитета ЕЭК",
+    "TIER_4": "Дополнительный международный источник (не обязателен в ЕАЭС)",
+    "TIER_5": "Научный источник (не нормативный)",
+}
+OTHER_TIER = "Источник"
+STATUS_LABELS = {
+    "active": "действует",
+    "amended": "действует с изменениями",
+    "superseded": "утратил силу / заменён",
+    "expired": "истёк срок действия",
+    "unknown": "статус не подтверждён автоматически",
+}
+OTHER_STATUS = "статус неизвестен"
+VERSION_LABELS = {
+    "consolidated": "консолидированная редакция источника",
+    "original_with_known_amendments": "первоначальная редакция; известны акты о внесении изменений",
+    "requires_expert_validation": "действующая редакция не подтверждена автоматически — требуется экспертная проверка",
+}
 UNCITED = "[без прямой нормативной ссылки в найденном контексте] "
 ONLY_REFERENCE = "[основано только на справочных источниках, не на обязательном акте ЕАЭС] "
 NO_BASIS = "Вывод не подтверждён найденными нормативными фрагментами, поэтому категорический ответ не формируется. "
+REMOVED = "Из ответа удалены несуществующие ссылки на источники: "
+ABSENT = "В тексте ответа упомянуты номера актов, отсутствующие в найденном контексте: "
+TO_CHECK = ". Эти упоминания требуют экспертной проверки."
+BARE = "Утверждений без нормативной ссылки: "
+MARKED = ". Они помечены как интерпретация, а не как требование."
+EMPTY_ASSESSMENT = "Достаточное нормативное основание в доступной базе знаний не найдено — выводы носят исключительно ориентировочный характер."
+EMPTY_ANSWER = "Достаточное нормативное основание в доступной базе знаний не найдено."
+FRAGMENT, BEGINS, ENDS = "ФРАГМЕНТ", "НАЧАЛО", "КОНЕЦ"
+SOURCE, STATUS, TEXT = "    источник: ", "    статус: ", "    текст:"
 KINDS = ["normative_requirement", "regulatory_interpretation", "regulatory_risk", "potential_authority_question", "insufficient_basis"]
 DECISIONS = ["required", "not_required", "possible", "insufficient_data", "no_legal_basis_found"]
 CATEGORIES = ["pharmaceutical", "nonclinical", "clinical"]
@@ -38,10 +67,14 @@ def registry_ids(cited: DataFrame) -> DataFrame:
 def context(cited: DataFrame, most: int = 2600) -> DataFrame:
     """request, context: the numbered fragments in order, quoted text made harmless."""
     crumb = F.when(F.col("paragraph") != "", F.concat(F.lit("п. "), F.col("paragraph"))).otherwise("")
-    header = F.concat(F.lit("["), F.col("citation_id"), F.lit("] "), T.citation_header(F.col("short_title"), F.col("title"), crumb, F.lit("")))
-    tier = F.create_map(*[F.lit(x) for kv in TIER_LABELS.items() for x in kv])[F.col("source_tier")]
-    block = F.concat_ws("\n", F.concat(F.lit("<<<"), F.col("citation_id"), F.lit(">>>")), header, F.concat_ws(" | ", "source_authority", tier), T.neutral_delimiters(F.substring("text", 1, most)), F.concat(F.lit("<<</"), F.col("citation_id"), F.lit(">>>")))
-    blocks = cited.select("request", F.struct("citation_id", block.alias("block")).alias("b"))
+    label = lambda names, column, other: F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col(column)], F.lit(other))
+    n, mark = F.col("citation_id"), lambda word: F.concat(F.lit(f"<<<{FRAGMENT} "), F.col("citation_id"), F.lit(f" {word}>>>"))
+    lines = F.concat_ws("\n", mark(BEGINS),
+        F.concat(F.lit("["), n, F.lit("] "), T.citation_header(F.col("short_title"), F.col("title"), crumb, F.lit(""))),
+        F.concat(F.lit(SOURCE), F.col("source_authority"), F.lit(" | "), label(TIER_LABELS, "source_tier", OTHER_TIER)),
+        F.concat(F.lit(STATUS), label(STATUS_LABELS, "status", OTHER_STATUS), F.lit(" | "), label(VERSION_LABELS, "version_status", "")),
+        F.lit(TEXT), T.neutral_delimiters(F.substring("text", 1, most)), mark(ENDS))
+    blocks = cited.select("request", F.struct("citation_id", lines.alias("block")).alias("b"))
     return blocks.groupBy("request").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"]), "\n\n").alias("context"))
 
 
@@ -97,27 +130,76 @@ def report(statements: DataFrame, cited: DataFrame, prose: DataFrame, known: Dat
     r = by.join(acts, "request", "left").withColumn("unsupported", F.coalesce("unsupported", F.array().cast("array<string>")))
     listed = lambda c, a, b: F.array_join(F.transform(F.col(c), lambda i: F.concat(F.lit(a), i.cast("string"), F.lit(b))), ", ")
     messages = F.array_compact(F.array(
-        F.when(F.size("invalid_ids") > 0, F.concat(F.lit("Из ответа удалены несуществующие ссылки на источники: "), listed("invalid_ids", "[", "]"))),
-        F.when(F.size("unsupported") > 0, F.concat(F.lit("В тексте ответа упомянуты номера актов, отсутствующие в найденном контексте: "), listed("unsupported", "№ ", ""), F.lit(". Эти упоминания требуют экспертной проверки."))),
-        F.when(F.col("uncited") > 0, F.concat(F.lit("Утверждений без нормативной ссылки: "), F.col("uncited"), F.lit(". Они помечены как интерпретация, а не как требование."))),
+        F.when(F.size("invalid_ids") > 0, F.concat(F.lit(REMOVED), listed("invalid_ids", "[", "]"))),
+        F.when(F.size("unsupported") > 0, F.concat(F.lit(ABSENT), listed("unsupported", "№ ", ""), F.lit(TO_CHECK))),
+        F.when(F.col("uncited") > 0, F.concat(F.lit(BARE), F.col("uncited"), F.lit(MARKED))),
     ))
     ok = (F.size("invalid_ids") == 0) & (F.size("unsupported") == 0)
     return r.select("request", "invalid_ids", "unsupported", "uncited", ok.alias("ok"), messages.alias("messages"))
 
 
+def limited(found: DataFrame, requests: DataFrame, cited: DataFrame, first: str) -> DataFrame:
+    """A report with ``limitations``: the messages, after ``first`` where a request has no
+    citation at all.  Every request of ``requests`` has a row."""
+    ids = cited.groupBy("request").agg(F.count(F.lit(1)).alias("sources"))
+    r = requests.select("request").join(found, "request", "left").join(ids, "request", "left")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    said = F.coalesce("messages", none("string"))
+    return r.select(
+        "request", F.coalesce("invalid_ids", none("int")).alias("invalid_ids"), F.coalesce("unsupported", none("string")).alias("unsupported"), F.coalesce("uncited", F.lit(0)).alias("uncited"),
+        F.coalesce("ok", F.lit(True)).alias("ok"), F.col("sources").isNotNull().alias("sufficient_basis"), F.when(F.col("sources").isNull(), F.concat(F.array(F.lit(first)), said)).otherwise(said).alias("limitations"),
+    )
+
+
+def validated_assessment(statements: DataFrame, studies: DataFrame, decisions: DataFrame, found: DataFrame, classes: DataFrame, cited: DataFrame, known: DataFrame) -> DataFrame:
+    """The whole assessment of each request against its citations.
+
+    statements(request, no, part, kind, text, citation_ids) of the parts strategy, risk and
+    question; studies; decisions(request, no, name, status, rationale, citation_ids); conflicts
+    ``found``(request, citation_ids); classes(request, text).  Act numbers are looked for in the
+    class, in strategies and risks as validated, and in the rationales of the two first
+    decisions, ``bioequivalence`` and ``biowaiver``.
+    """
+    ids = registry_ids(cited)
+    s = validated_statements(statements, ids).join(statements.select("request", "no", "part"), ["request", "no"])
+    d = validated_decisions(decisions, ids).join(decisions.select("request", "no", "name"), ["request", "no"])
+    t = validated_studies(studies, ids)
+    gone = found.join(ids.select("request", "valid"), "request", "left").select("request", validated_ids(F.col("citation_ids"), F.col("valid"))[1].alias("invalid_ids"), F.lit(False).alias("uncited"))
+    every = s.select("request", "invalid_ids", "uncited").unionByName(t.select("request", "invalid_ids", "uncited")).unionByName(d.select("request", "invalid_ids", F.lit(False).alias("uncited"))).unionByName(gone)
+    prose = classes.select("request", "text").unionByName(s.where("part <> 'question'").select("request", "text")).unionByName(d.where("name in ('bioequivalence', 'biowaiver')").select("request", F.col("rationale").alias("text")))
+    return limited(report(every, cited, prose, known), classes, cited, EMPTY_ASSESSMENT)
+
+
+def validated_answers(answers: DataFrame, statements: DataFrame, cited: DataFrame, known: DataFrame) -> DataFrame:
+    """Chat answers(request, answer) with their statements: unknown references leave the
+    answer and count as invalid; act numbers are looked for in what is left."""
+    ids = registry_ids(cited)
+    a = answers.join(ids.select("request", "valid"), "request", "left").withColumn("have", F.coalesce("valid", F.array().cast("array<int>")))
+    kept = a.select("request", T.keep_known_references(F.col("answer"), F.col("have")).alias("answer"), F.filter(T.references(F.col("answer")), lambda i: ~F.array_contains("have", i)).alias("invalid_ids"))
+    s = validated_statements(statements, ids).select("request", "invalid_ids", "uncited")
+    every = s.unionByName(kept.select("request", "invalid_ids", F.lit(False).alias("uncited")))
+    found = report(every, cited, kept.select("request", F.col("answer").alias("text")), known)
+    return limited(found, answers, cited, EMPTY_ANSWER).join(kept.select("request", "answer"), "request")
+
+
 def conflicts(cited: DataFrame) -> DataFrame:
     """request, kind, number, citation_ids: repealed beside valid acts, one number in
-    several documents, binding beside foreign sources."""
-    n = cited.groupBy("request").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "superseded").alias("old"), F.count_if(F.col("status") != "superseded").alias("other"),
-        F.count_if(binding_eaeu()).alias("binding"), F.count_if(F.col("source_authority") != "EAEU").alias("foreign"),
-        F.array_sort(F.collect_list(F.when(F.col("status") == "superseded", F.col("citation_id")))).alias("old_ids"),
-        F.array_sort(F.collect_list(F.when(F.col("source_authority") != "EAEU", F.col("citation_id")))).alias("foreign_ids"),
-    ).where("n >= 2")
-    repealed = n.where("old > 0 and other > 0").select("request", F.lit("superseded").alias("kind"), F.lit("").alias("number"), F.col("old_ids").alias("citation_ids"))
-    foreign = n.where("binding > 0 and foreign > 0").select("request", F.lit("supplementary").alias("kind"), F.lit("").alias("number"), F.col("foreign_ids").alias("citation_ids"))
-    same = cited.where("document_number <> ''").groupBy("request", "document_number").agg(F.countDistinct("document_id").alias("d"), F.array_sort(F.collect_list("citation_id")).alias("citation_ids")).where("d > 1")
-    return repealed.unionByName(foreign).unionByName(same.select("request", F.lit("same_number").alias("kind"), F.col("document_number").alias("number"), "citation_ids"))
+    several documents, binding beside foreign sources.  One pass: a request's few
+    citations become an array, from which each kind is read."""
+    row = F.struct("citation_id", "document_id", F.col("document_number").alias("number"), (F.col("status") == "superseded").alias("old"), binding_eaeu().alias("binding"), (F.col("source_authority") != "EAEU").alias("foreign"))
+    by = cited.groupBy("request").agg(F.array_sort(F.collect_list(row)).alias("c"))
+    ids = lambda test: F.transform(F.filter("c", test), lambda x: x["citation_id"])
+    have = lambda test: F.exists("c", test)
+    entry = lambda kind, number, found: F.struct(F.lit(kind).alias("kind"), number.alias("number"), found.alias("citation_ids"))
+    several, none = F.size("c") >= 2, F.lit("")
+    repealed = F.when(several & have(lambda x: x["old"]) & have(lambda x: ~x["old"]), entry("superseded", none, ids(lambda x: x["old"])))
+    foreign = F.when(several & have(lambda x: x["binding"]) & have(lambda x: x["foreign"]), entry("supplementary", none, ids(lambda x: x["foreign"])))
+    numbers = F.array_distinct(F.filter(F.transform("c", lambda x: x["number"]), lambda n: n != ""))
+    of = lambda n: F.filter("c", lambda x: x["number"] == n)
+    shared = F.filter(numbers, lambda n: F.size(F.array_distinct(F.transform(of(n), lambda x: x["document_id"]))) > 1)
+    same = F.transform(shared, lambda n: entry("same_number", n, F.transform(of(n), lambda x: x["citation_id"])))
+    found = F.concat(F.array_compact(F.array(repealed, foreign)), same)
+    return by.select("request", F.explode(found).alias("f")).select("request", "f.kind", "f.number", "f.citation_ids")
 
 
 def confidence(cited: DataFrame, used: DataFrame, found: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:

@@ -72,7 +72,8 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int, where: Column |
 
     Exact.  ``where`` filters points before they are scored.  Each side is
     packed into blocks and every block of queries meets every block of points,
-    one matrix product a pair; a pair's best k travel on.
+    one matrix product a pair; a pair's best k travel on.  Pairs are dealt by
+    both blocks' numbers, so they spread over as many tasks as there are pairs.
     """
     ready = lambda df, name: df.where("embedding is not null").select(F.col(name).alias("id"), unit(F.col("embedding")).alias("v"), F.size("embedding").alias("d"))
     if where is not None:
@@ -89,7 +90,10 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int, where: Column |
 
     p = dealt(ready(points, "key"), 8192).groupBy("d", "block").applyInPandas(pack, packed)
     q = dealt(ready(queries, "query"), 1024).groupBy("d", "block").applyInPandas(pack, packed)
-    pairs = q.select("d", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).join(p, "d")
+    asked_by = q.groupBy("d").agg(F.max("block").alias("last"))  # a row a dimension
+    p = p.join(asked_by, "d").withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    q = q.select("d", F.col("block").alias("ask"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    pairs = p.join(q, ["d", "ask"]).repartition("d", "ask", "block")
 
     def score(batches):
         for pdf in batches:

@@ -53,7 +53,8 @@ def _(spark, sf):
 
 @query("s2_chunk_scan", "chunk", "SELECT document_id, ordinal, sha256(text) AS text_hash, is_card, char_count, token_estimate FROM chunk")
 def _(spark, sf):
-    return B.chunks(spark, sf).orderBy("chunk_id").select("document_id", "ordinal", F.sha2("text", 256).alias("text_hash"), "is_card", "char_count", "token_estimate")
+    narrow = B.chunks(spark, sf).select("chunk_id", "document_id", "ordinal", F.sha2("text", 256).alias("text_hash"), "is_card", "char_count", "token_estimate")
+    return narrow.orderBy("chunk_id").drop("chunk_id")
 
 
 @query("s3_point_lookup", "reg", "SELECT document_id, title FROM reg WHERE document_id = 7")
@@ -86,11 +87,14 @@ def _(spark, sf):
     from pyspark.sql import Window as W
 
     d = B.registry(spark, sf).select("document_id", "source_tier", "document_number")
-    groups = d.groupBy("source_tier", "document_number").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.orderBy(F.asc_nulls_first("source_tier"), F.asc_nulls_first("document_number"))) - F.col("n")
+    # places of numbers inside their tier, places of tiers (a row each), places of documents inside their number
+    numbers = d.groupBy("source_tier", "document_number").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("source_tier").orderBy(F.asc_nulls_first("document_number"))) - F.col("n")
+    tiers = numbers.groupBy("source_tier").agg(F.sum("n").alias("n"))
+    tiers = tiers.select("source_tier", (F.sum("n").over(W.orderBy(F.asc_nulls_first("source_tier"))) - F.col("n")).alias("above"))
+    starts = numbers.select("source_tier", "document_number", before.alias("before")).join(tiers, "source_tier")
     own = F.row_number().over(W.partitionBy("source_tier", "document_number").orderBy("document_id"))
-    starts = groups.withColumn("start", before).drop("n")
-    return d.join(F.broadcast(starts), ["source_tier", "document_number"]).select("document_id", (F.col("start") + own).alias("place"))
+    return d.join(starts, ["source_tier", "document_number"]).select("document_id", (F.col("above") + F.col("before") + own).alias("place"))
 
 
 UPSERT = "SELECT document_id, status FROM reg WHERE document_id % 10 <> 3 UNION ALL SELECT document_id, 'second' FROM reg WHERE document_id % 10 = 3"
@@ -316,14 +320,15 @@ LATIN = ["ibuprofen", "ckhx", "Schya", "omeprazolum", "aspirin", "torsemide", "w
 CYRILLIC = ["ибупрофен", "Щётка", "циклоспорин", "хлорид натрия", "юла"]
 
 
-@query("t14_to_latin", "", "SELECT * FROM (VALUES ('ибупрофен', 'ibuprofen'), ('Щётка', 'schetka'), ('циклоспорин', 'ciklosporin'), ('хлорид натрия', 'khlorid natriya'), ('юла', 'yula')) t(name, latin)")
+@query("t14_to_latin", "named", f"SELECT document_id, {Q.to_latin('name')} AS latin FROM named")
 def _(spark, sf):
-    return spark.createDataFrame([(x,) for x in CYRILLIC], "name string").select("name", N.to_latin(F.col("name")).alias("latin"))
+    return _named(spark, sf).select("document_id", N.to_latin(F.col("name")).alias("latin"))
 
 
-@query("t15_to_cyrillic", "", "SELECT * FROM (VALUES ('ibuprofen', 'ибупрофен'), ('ckhx', 'кхкс'), ('Schya', 'щя'), ('omeprazolum', 'омепразол'), ('aspirin', 'аспирин'), ('torsemide', 'торсемид'), ('warfarin', 'варфарин'), ('ph-th y', 'ф-т и')) t(name, cyrillic)")
+@query("t15_to_cyrillic", "", f"SELECT doc_id, {Q.to_cyrillic('w')} AS cyrillic FROM (SELECT doc_id, {Q.folded(Q.FIRST_WORDS)} AS w FROM documents)")
 def _(spark, sf):
-    return spark.createDataFrame([(x,) for x in LATIN], "name string").select("name", N.to_cyrillic(F.col("name")).alias("cyrillic"))
+    words = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 3), " ")
+    return B.read(spark, sf, "documents").select("doc_id", N.to_cyrillic(words).alias("cyrillic"))
 
 
 @query("t16_variants", "", "SELECT * FROM (VALUES ('омепразол', 'омепразол,omeprazol,omeprazole,omeprazolum,омепраз,omepraz,omeprazo,omeprazol'), ('леводопа', 'леводопа,levodopa,леводо,levodo')) t(name, variants)".replace(",omeprazo,omeprazol'", ",omeprazo'"))
@@ -339,9 +344,17 @@ def _(spark, sf):
 TITLES = ["О выборе с МНН «Эстриол» и «леводопа + карбидопа»", "«о выборе препарата»", "без кавычек", "«абв» «ЗОЛПИДЕМ.»"]
 
 
-@query("t18_title_names", "", "SELECT * FROM (VALUES (0, 'карбидопа,леводопа,эстриол'), (1, ''), (2, ''), (3, 'золпидем')) t(id, names)")
+def _named(spark, sf):
+    """Every document with one name, and a title that quotes two."""
+    names = list(N.ALIASES)
+    first, second = B._pick(names, F.col("document_id") % len(names)), B._pick(names, (F.col("document_id") * 7 + 3) % len(names))
+    quoted = F.concat(F.lit("О выборе «"), F.initcap(first), F.lit(" + "), second, F.lit("» и «лекарственного препарата», "), "title")
+    return B.registry(spark, sf).select("document_id", first.alias("name"), quoted.alias("title"))
+
+
+@query("t18_title_names", "named", f"SELECT document_id, {Q.from_title('title')} AS names FROM named")
 def _(spark, sf):
-    return spark.createDataFrame(list(enumerate(TITLES)), "id int, title string").select("id", F.array_join(N.from_title(F.col("title")), ",").alias("names"))
+    return _named(spark, sf).select("document_id", F.array_join(N.from_title(F.col("title")), ",").alias("names"))
 
 
 MSG = "id int, text string"
@@ -351,9 +364,16 @@ def _messages(spark):
     return spark.createDataFrame(list(enumerate(Q.MESSAGES)), MSG)
 
 
-@query("t19_detect_names", "", "SELECT * FROM (VALUES (0, 'ибупрофен'), (1, 'амлодипин'), (2, 'метформин'), (3, ''), (4, ''), (5, ''), (6, ''), (7, ''), (8, ''), (9, ''), (10, 'варфарин,дигоксин'), (11, '')) t(id, names)")
+def _said(spark, sf):
+    """Every turn of a conversation behind a message of an applicant, in turn."""
+    n = F.col("conv_id") + F.col("turn")
+    text = F.concat(B._pick(Q.MESSAGES, n % len(Q.MESSAGES)), F.lit(" "), F.coalesce("text", F.lit("")))
+    return B.read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), text.alias("text"))
+
+
+@query("t19_detect_names", "said spelled", f"SELECT s.id, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS names FROM said s LEFT JOIN spelled p ON contains({Q.folded('s.text')}, p.spelling) GROUP BY s.id")
 def _(spark, sf):
-    return N.detect(_messages(spark), "id", "text", N.vocabulary(spark)).select("id", F.array_join("inns", ",").alias("names"))
+    return N.detect(_said(spark, sf), "id", "text", N.vocabulary(spark)).select("id", F.array_join("inns", ",").alias("names"))
 
 
 @query("t20_register_names", "", f"SELECT inn FROM (VALUES {', '.join('(' + Q.q(n) + ')' for n in [*N.ALIASES, 'эстриол'])}) t(inn)")
@@ -362,9 +382,9 @@ def _(spark, sf):
     return N.registered(N.vocabulary(spark), new)
 
 
-@query("t21_fold", "msg", f"SELECT id, translate(trim(regexp_replace(lower(text), '{Q.BLANK}+', ' ', 'g')), 'ё', 'е') AS folded, regexp_matches(text, '[А-Яа-яЁё]') AS cyrillic FROM msg")
+@query("t21_fold", "said", f"SELECT id, sha256({Q.folded('text')}) AS folded, regexp_matches(text, '[А-Яа-яЁё]') AS cyrillic FROM said")
 def _(spark, sf):
-    return _messages(spark).select("id", N.folded(F.col("text")).alias("folded"), N.is_cyrillic(F.col("text")).alias("cyrillic"))
+    return _said(spark, sf).select("id", F.sha2(N.folded(F.col("text")), 256).alias("folded"), N.is_cyrillic(F.col("text")).alias("cyrillic"))
 
 
 STRENGTHS = ["400 мг", "5 мг", "", "", "", "20 мг", "10 мг/мл", "", "", "", "", "5 г"]
@@ -439,14 +459,14 @@ def _(spark, sf):
     return P.search(spark, sf, "vector").dense
 
 
-DENSE_WHERE = "SELECT * FROM (SELECT q.vec_id AS query, p.vec_id AS key, round(list_inner_product(q.v, p.v), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.v, p.v), 6) DESC, p.vec_id)::INT AS rank FROM vec q, vec p WHERE q.vec_id < 25 AND p.vec_id IN (SELECT document_id FROM reg WHERE source_authority = 'EAEU')) WHERE rank <= 40"
+DENSE_WHERE = "SELECT * FROM (SELECT q.vec_id AS query, p.vec_id AS key, round(list_inner_product(q.v, p.v), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.v, p.v), 6) DESC, p.vec_id)::INT AS rank FROM vec q, vec p WHERE q.vec_id % 100 = 0 AND p.vec_id IN (SELECT document_id FROM reg WHERE source_authority = 'EAEU')) WHERE rank <= 40"
 
 
 @query("k4_dense_filter", "vec reg", DENSE_WHERE)
 def _(spark, sf):
     v = B.vectors(spark, sf)
     p = v.join(B.registry(spark, sf).select("document_id", "source_authority"), "document_id").withColumnRenamed("document_id", "key")
-    return R.dense_search(p, v.where("document_id < 25").withColumnRenamed("document_id", "query"), 40, F.col("source_authority") == "EAEU")
+    return R.dense_search(p, v.where("document_id % 100 = 0").withColumnRenamed("document_id", "query"), 40, F.col("source_authority") == "EAEU")
 
 
 @query("k5_embed")
@@ -585,12 +605,17 @@ def _cited(spark, sf):
     return P.search(spark, sf).cited()
 
 
-def _valid(spark, sf):
-    return G.validated_statements(_statements(spark, sf), G.registry_ids(_cited(spark, sf)))
+def _settled(spark, sf):
+    """The citations, a dozen a request at most, for plans that read them several times."""
+    return P.settled(_cited(spark, sf))
+
+
+def _valid(spark, sf, cited=None):
+    return G.validated_statements(_statements(spark, sf), G.registry_ids(_cited(spark, sf) if cited is None else cited))
 
 
 def _report(spark, sf):
-    c = _cited(spark, sf)
+    c = _settled(spark, sf)
     s = _statements(spark, sf)
     return G.report(G.validated_statements(s, G.registry_ids(c)), c, s.select("request", "text"), S.numbers(B.registry(spark, sf)))
 
@@ -634,23 +659,49 @@ def _(spark, sf):
     return G.validated_studies(s, G.registry_ids(_cited(spark, sf))).select("request", "no", "category", "category_no", "kind", "necessity")
 
 
-@query("g8_report", "val1", "SELECT request, len(flatten(list(invalid)))::INT AS n_invalid, count(*) FILTER (uncited) AS uncited FROM val1 GROUP BY request")
+BAD = "(request % 25)::VARCHAR NOT IN (SELECT document_number FROM reg) AND NOT EXISTS (SELECT 1 FROM cit c WHERE c.request = v.request AND c.document_number = (v.request % 25)::VARCHAR)"
+
+
+def _messages_sql(invalid: str, bad: str, uncited: str, first: str = "NULL") -> str:
+    gone = f"CASE WHEN len({invalid}) > 0 THEN {Q.q(G.REMOVED)} || array_to_string(list_transform({invalid}, lambda i: '[' || i || ']'), ', ') END"
+    acts = f"CASE WHEN {bad} THEN {Q.q(G.ABSENT)} || '№ ' || (request % 25) || {Q.q(G.TO_CHECK)} END"
+    bare = f"CASE WHEN {uncited} > 0 THEN {Q.q(G.BARE)} || {uncited} || {Q.q(G.MARKED)} END"
+    return f"array_to_string(list_filter([{first}, {gone}, {acts}, {bare}], lambda m: m IS NOT NULL), chr(10))"
+
+
+def _limited_sql(invalid: str, uncited: str, first: str, more: str = "") -> str:
+    """A report over val1 grouped by request; ``l`` holds the statements' unknown ids, ``u`` how many are uncited."""
+    return f"""SELECT request, array_to_string(inv, ',') AS invalid, CASE WHEN bad THEN (request % 25)::VARCHAR ELSE '' END AS unsupported, unc AS uncited, len(inv) = 0 AND NOT bad AS ok, basis AS sufficient_basis,
+{_messages_sql('inv', 'bad', 'unc', f"CASE WHEN NOT basis THEN {Q.q(first)} END")} AS limitations{more} FROM (SELECT v.*, list_sort({invalid}) AS inv, {uncited} AS unc, {BAD} AS bad, coalesce(len(i.valid), 0) > 0 AS basis, b.text AS question
+FROM (SELECT request, flatten(list(invalid)) AS l, count(*) FILTER (uncited) AS u FROM val1 GROUP BY request) v JOIN benchmark b ON b.item_id = v.request LEFT JOIN ids i USING (request))"""
+
+
+def _limited(df, *more):
+    return df.select("request", joined("invalid_ids").alias("invalid"), joined("unsupported").alias("unsupported"), "uncited", "ok", "sufficient_basis", F.array_join("limitations", "\n").alias("limitations"), *more)
+
+
+@query("g8_report", "val1 ids cit reg", _limited_sql("list_concat(list_concat(l, l), l)", "u * 2", G.EMPTY_ASSESSMENT))
 def _(spark, sf):
-    return _report(spark, sf).select("request", F.size("invalid_ids").alias("n_invalid"), "uncited")
+    """Whole assessments: the statements as parts, as studies and, but for the last of each, as decisions; the last one's ids as a conflict's."""
+    c, s = _settled(spark, sf), _statements(spark, sf)
+    parts = s.withColumn("part", B._pick(["strategy", "risk", "question", "strategy"], F.col("no")))
+    studies = s.withColumns({"category": B._pick(G.CATEGORIES, F.col("no") % 3), "necessity": F.lit("требуется")})
+    decisions = s.where("no < 3").withColumns({"name": B._pick(["bioequivalence", "biowaiver", "additional_strengths"], F.col("no")), "status": B._pick(G.DECISIONS, (F.col("request") + F.col("no")) % 5), "rationale": F.col("text")})
+    classes = B.questions(spark, sf).select(F.col("item_id").alias("request"), F.lit("Класс").alias("text"))
+    r = G.validated_assessment(parts, studies, decisions, s.where("no = 3").select("request", "citation_ids"), classes, c, S.numbers(B.registry(spark, sf)))
+    return _limited(r)
 
 
-@query("g9_chat_answer")
+@query("g9_chat_answer", "val1 ids cit reg", _limited_sql("list_concat(l, CASE WHEN coalesce(len(i.valid), 0) > 0 THEN [40, 77] ELSE [1, 40, 77] END)", "u", G.EMPTY_ANSWER, ", question || ' решение Совета № ' || (request % 25) || CASE WHEN basis THEN ' [1] ' ELSE '  ' END AS answer"))
 def _(spark, sf):
-    ids = G.registry_ids(_cited(spark, sf))
-    said = B.questions(spark, sf).select(F.col("item_id").alias("request"), F.concat("question", F.lit(" [1, 40] [77]")).alias("answer"))
-    known = said.join(ids.select("request", "valid"), "request", "left")
-    return known.select("request", T.keep_known_references(F.col("answer"), F.coalesce("valid", F.array().cast("array<int>"))).alias("answer"), F.col("valid").isNotNull().alias("sufficient_basis"))
+    c = _settled(spark, sf)
+    said = B.questions(spark, sf).select(F.col("item_id").alias("request"), F.concat("question", F.lit(" решение Совета № "), F.col("item_id") % 25, F.lit(" [1, 40] [77]")).alias("answer"))
+    return _limited(G.validated_answers(said, _statements(spark, sf), c, S.numbers(B.registry(spark, sf))), "answer")
 
 
-@query("g10_messages", "val1 cit reg", """SELECT request, bool_and(len(invalid) = 0) AND NOT any_value(bad) AS ok, (CASE WHEN sum(len(invalid)) > 0 THEN 1 ELSE 0 END + any_value(bad)::INT + CASE WHEN bool_or(uncited) THEN 1 ELSE 0 END)::INT AS n_messages
-FROM (SELECT v.*, (request % 25)::VARCHAR NOT IN (SELECT document_number FROM reg) AND NOT EXISTS (SELECT 1 FROM cit c WHERE c.request = v.request AND c.document_number = (v.request % 25)::VARCHAR) AS bad FROM val1 v) GROUP BY request""")
+@query("g10_messages", "val1 cit reg", f"SELECT request, len(inv) = 0 AND NOT bad AS ok, {_messages_sql('inv', 'bad', 'u')} AS messages FROM (SELECT *, {BAD} AS bad FROM (SELECT request, list_sort(flatten(list(invalid))) AS inv, count(*) FILTER (uncited) AS u FROM val1 GROUP BY request) v)")
 def _(spark, sf):
-    return _report(spark, sf).select("request", "ok", F.size("messages").alias("n_messages"))
+    return _report(spark, sf).select("request", "ok", F.array_join("messages", "\n").alias("messages"))
 
 
 CONFLICTS = """
@@ -667,8 +718,8 @@ def _(spark, sf):
 USED = "SELECT request, list_sort(list_distinct(flatten(list(kept)))) AS ids, count(*) AS total, count(*) FILTER (len(kept) > 0) AS cited, request % 2 = 0 AS input_sufficient FROM val0 GROUP BY request"
 
 
-def _used(spark, sf):
-    v = _valid(spark, sf)
+def _used(spark, sf, cited=None):
+    v = _valid(spark, sf, cited)
     return v.groupBy("request").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("citation_ids")))).alias("ids"), F.count(F.lit(1)).alias("total"), F.count_if(F.size("citation_ids") > 0).alias("cited")).withColumn("input_sufficient", F.col("request") % 2 == 0)
 
 
@@ -684,8 +735,8 @@ LEFT JOIN (SELECT DISTINCT request FROM ({CONFLICTS})) c USING (request))"""
 
 @query("g12_confidence", "cit val0", CONFIDENCE)
 def _(spark, sf):
-    c = _cited(spark, sf)
-    return G.confidence(c, _used(spark, sf), G.conflicts(c))
+    c = _settled(spark, sf)
+    return G.confidence(c, _used(spark, sf, c), G.conflicts(c))
 
 
 @query("g13_version_note", "cit", "SELECT request, count(*) FILTER (version_status = 'requires_expert_validation') AS unverified, count(*) AS total FROM cit GROUP BY request HAVING count(*) FILTER (version_status = 'requires_expert_validation') > 0")
@@ -721,13 +772,22 @@ def _(spark, sf):
 
 @query("g19_shown_sources", "cit val0", f"SELECT request, citation_id, document_id FROM (SELECT cit.*, coalesce(list_contains(ids, citation_id), false) AS own, bool_or(coalesce(list_contains(ids, citation_id), false)) OVER (PARTITION BY request) AS any_own FROM cit LEFT JOIN ({USED}) USING (request)) WHERE own OR (NOT any_own AND citation_id <= 5)")
 def _(spark, sf):
-    return G.shown_sources(_cited(spark, sf), _used(spark, sf))
+    c = _settled(spark, sf)
+    return G.shown_sources(c, _used(spark, sf, c))
+
+
+def _label(names: dict[str, str], column: str, other: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {Q.q(k)} THEN {Q.q(v)}" for k, v in names.items()) + f" ELSE {Q.q(other)} END"
+
+
+CONTEXT = f"""SELECT request, string_agg('<<<{G.FRAGMENT} ' || citation_id || ' {G.BEGINS}>>>' || chr(10) || '[' || citation_id || '] ' || coalesce(nullif(short_title, ''), substr(title, 1, 110)) || CASE WHEN paragraph <> '' THEN ' · п. ' || paragraph ELSE '' END || chr(10)
+|| {Q.q(G.SOURCE)} || source_authority || ' | ' || {_label(G.TIER_LABELS, 'source_tier', G.OTHER_TIER)} || chr(10) || {Q.q(G.STATUS)} || {_label(G.STATUS_LABELS, 'status', G.OTHER_STATUS)} || ' | ' || {_label(G.VERSION_LABELS, 'version_status', '')} || chr(10)
+|| {Q.q(G.TEXT)} || chr(10) || regexp_replace(regexp_replace(substr(text, 1, 2600), '<{{3,}}', '<<', 'g'), '>{{3,}}', '>>', 'g') || chr(10) || '<<<{G.FRAGMENT} ' || citation_id || ' {G.ENDS}>>>', chr(10) || chr(10) ORDER BY citation_id) AS context FROM cit GROUP BY request"""
 
 
-@query("t12_context", "cit", "SELECT request, count(*)::INT AS fragments FROM cit GROUP BY request")
+@query("t12_context", "cit", CONTEXT)
 def _(spark, sf):
-    c = G.context(_cited(spark, sf))
-    return c.select("request", F.regexp_count("context", F.lit(r"<<<[0-9]+>>>")).alias("fragments"))
+    return G.context(_cited(spark, sf))
 
 
 # Intake.
@@ -742,9 +802,11 @@ def _(spark, sf):
     return _profiles(spark).select("id", "route_of_administration", "product_type", "release_type")
 
 
-@query("c2_first_match", "voc", "SELECT id, form FROM voc")
+@query("c2_first_match", "said", f"SELECT id, {Q.case(I.FORMS, Q.low('text'), '')} AS form, {Q.case(I.ROUTES, Q.low('text'), '')} AS route, {Q.case(I.RELEASES, Q.low('text'), 'unknown')} AS release FROM said")
 def _(spark, sf):
-    return _messages(spark).select("id", I.first_match(F.translate(F.lower("text"), "ё", "е"), I.FORMS).alias("form"))
+    low = F.translate(F.lower("text"), "ё", "е")
+    first = lambda table, name, none: F.coalesce(F.nullif(I.first_match(low, table), F.lit("")), F.lit(none)).alias(name)
+    return _said(spark, sf).select("id", first(I.FORMS, "form", ""), first(I.ROUTES, "route", ""), first(I.RELEASES, "release", "unknown"))
 
 
 @query("c3_inn_guess", "", "SELECT * FROM (VALUES (0, 'ибупрофен'), (1, 'амлодипин'), (2, 'метформин'), (3, ''), (4, ''), (5, ''), (6, ''), (7, ''), (8, ''), (9, ''), (10, 'варфарин'), (11, '')) t(id, inn)")
@@ -836,9 +898,9 @@ def _(spark, sf):
     return V.answer_metrics(v.withColumn("abstained", F.col("valid_ids") == 0))
 
 
-@query("e6_report", "sel rel", f"SELECT request, first_hit, least(coalesce(retrieved, 0), 5)::INT AS titles FROM ({EVAL.format(sel='sel')})")
+@query("e6_report", "sel rel", f"SELECT o.request, first_hit, coalesce(ranks, '') AS ranks, coalesce(t.titles, '') AS titles FROM ({EVAL.format(sel='sel')}) o LEFT JOIN (SELECT request, string_agg(title, chr(10) ORDER BY rank) AS titles FROM sel WHERE rank <= 5 GROUP BY request) t USING (request)")
 def _(spark, sf):
-    return V.report(_outcomes(spark, sf)).select("request", "first_hit", F.coalesce(F.size("titles"), F.lit(0)).alias("titles")).withColumn("titles", F.greatest("titles", F.lit(0)))
+    return V.report(_outcomes(spark, sf)).select("request", "first_hit", joined("ranks").alias("ranks"), F.coalesce(F.array_join("titles", "\n"), F.lit("")).alias("titles"))
 
 
 # Ingestion.

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.config import DEFAULT, EngineConfig
@@ -12,8 +13,6 @@ from quillon.operators import ranking as R
 from quillon.sources import tables
 
 ORDINALS = 1_000_000
-#: Questions in one automaton.
-QUESTIONS = 20_000
 
 
 def keyed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,36 +84,47 @@ def search(spark: SparkSession, sf_dir: str, mode: str = "hybrid-rerank") -> Sea
     return Search(spark, sf_dir, mode=mode)
 
 
-def relevant(spark: SparkSession, sf_dir: str, block: int = QUESTIONS) -> DataFrame:
+#: Words in a row by which a question is looked up, most first.
+GRAMS = (4, 2, 1)
+
+
+def _grams(n: int) -> Column:
+    """Hashes of all ``n`` words in a row of ``w``."""
+    starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("w", i, n), " ")))
+
+
+def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """request, document_id: documents that hold the whole question.
 
-    Questions go to the tasks in blocks of a fixed size, each as one automaton
-    that reads a text once whatever the number of questions; texts stay where
-    they are.
+    Words are what stands between single spaces.  A question's words but its first
+    and last stand in a row, and whole, in every text that holds it.  So each question
+    is looked up by the least hash of ``GRAMS`` of them in a row (as many as it has), and
+    the whole question confirmed.  Questions of one or two words are searched for in
+    each text.  Which side of the join is broadcast, if any, Spark decides by its size.
     """
-    q = tables.questions(spark, sf_dir).where("question <> ''")
-    blocks = max(1, -(-q.count() // block))
-    docs = tables.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
-    found = []
-    for b in range(blocks):
-        asked_for: dict[str, list[int]] = {}
-        for r in q.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect():
-            asked_for.setdefault(r.question, []).append(r.item_id)
-        found.append(docs.mapInPandas(_holders(asked_for), "request long, document_id long"))
-    return R.union(found)
-
-
-def _holders(asked_for: dict[str, list[int]]):
-    def run(batches):
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for question, items in asked_for.items():
-            automaton.add_word(question, items)
-        if asked_for:
-            automaton.make_automaton()
-        for pdf in batches:
-            hits = [(i, d) for d, t in zip(pdf.doc_id, pdf.text, strict=True) for i in ({i for _, items in automaton.iter(t) for i in items} if asked_for else ())]
-            yield pd.DataFrame(hits, columns=["request", "document_id"]).astype("int64")
-
-    return run
+    q = tables.questions(spark, sf_dir).where("question <> ''").withColumn("w", F.split("question", " ")).withColumn("inside", F.size("w") - 2)
+    docs = tables.read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("document_id"), "text")
+    size = F.when(F.col("inside") >= GRAMS[0], GRAMS[0]).when(F.col("inside") >= GRAMS[1], GRAMS[1]).otherwise(GRAMS[2])
+    long = q.where("inside >= 1").withColumn("n", size)
+    own = F.transform(F.sequence(F.lit(2), F.col("inside") - F.col("n") + 2), lambda i: F.xxhash64("n", F.array_join(F.slice("w", i, F.col("n")), " ")))
+    long = long.select(F.col("item_id").alias("request"), "question", F.array_min(own).alias("gram"))
+    words = docs.select("document_id", F.split("text", " ").alias("w"))
+    grams = [_grams(n) for n in GRAMS]
+    placed = words.select("document_id", F.explode(F.concat(*grams)).alias("gram"))
+    met = placed.join(long, "gram").select("document_id", "request", "question").distinct()
+    found = met.join(docs, "document_id").where(F.contains("text", "question")).select("request", "document_id")
+    short = q.where("inside < 1").select(F.col("item_id").alias("request"), "question")
+    return found.unionByName(docs.join(short, F.contains("text", "question")).select("request", "document_id"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, for plans that read a small result of a
+    long plan several times.  The folder is the cluster's; a local master may use its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()

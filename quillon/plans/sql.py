@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.functions import inn as N
 from quillon.functions import text as T
 from quillon.operators import intake as I
 
@@ -162,6 +163,35 @@ def case(needles: list[tuple[str, str]], x: str, default: str, pattern: bool = F
     return "CASE " + " ".join(f"WHEN {hit.format(x=x, n=q(n))} THEN {q(v)}" for n, v in needles) + f" ELSE {q(default)} END"
 
 
+def low(x: str) -> str:
+    return f"translate(lower({x}), 'ё', 'е')"
+
+
+def folded(x: str) -> str:
+    return f"translate({trim(f"regexp_replace(lower(coalesce({x}, '')), '{BLANK}+', ' ', 'g')")}, 'ё', 'е')"
+
+
+def to_latin(x: str) -> str:
+    letters = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in N.TO_LATIN.items()) + "}"
+    return f"array_to_string(list_transform(regexp_extract_all({folded(x)}, '(?s:.)'), lambda c: coalesce({letters}[c], c)), '')"
+
+
+def to_cyrillic(x: str) -> str:
+    """Of a folded text."""
+    cut = "CASE " + " ".join(f"WHEN {x} LIKE '%{e}' AND length({x}) > {len(e) + 4} THEN substr({x}, 1, length({x}) - {len(e)})" for e in N.SUFFIXES) + f" ELSE {x} END"
+    letters = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in N.TO_CYRILLIC.items()) + "}"
+    return f"array_to_string(list_transform(regexp_extract_all({cut}, '{'|'.join(N.TO_CYRILLIC)}|(?s:.)'), lambda c: coalesce({letters}[c], c)), '')"
+
+
+def from_title(x: str) -> str:
+    clean = f"list_transform(regexp_extract_all({x}, '«([^«»]{{3,80}})»', 1), lambda t: {folded("replace(t, '+', ' + ')")})"
+    named = lambda y: " AND ".join(f"NOT contains({y}, {q(m)})" for m in N.NOT_A_NAME)
+    clean = f"list_filter({clean}, lambda t: length(t) BETWEEN 4 AND 70 AND {named('t')})"
+    parts = f"flatten(list_transform({clean}, lambda t: list_transform(string_split_regex(t, '{BLANK}*\\+{BLANK}*'), lambda p: regexp_replace(p, '^[ .,;:()\\[\\]]+|[ .,;:()\\[\\]]+$', '', 'g'))))"
+    return f"array_to_string(list_sort(list_distinct(list_filter({parts}, lambda p: length(p) >= 4 AND {named('p')}))), ',')"
+
+
+FIRST_WORDS = "array_to_string(string_split(coalesce(text, ''), ' ')[1:3], ' ')"
 MESSAGES = [
     "МНН: ибупрофен\nЛекарственная форма: таблетки\nДозировка: 400 мг\nПуть введения: внутрь\nТип препарата: воспроизведённый\nВысвобождение: немедленное",
     "Нужна ли биоэквивалентность для таблеток амлодипина 5 мг, генерик?",
@@ -177,5 +207,12 @@ MESSAGES = [
     "Комбинированный препарат, мазь, наружно 5 г",
 ]
 define("msg", (), "SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(m)})" for i, m in enumerate(MESSAGES)) + ") t(id, text)")
+_NAMES = list(N.ALIASES)
+define("said", (), f"SELECT conv_id * 1000 + turn AS id, {pick(MESSAGES, f'((conv_id + turn) % {len(MESSAGES)})')} || ' ' || coalesce(text, '') AS text FROM conversations")
+define("named", ("reg",), f"""SELECT document_id, name, 'О выборе «' || upper(substr(name, 1, 1)) || CASE WHEN contains(name, ' ') THEN substr(name, 2, instr(name, ' ') - 1) || upper(substr(name, instr(name, ' ') + 1, 1)) || substr(name, instr(name, ' ') + 2) ELSE substr(name, 2) END
+|| ' + ' || {pick(_NAMES, f'((document_id * 7 + 3) % {len(_NAMES)})')} || '» и «лекарственного препарата», ' || title AS title FROM (SELECT document_id, title, {pick(_NAMES, f'(document_id % {len(_NAMES)})')} AS name FROM reg)""")
+define("alias", (), "SELECT * FROM (VALUES " + ", ".join(f"({q(n)}, {q(o)})" for n, others in N.ALIASES.items() for o in (n, *others)) + ") t(name, spelling)")
+define("spelled", ("alias",), f"""SELECT DISTINCT name, spelling FROM (SELECT name, unnest(CASE WHEN length(s) > 7 AND NOT contains(s, ' ') THEN [s, substr(s, 1, length(s) - 2)] ELSE [s] END) AS spelling
+FROM (SELECT name, spelling AS s FROM alias UNION SELECT name, {to_latin('name')} FROM alias)) WHERE length(spelling) >= 5""")
 define("low", ("msg",), "SELECT *, translate(lower(text), 'ё', 'е') AS low FROM msg")
 define("voc", ("low",), f"SELECT id, text, low, {case(I.FORMS, 'low', '')} AS form, {case(I.ROUTES, 'low', '')} AS route, {case(I.KINDS, 'low', 'unknown', True)} AS kind, {case(I.RELEASES, 'low', 'unknown')} AS release FROM low")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,19 +59,27 @@ def registry(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
 
 def blocks(text: Column, size: int) -> Column:
     """Array of (block, text): lines packed by the place of their first character,
-    ``size`` characters a block.  A fold inside the row; nothing is shuffled."""
-    lines = F.filter(F.transform(F.split(text, "\n"), T.trimmed), lambda x: x != "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<block:long,text:string>>").alias("out"))
-
-    def add(acc, line):
-        block = F.floor(acc["at"] / size)
-        last = F.try_element_at(acc["out"], F.lit(-1))
-        same = last["block"] == block
-        grown = F.struct(block.alias("block"), F.when(same, F.concat(last["text"], F.lit("\n"), line)).otherwise(line).alias("text"))
-        head = F.when(same, F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1)).otherwise(acc["out"])
-        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.concat(head, F.array(grown)).alias("out"))
-
-    return F.aggregate(lines, start, add, lambda acc: acc["out"])
+    ``size`` characters a block.  Linear in the text, which a fold of arrays is not;
+    nothing is shuffled."""
+    space = " \t\n\r\f\x0b"
+
+    @F.pandas_udf("array<struct<block:long,text:string>>")
+    def pack(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            found: list[tuple[int, list[str]]] = []
+            at = 0
+            for line in (t or "").split("\n"):
+                if line := line.strip(space):
+                    if found and found[-1][0] == at // size:
+                        found[-1][1].append(line)
+                    else:
+                        found.append((at // size, [line]))
+                    at += len(line) + 1
+            out.append([{"block": b, "text": "\n".join(lines)} for b, lines in found])
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    return pack(text)
 
 
 def chunks(spark: SparkSession, sf_dir: str, config: EngineConfig = DEFAULT) -> DataFrame:
