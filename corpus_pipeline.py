@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import mixing, neardup, packing, pii, toxicity
-from quillon.llm.common import stored
+from quillon.llm.common import forget, stored
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed sequences; each stage's result is written as Parquet and read again."""
+    """Packed sequences; each stage's result is written as Parquet and read again, and
+    the one before it, which nothing reads any more, deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        after = stored(stage(spark, docs, sf_dir), name)
+        if k:
+            forget(docs)
+        docs = after
     return docs
