@@ -316,8 +316,6 @@ def _(spark, sf):
     return pairs.where(T.matches_expected(F.col("x"), F.col("y"), F.lit(""))).select("a", "b")
 
 
-LATIN = ["ibuprofen", "ckhx", "Schya", "omeprazolum", "aspirin", "torsemide", "warfarin", "ph-th y"]
-CYRILLIC = ["ибупрофен", "Щётка", "циклоспорин", "хлорид натрия", "юла"]
 
 
 @query("t14_to_latin", "named", f"SELECT document_id, {Q.to_latin('name')} AS latin FROM named")

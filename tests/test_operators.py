@@ -68,29 +68,47 @@ def test_act_numbers(spark):
     assert one(spark, T.act_numbers(F.col("t")), t="Решение Совета ЕЭК № 85 и рекомендации № 7, пункт № 9") == ["7", "85"]
 
 
-def test_transliteration_order(spark):
-    """Replacements in order agree with reading from the left, longest first."""
-    pairs = [*N.DIGRAPHS[:1], *[p for p in N.DIGRAPHS[1:]], *zip(*N.LETTERS, strict=True)]
-    rng = random.Random(4)
-    words = ["".join(rng.choice("schkzyuapthxbq") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
-
-    def left(word):
-        for s in N.SUFFIXES:
-            if word.endswith(s) and len(word) > len(s) + 4:
-                word = word[: -len(s)]
-                break
-        out, i, table = "", 0, sorted(pairs, key=lambda p: -len(p[0]))
-        while i < len(word):
-            for a, b in table:
-                if word.startswith(a, i):
-                    out, i = out + b, i + len(a)
-                    break
-            else:
-                out, i = out + word[i], i + 1
-        return out
-
-    df = spark.createDataFrame([(w,) for w in words], "w string")
-    assert [r.c for r in df.select(N.to_cyrillic(F.col("w")).alias("c")).collect()] == [left(w) for w in words]
+def test_transliteration(spark):
+    """Spellings are read from the left, the longer one first; endings go before."""
+    latin = {"ibuprofen": "ибупрофен", "ckhx": "кхкс", "Schya": "щя", "omeprazolum": "омепразол", "aspirin": "аспирин", "torsemide": "торсемид", "warfarin": "варфарин", "ph-th y": "ф-т и"}
+    cyrillic = {"ибупрофен": "ibuprofen", "Щётка": "schetka", "циклоспорин": "ciklosporin", "хлорид натрия": "khlorid natriya", "юла": "yula"}
+    for pairs, way in ((latin, N.to_cyrillic), (cyrillic, N.to_latin)):
+        rows = spark.createDataFrame(list(pairs.items()), "given string, want string").select("want", way(F.col("given")).alias("got")).collect()
+        assert all(r.want == r.got for r in rows)
+
+
+def test_quoted_names(spark):
+    titles = {"О выборе с МНН «Эстриол» и «леводопа + карбидопа»": ["карбидопа", "леводопа", "эстриол"], "«о выборе препарата»": [], "": []}
+    rows = spark.createDataFrame([(t,) for t in titles], "title string").select("title", N.from_title(F.col("title")).alias("names")).collect()
+    assert all(r.names == titles[r.title] for r in rows)
+
+
+def test_a_vocabulary_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(N, "MOST_NAMES", 2)
+    texts = spark.createDataFrame([(1, "варфарин")], "id int, text string")
+    with pytest.raises(ValueError):
+        N.detect(texts, "id", "text", N.vocabulary(spark))
+
+
+def test_blocks(spark):
+    """Lines are packed by where they begin, whatever the text's length and spaces."""
+    from quillon.sources.tables import blocks
+
+    text = "\n".join([" ab ", "", "c" * 25, "\x0bd\t", "e"])
+    got = spark.createDataFrame([(text,), ("",), (" \n",)], "t string").select(blocks(F.col("t"), 10).alias("b")).collect()
+    assert [(b.block, b.text) for b in got[0].b] == [(0, "ab\n" + "c" * 25), (2, "d"), (3, "e")] and got[1].b == got[2].b == []
+
+
+def test_relevant_short_questions(spark, tmp_path):
+    """Questions of any length, also inside words, are found where they stand."""
+    from quillon.plans import retrieval as P
+
+    texts = ["xone two three four five sixy", "one two", "a one  two b", "tone", "one two three"]
+    asked = ["one two three four five six", "one two", "one", "one  two", "two three", "one two three", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in P.relevant(spark, str(tmp_path)).collect())
+    assert got == sorted((i, d) for i, a in enumerate(asked) for d, t in enumerate(texts) if a and a in t)
 
 
 def test_tier_policy_against_fold(spark):
