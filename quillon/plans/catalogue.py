@@ -316,8 +316,6 @@ def _(spark, sf):
     return pairs.where(T.matches_expected(F.col("x"), F.col("y"), F.lit(""))).select("a", "b")
 
 
-
-
 @query("t14_to_latin", "named", f"SELECT document_id, {Q.to_latin('name')} AS latin FROM named")
 def _(spark, sf):
     return _named(spark, sf).select("document_id", N.to_latin(F.col("name")).alias("latin"))
