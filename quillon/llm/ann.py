@@ -10,9 +10,9 @@ of q with a probability that rises steeply with ``BOUND``.
 
 A block of queries meets a block of vectors in one task.  The bits give every
 estimate; the exact inner products of the k best estimates give the bar, and
-each vector whose upper bound reaches the bar is ranked again, in single precision to leave out what
-rounding can't bring back, then by its exact inner product in double precision.  The best k of each block then meet in one
-top-k per query.
+each vector whose upper bound reaches the bar is ranked again, in single precision to leave out what rounding can't bring back,
+then by its exact inner product in double precision.  The best k of each block
+then meet in one top-k per query.
 
 Blocks: vectors and queries are dealt by a hash of the id into blocks of about
 ``BLOCK`` and ``QUERIES`` rows, packed as binary; only block rows travel, each
@@ -161,7 +161,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0),
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
      p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS score
            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)

@@ -17,6 +17,8 @@ on the driver.  Each cell has a part for every ``PART_ROWS`` rows; a text
 copied more often than that is dealt over parts of its own.  Parts are counted
 and accumulated inside their cell, and each part numbers its own rows.
 
+Files: ``write`` sends runs of ``FILE_ROWS`` places to one task each.
+
 Null text: size 16, checksum of the empty text.  Null language or source:
 first in the list.  Null or repeated doc_id: rows stay.  Empty table: no rows.
 """
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut, documents
 
 BITS, SHARDS, PART_ROWS = 5, 40, 20_000
+#: Rows of a run that one task writes to a file of its shard.
+FILE_ROWS = 200_000
 AXES = ("lang", "source", "size")
 SPAN = 1 << 32
 
@@ -67,11 +71,12 @@ def _place(values: DataFrame, name: str, bits: int) -> DataFrame:
     return distinct.select(name, F.floor(rank * (1 << bits) / total).cast("int").alias(f"axis_{name}"))
 
 
-def order(docs: DataFrame, bits: int = BITS, part_rows: int = PART_ROWS) -> tuple[DataFrame, int]:
-    """Rows with their 0-based ``place`` on the curve, and how many they are."""
+def order(docs: DataFrame, keys: tuple[str, ...] = (), bits: int = BITS, part_rows: int = PART_ROWS) -> tuple[DataFrame, int]:
+    """Rows with their 0-based ``place`` on the curve, and how many they are.
+    Columns ``keys`` of ``docs`` go through and order ties."""
     spark = docs.sparkSession
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select("doc_id", "lang", "source", (F.length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    rows = docs.select(*keys, "doc_id", "lang", "source", (F.length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     rows = rows.withColumn("h", F.crc32(F.concat(F.lit("h"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
     rows = cut(rows)
     top = (1 << bits) - 1
@@ -105,26 +110,37 @@ def order(docs: DataFrame, bits: int = BITS, part_rows: int = PART_ROWS) -> tupl
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     upto = W.partitionBy("cell").orderBy("part", "group", "deal").rowsBetween(W.unboundedPreceding, W.currentRow)
     counts = counts.withColumn("part_start", F.sum("n").over(upto) - F.col("n")).drop("n")
-    inside = W.partitionBy(*key).orderBy("text_crc32", "h", "doc_id", "size")
+    inside = W.partitionBy(*key).orderBy("text_crc32", "h", "doc_id", "size", *keys)
     rows = rows.withColumn("own", F.row_number().over(inside) - 1).join(counts, key)
     return rows.withColumn("place", F.col("cell_start") + F.col("part_start") + F.col("own")), int(cells[:, 1].sum())
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, **parameters) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, keys: tuple[str, ...] = (), **parameters) -> DataFrame:
     """docs(doc_id, text, lang, source) -> one row per document with shard and slot."""
-    rows, total = order(docs, **parameters)
+    rows, total = order(docs, keys, **parameters)
     total = max(total, 1)
     number = F.floor(F.expr(f"place * {shards} div {total}"))
     rows = rows.withColumn("shard", number.cast("int"))
     first: Column = F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")
-    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("place") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert")
-
-
-def write(docs: DataFrame, path: str, shards: int = SHARDS, **parameters) -> None:
-    """The documents themselves as Parquet folders ``shard=K``, each in curve order."""
-    places = shard(docs, shards, **parameters).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    rows = docs.select(F.struct(*docs.columns).alias("__row")).join(places, F.col("__row.doc_id").eqNullSafe(F.col("__id")))
-    rows.repartition(shards, "__shard").sortWithinPartitions("__shard", "__slot").select("__row.*", F.col("__shard").alias("shard")).write.partitionBy("shard").parquet(path)
+    return rows.select(*keys, "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("place") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+def write(docs: DataFrame, path: str, shards: int = SHARDS, file_rows: int = FILE_ROWS, **parameters) -> None:
+    """The documents themselves as Parquet folders ``shard=K``, in runs of ``file_rows``
+    rows: a run is in one file, in curve order, so no task writes a whole shard.
+
+    Each row finds its place by a 128-bit hash of the whole row; ids may be null or
+    repeated.  A column ``shard`` of ``docs`` gives way to the folder's."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"))  # columns of any name travel inside
+    nulls = F.array(*[F.col("__row")[c].isNull() for c in docs.columns])  # the hash skips nulls
+    keys = ("__a", "__b")
+    rows = rows.withColumns({k: F.xxhash64(F.lit(k), "__row", nulls) for k in keys})
+    places = shard(rows.select(*keys, *(F.col("__row")[c].alias(c) for c in ("doc_id", "text", "lang", "source"))), shards, keys, **parameters)
+    places = places.select(*keys, F.col("shard").alias("__shard"), F.col("slot").alias("__slot"), F.expr(f"slot div {file_rows}").alias("__run"))
+    # equal rows have equal keys: one of them meets the places of all
+    rows = rows.groupBy(*keys).agg(F.first("__row").alias("__row")).join(places, list(keys))
+    rows = rows.repartition("__shard", "__run").sortWithinPartitions("__shard", "__slot")
+    rows.select(*(F.col("__row")[c].alias(c) for c in docs.columns if c.lower() != "shard"), F.col("__shard").alias("shard")).write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

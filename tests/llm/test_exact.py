@@ -259,8 +259,21 @@ def test_hilbert_steps(axes, bits):
 
 
 def test_shard_files(spark, tmp_path):
-    sharding.write(frame(spark, ROWS), str(tmp_path / "shards"), shards=5)
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == len(ROWS)
+    """Null and repeated ids, repeated rows, a column named like the folder's, runs of a few rows."""
+    rows = [(None if i % 7 == 0 else i // 2, t, lang, source, n, e) for i, t, lang, source, n, e in ROWS] + ROWS[:20]
+    docs = frame(spark, rows).withColumnRenamed("extra", "shard")
+    sharding.write(docs, str(tmp_path / "shards"), shards=5, file_rows=4)
+    got = spark.read.parquet(str(tmp_path / "shards"))
+    kept = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert got.columns == [*kept, "shard"]
+    assert Counter(map(tuple, got.select(*kept).collect())) == Counter(r[:5] for r in rows)
+    size = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert len(size) == 5 and max(size) - min(size) <= 1
+
+
+def test_shard_files_of_nothing(spark, tmp_path):
+    sharding.write(frame(spark, []), str(tmp_path / "shards"), shards=5)
+    assert not list((tmp_path / "shards").glob("shard=*"))
 
 
 def test_mixing(spark):
