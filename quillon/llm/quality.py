@@ -19,7 +19,8 @@ makes them consistent for normal rows.
 A step is two aggregations: counts of distances by rings (``RINGS`` for each
 doubling; rows at the radius's ring are inside), then sums of the rows inside.
 A group of any size meets as counts and sums; rows are never collected or
-sampled.  Vectors are in whole thousandths, so that the sums are exact and reruns agree.
+sampled.  Rows meet their group's estimate by broadcast, up to ``MODELS`` estimates,
+and beyond that by group and one of ``PARTS`` parts, so no group is one task's.  Vectors are in whole thousandths, so that the sums are exact and reruns agree.
 
 Directions without scatter: a group whose inner rows all have no sign or no
 repeated line has variance 0 there.  In units of ``NOISE``, the deviations that
@@ -45,6 +46,8 @@ from .common import WordCodes, cut, documents, forget, frugal, shift_pair, store
 
 COVER, STEPS, RINGS, SHRINK, CUT = 0.75, 4, 256, 20, 5.1
 STARTS = ("quartiles", "signs", "plain")
+#: Estimates that are broadcast (under 1 kB each), and parts of a group's rows beyond that.
+MODELS, PARTS = 20_000, 64
 #: The 0.975 quantile of chi with five degrees, and the share it covers.
 NEAR, NEAR_SHARE = 3.582, 0.975
 SIGNS = "#*$%&|<>"
@@ -192,6 +195,19 @@ def estimated(sums: DataFrame, share: Column) -> DataFrame:
     return stored(sums.withColumn("share", share).mapInPandas(fit, MODEL), "model")
 
 
+def with_all(rows: DataFrame) -> DataFrame:
+    """rows(group, z0..z4) with their part, once for their group and once for the group '' of all."""
+    rows = rows.select("group", (F.monotonically_increasing_id() % PARTS).cast("int").alias("part"), *Z)
+    return rows.unionByName(rows.withColumn("group", F.lit("")))
+
+
+def meeting(rows: DataFrame, model: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` (with their part) joined with a written ``model`` of few rows a group."""
+    if model.count() <= MODELS:
+        return rows.join(F.broadcast(model), on, how)
+    return rows.join(model.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), [*on, "part"], how)
+
+
 def starts(rows: DataFrame) -> DataFrame:
     """The initial models; medians and quartiles are exact at any size: what moves
     are counts of whole thousandths."""
@@ -201,7 +217,7 @@ def starts(rows: DataFrame) -> DataFrame:
     unit = [(F.col(z) - F.col("middle")[i]) / (F.col("wide")[i] * SCALE) for i, z in enumerate(Z)]
     length = F.greatest(sum(u * u for u in unit), F.lit(1e-12))
     signs = [F.sum(F.round(unit[i] * unit[j] / length * 1_000_000).cast("long")).alias(f"u{i}{j}") for i in range(5) for j in range(i, 5)]
-    sum_of = rows.join(found, "group").groupBy("group").agg(*sums(), *signs).join(found, "group")
+    sum_of = meeting(rows, found, ["group"]).groupBy("group").agg(*sums(), *signs).join(found, "group")
 
     def make(batches):
         for pdf in batches:
@@ -220,18 +236,18 @@ def starts(rows: DataFrame) -> DataFrame:
 
 def concentrated(rows: DataFrame, model: DataFrame, cover: float) -> DataFrame:
     """One concentration step of every start."""
-    ringed = rows.join(model.select("group", "start", "center", "inverse"), "group")
-    ringed = ringed.select("group", "start", *Z, F.floor(F.log2(1 + _distance("center", "inverse")) * RINGS).cast("int").alias("ring"))
+    ringed = meeting(rows, model.select("group", "start", "center", "inverse"), ["group"])
+    ringed = ringed.select("group", "start", "part", *Z, F.floor(F.log2(1 + _distance("center", "inverse")) * RINGS).cast("int").alias("ring"))
     radius = ringed.groupBy("group", "start").agg(F.expr(f"percentile_disc({cover}) WITHIN GROUP (ORDER BY ring)").alias("radius"), F.count(F.lit(1)).alias("rows"))
-    radius = stored(radius, "radius")  # three rows a group: Spark knows its size and joins without a shuffle
-    inner = ringed.join(radius, ["group", "start"]).where("ring <= radius").groupBy("group", "start", "rows").agg(*sums())
+    radius = stored(radius, "radius")
+    inner = meeting(ringed, radius, ["group", "start"]).where("ring <= radius").groupBy("group", "start", "rows").agg(*sums())
     return estimated(inner, F.col("n") / F.col("rows"))
 
 
 def scatters(rows: DataFrame, steps: int = STEPS, cover: float = COVER) -> DataFrame:
     """rows(group, z0..z4) -> the model of least determinant of each group, and of
     the group '' of all rows together."""
-    both = rows.select("group", *Z).unionByName(rows.select(F.lit("").alias("group"), *Z))
+    both = with_all(rows)
     model = starts(both)
     for _ in range(steps):
         after = concentrated(both, model, cover)
@@ -243,8 +259,8 @@ def scatters(rows: DataFrame, steps: int = STEPS, cover: float = COVER) -> DataF
 
 def weighted(rows: DataFrame, best: DataFrame) -> DataFrame:
     """The last step: group, rows, center, scatter of the rows that are near."""
-    both = rows.select("group", *Z).unionByName(rows.select(F.lit("").alias("group"), *Z))
-    inner = both.join(best, "group").where(_distance("center", "inverse") <= NEAR)
+    both = with_all(rows)
+    inner = meeting(both, best, ["group"]).where(_distance("center", "inverse") <= NEAR)
     total = both.groupBy("group").agg(F.count(F.lit(1)).alias("rows"))
     inner = inner.groupBy("group").agg(*sums()).join(total, "group").withColumn("start", F.lit(0))
     return estimated(inner, F.lit(NEAR_SHARE))
@@ -274,7 +290,7 @@ def judge(docs: DataFrame, distance: float = CUT, shrink: int = SHRINK, **parame
     rows = cut(stats(docs).withColumn("group", group).withColumns(vector()))
     able = rows.where("not base_failed")
     model = averaged(weighted(able, scatters(able, **parameters)), shrink)
-    rows = rows.join(model, "group", "left")
+    rows = meeting(rows.withColumn("part", (F.monotonically_increasing_id() % PARTS).cast("int")), model, ["group"], "left")
     far = F.coalesce(_distance("center", "inverse"), F.lit(0.0))
     return rows.select("doc_id", *COUNTS, "base_failed", far.alias("distance"), (~F.col("base_failed") & (far <= distance)).alias("kept"))
 

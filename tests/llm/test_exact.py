@@ -507,6 +507,14 @@ def test_outliers(spark):
     assert not quality.judge(frame(spark, [(1, None, None, None, None, None)])).first().kept
 
 
+def test_models_met_by_parts(spark, monkeypatch):
+    """Beyond ``MODELS`` estimates rows meet them by group and part, with the same results."""
+    rows = corpus(120)
+    want = by_id(quality.judge(frame(spark, rows)), "kept", "distance")
+    monkeypatch.setattr(quality, "MODELS", 0)
+    assert by_id(quality.judge(frame(spark, rows)), "kept", "distance") == want
+
+
 def test_outlying_repeats(spark):
     """Repeats below the base limit are rejected where a group has none, kept where they are usual."""
     import random
