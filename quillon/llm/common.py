@@ -71,6 +71,22 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def meet(rows: DataFrame, facts: DataFrame, counts: DataFrame, key: str, how: str = "inner", most: int = 2_000) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row a key; ``counts`` has ``key`` and its number of rows, ``n``.
+
+    The facts of keys with over 1 000 rows, the ``most`` commonest of them at most, are
+    broadcast: that many small rows. No other key holds over 1 000 rows or a
+    ``most``-th of all, so the rest may be dealt out by key. Keys are not null;
+    ``how`` is inner or left.
+    """
+    hot = cut(counts.where("n > 1000").orderBy(F.desc("n"), key).limit(most).select(key))
+    if hot.isEmpty():
+        return rows.join(facts, key, how)
+    keys = F.broadcast(hot)
+    near = rows.join(F.broadcast(facts.join(keys, key, "left_semi")), key, how).join(keys, key, "left_semi")
+    return near.unionByName(rows.join(keys, key, "left_anti").join(facts.join(keys, key, "left_anti"), key, how))
+
+
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` over a task's batches, in pieces of ``BATCH_ROWS`` rows whatever the
     session's Arrow batches are.  Freed memory goes back to the system at the end:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, language, mixing, neardup, packing, pii, quality, sharding, substring, toxicity
+from . import ann, archive, codebooks, language, mixing, neardup, packing, pii, quality, sharding, spelling, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.query,
     "op9_near_duplicates": neardup.query,
     "op10_nearest": ann.query,
+    "op11_archive": archive.query,
+    "op12_codebooks": codebooks.query,
+    "op13_spelling": spelling.query,
 }
 
 #: Where SQL can't express the method, tests hold the query against brute force.
@@ -27,4 +30,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_curriculum_mixing": mixing.SQL,
     "op9_near_duplicates": neardup.SQL,
     "op10_nearest": ann.SQL,
+    "op11_archive": archive.SQL,
+    "op12_codebooks": codebooks.SQL,
+    "op13_spelling": spelling.SQL,
 }
