@@ -47,6 +47,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+NOT_NUMBER = re.compile(r"[^0-9 ().+-]")
 
 
 def luhn(digits: str) -> bool:
@@ -111,6 +112,11 @@ def marked(text: str) -> Iterator[Span]:
 
 def shape(token: str) -> str:
     """Runs of one class with their length, up to eight runs."""
+    return _shape(token) if len(token) <= 40 else _shape.__wrapped__(token)
+
+
+@functools.lru_cache(1 << 16)
+def _shape(token: str) -> str:
     parts = []
     for m in RUNS.finditer(token):
         r = m[0]
@@ -222,8 +228,16 @@ class Field:
     def emissions(self, tokens: list[str]) -> np.ndarray:
         """Scores of a chain whose first and last tokens are its neighbours."""
         unseen = len(self.index)
-        rows = np.array([[self.index.get(f, unseen) for f in token_features(tokens, i)] for i in range(1, len(tokens) - 1)])
-        return self.weights[rows].sum(axis=1)
+        own = [(shape(t.strip(EDGE)), t) for t in tokens]
+        known: dict[tuple, int] = {}  # a token between neighbours of like shapes has like features
+        rows, at = [], []
+        for i in range(1, len(tokens) - 1):
+            key = own[i - 1][0], own[i][1], own[i + 1][0]
+            if key not in known:
+                known[key] = len(rows)
+                rows.append([self.index.get(f, unseen) for f in token_features(tokens, i)])
+            at.append(known[key])
+        return self.weights[np.array(rows)].sum(axis=1)[at]
 
     def decode(self, chains: list[np.ndarray]) -> list[np.ndarray]:
         """Best labels of chains that begin and end beside label 0, by Viterbi in batches."""
@@ -280,34 +294,95 @@ def trimmed(text: str, start: int, end: int) -> Span:
     return start, end
 
 
-def parts(kind: str, text: str, run: list[Span], taken: list[Span]) -> list[Span]:
-    """The parts of a run of tokens of one label that are spans; ``taken`` is sorted."""
-    starts = [s for s, _ in taken]
-    furthest = list(itertools.accumulate((e for _, e in taken), max))
+#: Digits of a part of each kind.
+DIGITS = {"card": (13, 19), "phone": (9, 15)}
+
+
+class Run:
+    """A run of tokens of one label, and sums over it by which any part is tested in constant time."""
+
+    def __init__(self, kind: str, text: str, run: list[Span], taken: list[Span]):
+        self.kind, self.text = kind, text
+        edges = [trimmed(text, s, e) for s, e in run]
+        self.start, self.end = [s for s, _ in edges], [e for _, e in edges]
+        starts, furthest = [s for s, _ in taken], list(itertools.accumulate((e for _, e in taken), max))
+        before = [bisect.bisect_left(starts, e) for e in self.end]
+        #: The furthest end of the patterns' spans that start before a token's end.
+        self.reach = [furthest[k - 1] if k else -1 for k in before]
+        figures = [DIGIT.findall(text, s, e) for s, e in run]
+        self.digits = [0, *itertools.accumulate(map(len, figures))]
+        if kind == "email":  # the first @ of the tokens from one on
+            self.mark, at = [-1] * len(run), -1
+            for k in range(len(run) - 1, -1, -1):
+                found = text.find("@", *run[k])
+                self.mark[k] = at = found if found >= 0 else at
+        elif kind != "ip":
+            self._sums(text, run, figures)
+
+    def _sums(self, text: str, run: list[Span], figures: list[list[str]]) -> None:
+        wrong = lambda s, e: len(NOT_NUMBER.findall(text, s, e))
+        #: Characters that no number has: before a token, in it, and of it from its own start or up to its own end.
+        gaps = [0, *(wrong(run[k - 1][1], run[k][0]) for k in range(1, len(run)))]
+        self.bad = [0, *itertools.accumulate(wrong(*r) + g for r, g in zip(run, gaps, strict=True))]
+        self.left = [wrong(r[0], s) for r, s in zip(run, self.start, strict=True)]
+        self.right = [wrong(e, r[1]) for r, e in zip(run, self.end, strict=True)]
+        self.gaps = gaps
+        #: Luhn sums of the digits so far: digits of even places as they are and the others doubled, and the reverse.
+        one, two = [0], [0]
+        for k, d in enumerate(itertools.chain.from_iterable(figures)):
+            v = ord(d) - 48
+            w = v * 2 - 9 * (v > 4)
+            one.append(one[-1] + (w if k & 1 else v))
+            two.append(two[-1] + (v if k & 1 else w))
+        self.luhn = one, two
+
+    def span(self, i: int, j: int) -> Span | None:
+        """The span of tokens i to j, if it passes its kind's plain test and touches no pattern's span."""
+        start, end = self.start[i], self.end[j]
+        if self.reach[j] > start:
+            return None
+        if self.kind == "email":
+            good = start < self.mark[i] < end - 3
+        elif self.kind == "ip":
+            good = i == j and fits("ip", self.text[start:end])
+        else:
+            p, q = self.digits[i], self.digits[j + 1]
+            least, most = DIGITS[self.kind]
+            good = least <= q - p <= most and self.bad[j + 1] - self.bad[i] == self.gaps[i] + self.left[i] + self.right[j]
+            if good and self.kind == "card":
+                sums = self.luhn[(q - 1) & 1]
+                good = (sums[q] - sums[p]) % 10 == 0
+        return (start, end) if good else None
+
+    def firsts(self, j: int) -> range:
+        """Tokens at which a part that ends with token j may start, the last first."""
+        if self.kind == "ip":
+            return range(j, j - 1, -1)
+        if self.kind == "email":
+            return range(j, max(-1, j - LONGEST), -1)
+        least, most = DIGITS[self.kind]
+        upto = self.digits[j + 1]
+        return range(bisect.bisect_right(self.digits, upto - least, 0, j + 1) - 1, bisect.bisect_left(self.digits, upto - most, 0, j + 1) - 1, -1)
 
-    def whole(i: int, j: int) -> Span | None:
-        start, end = trimmed(text, run[i][0], run[j][1])
-        k = bisect.bisect_left(starts, end)
-        return (start, end) if fits(kind, text[start:end]) and not (k and furthest[k - 1] > start) else None
 
+def parts(kind: str, text: str, run: list[Span], taken: list[Span]) -> list[Span]:
+    """The parts of a run of tokens of one label that are spans; ``taken`` is sorted."""
+    tested = Run(kind, text, run, taken)
     # seams[j]: places up to token j where a new item seems to begin
     sign = "@" if kind == "email" else "+"
-    new = [j > 0 and ("\n" in text[run[j - 1][1] : run[j][0]] or sign in text[slice(*run[j])]) for j in range(len(run))]
+    new = [j > 0 and (text.find("\n", run[j - 1][1], run[j][0]) >= 0 or text.find(sign, *run[j]) >= 0) for j in range(len(run))]
     seams = list(itertools.accumulate(new))
-    if seams[-1] == 0 and (span := whole(0, len(run) - 1)):
+    if seams[-1] == 0 and (span := tested.span(0, len(run) - 1)):
         return [span]
     best: list[tuple] = [(0, 0, 0)]  # uncovered tokens, seams, parts
     back: list[tuple[int, Span | None]] = [(0, None)]
     for j in range(len(run)):
         a, b, c = best[j]
-        low, way, digits = (a + 1, b, c), (j, None), 0
-        for i in range(j, max(-1, j - LONGEST), -1):
-            digits += sum("0" <= x <= "9" for x in text[slice(*run[i])])
-            if digits > LONGEST and kind != "email":
-                break
+        low, way = (a + 1, b, c), (j, None)
+        for i in tested.firsts(j):
             a, b, c = best[i]
             cost = (a, b + seams[j] - seams[i], c + 1)
-            if cost < low and (span := whole(i, j)):
+            if cost < low and (span := tested.span(i, j)):
                 low, way = cost, (i, span)
         best.append(low)
         back.append(way)
