@@ -1,101 +1,98 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-A vector is centred on nothing and scaled to length 1, rotated by a fixed
-random orthogonal matrix, and kept as the signs of its components (one bit a
-dimension, packed) beside two corrections: its norm, and the inner product
-``a`` of the rotated unit vector with its own code.  For a query q, rotated
-alike, ``<code, q> / a`` estimates the inner product of the unit vectors, and
-the error is below ``BOUND * sqrt((1 - a^2) / (a^2 (D - 1)))`` times the norm
-of q with a probability that rises steeply with ``BOUND``.
-
-A block of queries meets a block of vectors in one task.  The bits give every
-estimate; the exact inner products of the k best estimates give the bar, and
-each vector whose upper bound reaches the bar is ranked again, in single precision to leave out what rounding can't bring back,
-then by its exact inner product in double precision.  The best k of each block
-then meet in one top-k per query.
-
-Blocks: vectors and queries are dealt by a hash of the id into blocks of about
-``BLOCK`` and ``QUERIES`` rows, packed as binary; only block rows travel, each
-to every block of queries, which is the stated query set against all rows.
-Copies of a vector may fill any share of a block: they tie, and ties go to the
-smaller id.
-
-Vectors that are null, zero, of another length than the commonest, or hold
-null or non-finite components take no part; nor do rows without an id.
-Queries: ids divisible by ``EVERY``.  Repeated ids are ranked as rows.  An
-empty table gives no rows.
+A vector is scaled to length 1, turned by ``TURNS`` fixed random orthogonal
+matrices, and kept as the signs of its components under each (one bit a
+dimension and turn, packed) beside corrections: its length, and per turn the
+inner product ``a`` of the turned unit vector with its own code. For a query q,
+turned alike, ``<code, q> / a`` estimates the inner product of the unit vectors
+with a standard error of ``sqrt((1 - a^2) / (a^2 (D - 1)))`` at most, turns
+independently of each other; the estimate is the mean over turns and ``BOUND``
+standard errors of that mean are its error bound.
+
+Blocks of codes meet blocks of queries twice; full vectors never travel with
+them. The first time each block gives the k best estimates of each query; the
+best k of all join their vectors, and the least of their exact inner products
+is the query's bar. The second time each vector whose upper bound reaches the
+bar is a candidate. Candidates alone join their vectors and are ranked by the
+exact inner product in double precision, added up in component order.
+
+All estimates are of unit vectors; lengths are relative to the table's greatest
+component, in double precision. So vectors of any finite length take part
+alike. Products beyond a double's range are infinite, as the measure has it.
+
+Scale: ids, codes and queries are packed by a hash of the row, ``BLOCK`` and
+``QUERIES`` rows together; a block of codes goes to every block of queries, which
+is the stated query set against all rows. Of equal vectors only the k + 1 rows
+with the smallest ids can be among anyone's k nearest (one of them may be the
+query itself), so the others, which those stand for, get no code of their own;
+Spark finds them by a limit on ranks before it deals rows out. Bars and candidates
+grow with the number of queries.
+
+Vectors that are null, zero, of another length than the commonest, or hold null
+or non-finite components take no part; nor do rows without an id. Queries: ids
+divisible by ``EVERY``. A query's own row is every row with its id. Rows with the
+same id and vector are candidates as often as they stand there and one query;
+different vectors of one id are rows and queries of their own, whose answers
+bear the same query_id. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
-
-K, EVERY, BOUND, BLOCK, QUERIES, SEED = 20, 20, 3.0, 16384, 1024, 20240611
-#: Distinct lengths never exceed a handful; the commonest is the index's.
-
-
-def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
-
-
-def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed signs, norms and corrections of the rows of ``vectors``."""
-    norm = np.sqrt((vectors * vectors).sum(axis=1))
-    unit = (vectors / norm[:, None]) @ turn.T
-    bits = unit >= 0
-    fit = np.abs(unit).sum(axis=1) / np.sqrt(vectors.shape[1])
-    return np.packbits(bits, axis=1), norm, fit
-
-
-def estimate(codes: np.ndarray, norm: np.ndarray, fit: np.ndarray, queries: np.ndarray, turn: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products (queries x vectors) and their error bounds."""
-    dim = queries.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    turned = (queries @ turn.T).astype(np.float32)
-    guess = (turned @ signs.T) * (norm / (fit * np.sqrt(dim))).astype(np.float32)
-    slack = norm * np.sqrt(np.maximum(1 - fit * fit, 0) / (fit * fit * max(dim - 1, 1)))
-    width = np.sqrt((queries * queries).sum(axis=1)).astype(np.float32)
-    return guess, (bound * width[:, None] * slack[None, :]).astype(np.float32)
-
-
-def inner(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products added up in component order, so equal vectors tie exactly."""
-    total = np.zeros(len(vectors))
-    for d in range(len(query)):
-        total += vectors[:, d] * query[d]
-    return total
-
-
-def search_block(q_ids, queries, ids, vectors, codes, norm, fit, turn, k: int, bound: float):
-    """Exact top k of one block for each query, among those that the bounds leave."""
-    guess, error = estimate(codes, norm, fit, queries, turn, bound)
-    own = q_ids[:, None] == ids[None, :]
-    guess[own] = -np.inf
-    first = np.argpartition(-guess, k - 1, axis=1)[:, :k] if len(ids) > k else np.broadcast_to(np.arange(len(ids)), guess.shape)
-    high = guess + error
-    out_q, out_i, out_s = [], [], []
-    rough_of, queries32 = vectors.astype(np.float32), queries.astype(np.float32)
-    for row in range(len(q_ids)):
-        tried = first[row][guess[row][first[row]] > -np.inf]
-        bar = inner(vectors[tried], queries[row]).min() if len(tried) >= k else -np.inf
-        near = np.flatnonzero((high[row] >= bar - 1e-6 * abs(bar)) & (guess[row] > -np.inf))
-        if len(near) > k:  # single precision first, with room for its rounding
-            rough = rough_of[near] @ queries32[row]
-            room = 1e-5 * float(norm[near].max()) * float(np.sqrt((queries[row] ** 2).sum()))
-            near = near[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 2 * room]
-        exact = inner(vectors[near], queries[row])
-        best = np.lexsort((ids[near], -exact))[:k]
-        out_q.append(np.full(len(best), q_ids[row]))
-        out_i.append(ids[near][best])
-        out_s.append(exact[best])
-    return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
+from .common import cut, frugal, table
+
+K, EVERY, BOUND, TURNS, BLOCK, QUERIES, SEED = 20, 20, 3.0, 8, 8192, 1024, 20240611
+#: Room for single precision in estimates of unit vectors.
+ROOM = 1e-5
+PAIR = "query_id long, q_h long, vec_id long, h long"
+
+
+def rotations(dim: int, turns: int = TURNS, seed: int = SEED) -> np.ndarray:
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(turns):
+        q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
+        out.append(q * np.sign(np.diag(r)))
+    return np.stack(out)
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, whatever their length."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+
+
+def encode(unit: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed signs (rows x turns x bytes) and corrections (rows x turns)."""
+    turned = np.einsum("nd,red->nre", unit, turns)
+    return np.packbits(turned >= 0, axis=2), (np.abs(turned).sum(axis=2) / np.sqrt(unit.shape[1])).astype(np.float32)
+
+
+def spread(fit: np.ndarray, dim: int, bound: float) -> np.ndarray:
+    """Error bounds of the estimates, a row each."""
+    own = np.maximum(1 - fit.astype(np.float64) ** 2, 0) / (fit.astype(np.float64) ** 2 * max(dim - 1, 1))
+    return bound * np.sqrt(own.sum(axis=1)) / fit.shape[1] + ROOM
+
+
+def codes_of(codes: np.ndarray, fit: np.ndarray, dim: int) -> np.ndarray:
+    """Signs as numbers, weighed so that one product with a turned query is the mean estimate."""
+    n, turns = fit.shape
+    signs = np.unpackbits(codes, axis=2, count=dim).astype(np.float32) * 2 - 1
+    return (signs / (fit * (np.sqrt(dim) * turns))[:, :, None].astype(np.float32)).reshape(n, turns * dim)
+
+
+def turned(unit: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    return np.einsum("nd,red->nre", unit, turns).reshape(len(unit), -1).astype(np.float32)
+
+
+def _scaled(v: str | Column, most: Column) -> Column:
+    """Length of a vector in units of ``most``."""
+    top = F.array_max(F.transform(v, F.abs))
+    return top / most * F.sqrt(F.aggregate(F.transform(v, lambda x: x / top), F.lit(0.0), lambda a, x: a + x * x))
 
 
 def clean(vectors: DataFrame) -> DataFrame:
@@ -107,52 +104,124 @@ def clean(vectors: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(size.select("d")), F.size("v") == F.col("d")).drop("d")
 
 
-def index(rows: DataFrame, blocks: int, seed: int = SEED) -> DataFrame:
-    """Blocks of vectors: ids, vectors, codes and corrections as binary."""
+def keyed(rows: DataFrame) -> DataFrame:
+    """vec_id, h, v, copies, nu: one row for each id and vector, with its relative length."""
+    rows = rows.groupBy("vec_id", F.xxhash64("v").alias("h")).agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"))
+    return cut(rows)
+
+
+def index(rows: DataFrame, blocks: int, turns: int = TURNS, seed: int = SEED) -> DataFrame:
+    """Blocks of codes: ids, hashes, relative lengths, codes and corrections as binary."""
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("vec_id")
         vectors = np.stack(part.v.to_numpy()).astype(np.float64)
-        codes, norm, fit = encode(vectors, rotation(vectors.shape[1], seed))
-        narrow = vectors.astype(np.float32)
-        single = bool((narrow == vectors).all())
-        return pd.DataFrame({"block": part.block[:1], "n": [len(part)], "single": [single], "ids": [part.vec_id.to_numpy(np.int64).tobytes()], "vectors": [(narrow if single else vectors).tobytes()], "codes": [codes.tobytes()], "fixes": [np.stack([norm, fit]).tobytes()]})
+        codes, fit = encode(units(vectors), rotations(vectors.shape[1], turns, seed))
+        packed = {"ids": part.vec_id.to_numpy(np.int64), "hs": part.h.to_numpy(np.int64), "nus": part.nu.to_numpy(np.float64), "codes": codes, "fits": fit}
+        return pd.DataFrame({"block": part.block[:1], "n": [len(part)], "dim": [vectors.shape[1]]} | {k: [x.tobytes()] for k, x in packed.items()})
 
-    dealt = rows.withColumn("block", F.expr(f"pmod(xxhash64(vec_id), {blocks})").cast("int"))
-    return dealt.groupBy("block").applyInPandas(pack, "block int, n int, single boolean, ids binary, vectors binary, codes binary, fixes binary")
+    dealt = rows.withColumn("block", F.expr(f"pmod(xxhash64(vec_id, h), {blocks})").cast("int"))
+    return dealt.groupBy("block").applyInPandas(pack, "block int, n int, dim int, ids binary, hs binary, nus binary, codes binary, fits binary")
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, bound: float = BOUND, block: int = BLOCK, queries: int = QUERIES, seed: int = SEED) -> DataFrame:
-    """vectors(vec_id, embedding) -> query_id, rank, vec_id, score."""
-    rows = clean(vectors)
-    asked = rows.where(F.col("vec_id") % every == 0)
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
-    blocks, sets = max(1, -(-size.n // block)), max(1, -(-size.q // queries))
+def asking(rows: DataFrame, sets: int) -> DataFrame:
+    """Blocks of queries with their bars; a null bar leaves every vector a candidate."""
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"ask": part.ask[:1], "q_ids": [part.vec_id.to_numpy(np.int64).tobytes()], "queries": [np.stack(part.v.to_numpy()).astype(np.float64).tobytes()]})
+        bars = part.bar.fillna(-np.inf).to_numpy(np.float64)
+        unit = units(np.stack(part.v.to_numpy()).astype(np.float64))
+        return pd.DataFrame({"ask": part.ask[:1], "q_ids": [part.vec_id.to_numpy(np.int64).tobytes()], "q_hs": [part.h.to_numpy(np.int64).tobytes()], "queries": [unit.tobytes()], "bars": [bars.tobytes()]})
+
+    dealt = rows.withColumn("ask", F.expr(f"pmod(xxhash64(vec_id, h), {sets})").cast("int"))
+    return dealt.groupBy("ask").applyInPandas(pack, "ask int, q_ids binary, q_hs binary, queries binary, bars binary")
+
 
-    asked = asked.withColumn("ask", F.expr(f"pmod(xxhash64(vec_id), {sets})").cast("int")).groupBy("ask").applyInPandas(pack, "ask int, q_ids binary, queries binary")
+def matched(store: DataFrame, asks: DataFrame, sets: int, parts: int, choose, schema: str, turns: int, seed: int) -> DataFrame:
+    """Every block of codes with every block of queries; ``choose`` takes what it wants of a query's estimates."""
 
     def meet(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                ids, q_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
-                store = np.frombuffer(r.vectors, np.float32 if r.single else np.float64).reshape(r.n, -1)
-                dim = store.shape[1]
-                codes, (norm, fit) = np.frombuffer(r.codes, np.uint8).reshape(r.n, -1), np.frombuffer(r.fixes, np.float64).reshape(2, -1)
-                asked_for = np.frombuffer(r.queries, np.float64).reshape(-1, dim)
-                turn, full = rotation(dim, seed), store.astype(np.float64)
+                ids, hs, nus = np.frombuffer(r.ids, np.int64), np.frombuffer(r.hs, np.int64), np.frombuffer(r.nus)
+                fit = np.frombuffer(r.fits, np.float32).reshape(r.n, turns)
+                signs = codes_of(np.frombuffer(r.codes, np.uint8).reshape(r.n, turns, -1), fit, r.dim)
+                q_ids, q_hs, bars = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_hs, np.int64), np.frombuffer(r.bars)
+                asked = turned(np.frombuffer(r.queries).reshape(-1, r.dim), rotations(r.dim, turns, seed))
                 step = max(1, 2_000_000 // max(r.n, 1))
                 for s in range(0, len(q_ids), step):
-                    q, i, x = search_block(q_ids[s : s + step], asked_for[s : s + step], ids, full, codes, norm, fit, turn, k, bound)
-                    yield pd.DataFrame({"query_id": q, "vec_id": i, "score": x})
-
-    store = index(rows, blocks, seed).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
-    pairs = store.join(asked, "ask").repartition(max(2, min(blocks * sets, 4096)), "ask", "block")
-    found = pairs.mapInPandas(meet, "query_id long, vec_id long, score double")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    guess = asked[s : s + step] @ signs.T
+                    picked = [choose(q, g, ids != q, nus, fit, r.dim, bar) for q, g, bar in zip(q_ids[s : s + step], guess, bars[s : s + step], strict=True)]
+                    sizes = [len(p) for p, _ in picked]
+                    at = np.concatenate([p for p, _ in picked])
+                    out = {"query_id": np.repeat(q_ids[s : s + step], sizes), "q_h": np.repeat(q_hs[s : s + step], sizes), "vec_id": ids[at], "h": hs[at], "worth": np.concatenate([w for _, w in picked])}
+                    yield pd.DataFrame(out)
+
+    spread_out = store.withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    return spread_out.join(asks, "ask").repartition(parts, "ask", "block").mapInPandas(frugal(meet), schema)
+
+
+def best_guesses(k: int):
+    """The k best estimates, own row aside."""
+
+    def choose(q, guess, other, nus, fit, dim, bar):
+        worth = np.where(other, nus * guess, -np.inf)
+        at = np.argpartition(-worth, k - 1)[:k] if len(worth) > k else np.arange(len(worth))
+        at = at[other[at]]
+        return at, worth[at]
+
+    return choose
+
+
+def within_bounds(bound: float):
+    """All whose upper bound reaches the bar."""
+
+    def choose(q, guess, other, nus, fit, dim, bar):
+        high = nus * (guess + spread(fit, dim, bound))
+        at = np.flatnonzero(other & (high >= bar))
+        return at, high[at]
+
+    return choose
+
+
+def _product(x: str, y: str, by: Column, of: Column) -> Column:
+    """Inner product of two arrays, each divided first, added up in component order."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: (a / by) * (b / of)), F.lit(0.0), lambda a, x: a + x)
+
+
+def candidates(rows: DataFrame, k: int = K, every: int = EVERY, bound: float = BOUND, block: int = BLOCK, queries: int = QUERIES, turns: int = TURNS, seed: int = SEED) -> DataFrame:
+    """keyed rows -> query_id, q_h, vec_id, h: what the error bounds leave to be ranked exactly."""
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
+    blocks, sets = max(1, -(-size.n // block)), max(1, -(-size.q // queries))
+    parts, most = max(2, min(blocks * sets, 4096)), F.lit(float(size.most or 1.0))
+    rows = rows.withColumn("nu", _scaled("v", most))
+    same = W.partitionBy("h", F.xxhash64(F.lit(1), "v")).orderBy("vec_id")
+    first = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).drop("place")
+    store, asked = cut(index(first, blocks, turns, seed)), rows.where(F.col("vec_id") % every == 0)
+    open_ = asking(asked.withColumn("bar", F.lit(None).cast("double")), sets)
+    own = W.partitionBy("query_id", "q_h").orderBy(F.desc("worth"), "vec_id", "h")
+    tried = matched(store, open_, sets, parts, best_guesses(k), f"{PAIR}, worth double", turns, seed)
+    tried = tried.withColumn("place", F.row_number().over(own)).where(F.col("place") <= k).drop("place", "worth")
+    q = asked.select(F.col("vec_id").alias("query_id"), F.col("h").alias("q_h"), F.col("v").alias("q_v"), F.col("nu").alias("q_nu"))
+    exact = tried.join(rows.select("vec_id", "h", "v"), ["vec_id", "h"]).join(q, ["query_id", "q_h"])
+    exact = exact.withColumn("worth", _product("v", "q_v", most, most) / F.col("q_nu"))
+    bars = exact.groupBy("query_id", "q_h").agg(F.min("worth").alias("bar"), F.count(F.lit(1)).alias("n"))
+    bars = bars.select(F.col("query_id").alias("vec_id"), F.col("q_h").alias("h"), F.when(F.col("n") >= k, F.col("bar") - F.abs("bar") * 1e-9).alias("bar"))
+    asks = asking(asked.join(bars, ["vec_id", "h"], "left"), sets)
+    return matched(store, asks, sets, parts, within_bounds(bound), f"{PAIR}, worth double", turns, seed).drop("worth")
+
+
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, **parameters) -> DataFrame:
+    """vectors(vec_id, embedding) -> query_id, rank, vec_id, score."""
+    rows = keyed(clean(vectors))
+    found = candidates(rows, k, every, **parameters)
+    q = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("h").alias("q_h"), F.col("v").alias("q_v"))
+    one = F.lit(1.0)
+    scored = found.join(rows.select("vec_id", "h", "v", "copies"), ["vec_id", "h"]).join(q, ["query_id", "q_h"])
+    scored = scored.select("query_id", "q_h", "vec_id", "h", "copies", _product("v", "q_v", one, one).alias("score"))
+    own = W.partitionBy("query_id", "q_h").orderBy(F.desc("score"), "vec_id", "h")
+    top = scored.withColumn("place", F.row_number().over(own)).where(F.col("place") <= k)
+    each = top.select("query_id", "q_h", "vec_id", "h", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))).alias("copy"))
+    ranked = each.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "vec_id", "h", "copy")).cast("int"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import zlib
@@ -214,3 +215,55 @@ def test_blocks_stay_small(spark):
     for part in parts:
         for r in part.groupBy(*spelling.PLACE).count().collect():
             assert r["count"] <= 20 or r.e - r.a == 1
+
+
+# Neighbours.
+
+
+def nearest_by_force(rows, k, every=20):
+    """The contract over rows of (id, vector); a query is an id and a vector."""
+    out = []
+    for q, v in sorted({(i, tuple(v)) for i, v in rows if i % every == 0}):
+        scored = sorted((-functools.reduce(lambda t, ab: t + ab[0] * ab[1], zip(x, v, strict=True), 0.0), i) for i, x in rows if i != q)[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    return out
+
+
+@pytest.mark.parametrize(("scale", "kind"), [(1e-40, "float"), (1e19, "float"), (1e21, "float"), (1e38, "float"), (1e-140, "double"), (1e150, "double"), (1.0, "float")])
+def test_nearest_at_any_scale(spark, scale, kind):
+    from quillon.llm import ann
+
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((300, 24)) if scale != 1e-40 else np.abs(rng.standard_normal((300, 24)))
+    v = v / np.abs(v).max() * scale
+    v = v.astype(np.float32).astype(float) if kind == "float" else v
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], f"vec_id long, embedding array<{kind}>")
+    got, want = sorted(map(tuple, ann.nearest(df, k=10, block=90, queries=7).collect())), nearest_by_force(list(enumerate(v.tolist())), 10)
+    assert len(got) == len(want) and len({(q, i) for q, _, i, _ in got} & {(q, i) for q, _, i, _ in want}) >= 0.98 * len(want)
+
+
+def test_nearest_of_repeated_ids_and_equal_vectors(spark):
+    from quillon.llm import ann
+
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((60, 8)).round(2).tolist()
+    rows = list(enumerate(v)) + [(7, v[7])] * 3 + [(8, v[40])] + [(20, v[20])] + [(100 + i, v[3]) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, ann.nearest(df, k=12, block=50, queries=2).collect())) == sorted(nearest_by_force(rows, 12))
+    same = spark.createDataFrame([(i, [0.5, 0.5]) for i in range(70)], "vec_id long, embedding array<float>")
+    got = ann.nearest(same, k=5).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(q, i) for q in (0, 20, 40, 60) for i in [x for x in range(6) if x != q][:5]]
+
+
+def test_codes_decide(spark):
+    """Few vectors come to be ranked exactly, and those are nearly all that must."""
+    from quillon.llm import ann
+
+    v = np.random.default_rng(13).standard_normal((3000, 64)).astype(np.float32)
+    rows = ann.keyed(ann.clean(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")))
+    asked = range(0, 3000, 20)
+    found = {(r.query_id, r.vec_id) for r in ann.candidates(rows, block=700).collect()}
+    assert len(found) < 0.2 * 3000 * len(asked)
+    score = v[::20].astype(float) @ v.T.astype(float)
+    want = {(q, i) for q, s in zip(asked, score, strict=True) for i in [x for x in np.argsort(-s) if x != q][:20]}
+    assert len(found & want) >= 0.98 * len(want)
