@@ -30,6 +30,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator], Iterator]) -> DataFrame:
+    """``df.mapInArrow(run)`` with the schema of ``df``, whatever its columns' names; ``run`` sees the names."""
+    names = df.columns
+    plain = df.toDF(*(f"c{k}" for k in range(len(names))))
+
+    def renamed(batches):
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns([f"c{k}" for k in range(len(names))])
+
+    return plain.mapInArrow(frugal(renamed), plain.schema).toDF(*names)
+
+
 def folder(df: DataFrame) -> str:
     """The session's checkpoint folder.
 

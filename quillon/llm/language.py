@@ -118,7 +118,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, least: int = LEAST) -> Model
     part = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, 2.0 * share / r["count"]))])[F.col("lang")]  # about twice the share, so that no task ranks a whole language
     ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).where((F.col("h") / float(1 << 63) + 1) / 2 < part)
     ids = ids.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= share)
-    sample = known.drop("lang").join(F.broadcast(ids.select("doc_id", "lang")), "doc_id")
+    sample = known.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
 
     def vectors(batches):
         for pdf in batches:

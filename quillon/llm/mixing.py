@@ -23,8 +23,8 @@ a source are accumulated, then each bucket adds up its own rows, so a source
 with a third of all rows is spread over 4096 groups.
 
 Null text or text without words: size 0, taken 0.  Null source: a source of
-its own, ordered last.  Null and repeated doc_id: rows stay; ties are ordered
-by size.  Empty table: no rows.
+its own, ordered last.  Null doc_id: the text's hash stands in for it. Null
+and repeated doc_id: rows stay; ties are ordered by size.  Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, documents, n_words
+from .common import columns, cut, documents, n_words
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Slope of the schedule of each weight's sources: the heaviest come early.
@@ -69,7 +69,7 @@ def _inverse(slope: Column, share: Column) -> Column:
 def mix(docs: DataFrame, keys: tuple[str, ...] = (), **parameters) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, position, copies.
     Columns ``keys`` of ``docs`` go through and order ties."""
-    base = docs.select(*keys, "doc_id", n_words(F.col("text")).alias("size"), F.col("source").isNull().cast("int").alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+    base = docs.select(*keys, "doc_id", n_words(F.col("text")).alias("size"), F.col("source").isNull().cast("int").alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary")).alias("h"))
     base = cut(base.withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")))
     sums = base.groupBy("no_source", "src", "bucket").agg(F.sum("size").alias("bucket_size"))
     goal = targets(sums.groupBy("no_source", "src").agg(F.sum("bucket_size").alias("source_size")), **parameters)
@@ -92,7 +92,8 @@ def mix(docs: DataFrame, keys: tuple[str, ...] = (), **parameters) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).drop("slope")
+    """Every document with its training position, range-sorted by it; those that aren't taken come last."""
+    return mix(documents(spark, sf_dir)).drop("slope").orderBy(F.asc_nulls_last("position"), "doc_id", "size")
 
 
 def copies_in_order(docs: DataFrame, **parameters) -> DataFrame:
@@ -103,7 +104,7 @@ def copies_in_order(docs: DataFrame, **parameters) -> DataFrame:
     stands where the k-th pass over its source meets it.  Each row has its own
     plan, found by a 128-bit hash of the whole row; ids may be null or repeated.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("__row"))  # columns of any name travel inside
+    rows = docs.select(F.struct(*columns(docs)).alias("__row"))  # columns of any name travel inside
     nulls = F.array(*[F.col("__row")[c].isNull() for c in docs.columns])  # the hash skips nulls
     keys = ("__a", "__b")
     rows = rows.withColumns({k: F.xxhash64(F.lit(k), "__row", nulls) for k in keys})
@@ -120,7 +121,7 @@ def copies_in_order(docs: DataFrame, **parameters) -> DataFrame:
 SQL = """
 WITH base AS (
   SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         (source IS NULL)::INT AS no_source, coalesce(source, '') AS src, md5(coalesce(doc_id::VARCHAR, '')) AS h
+         (source IS NULL)::INT AS no_source, coalesce(source, '') AS src, md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS h
   FROM documents),
 s AS (SELECT no_source, src, sum(size)::BIGINT AS source_size FROM base GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (ORDER BY no_source, encode(src)) - 1 AS k FROM s),

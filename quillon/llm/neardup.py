@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCodes, cut, documents, forget, frugal, mix, shift_pair, stored
+from .common import WordCodes, columns, cut, documents, forget, frugal, mix, shift_pair, stored
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
@@ -378,7 +378,7 @@ def distinct(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with one document of each group: the one with the least id.
     Documents without an id are in no group and stay."""
     gone = groups(docs, **parameters).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, frugal
+from .common import documents, frugal, mapped
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
@@ -471,7 +471,7 @@ def mask(text: str, every: list[tuple[str, int, int]]) -> str:
 
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data masked in ``text`` (``n_chars`` follows, if there)."""
-    names, schema = docs.columns, docs.schema
+    names = docs.columns
 
     def run(batches):
         import pyarrow as pa
@@ -491,7 +491,7 @@ def masked(docs: DataFrame) -> DataFrame:
                     columns.append(batch[name])
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(frugal(run), schema)
+    return mapped(docs, run)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import columns, cut, documents
 
 BITS, SHARDS, PART_ROWS = 5, 40, 20_000
 #: Rows of a run that one task writes to a file of its shard.
@@ -131,7 +131,7 @@ def write(docs: DataFrame, path: str, shards: int = SHARDS, file_rows: int = FIL
 
     Each row finds its place by a 128-bit hash of the whole row; ids may be null or
     repeated.  A column ``shard`` of ``docs`` gives way to the folder's."""
-    rows = docs.select(F.struct(*docs.columns).alias("__row"))  # columns of any name travel inside
+    rows = docs.select(F.struct(*columns(docs)).alias("__row"))  # columns of any name travel inside
     nulls = F.array(*[F.col("__row")[c].isNull() for c in docs.columns])  # the hash skips nulls
     keys = ("__a", "__b")
     rows = rows.withColumns({k: F.xxhash64(F.lit(k), "__row", nulls) for k in keys})

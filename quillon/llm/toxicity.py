@@ -21,8 +21,9 @@ Learning takes rows of ``labels`` with ``crc32(doc_id) mod 5 <> 0``, of these at
 most ``TRAIN_ROWS`` by a hash of the id, and keeps at most ``ENTRIES`` entries and
 as many exception phrases, which bounds the model; all documents are scored, over whole texts, in one pass without a shuffle.
 
-Null or empty text: the score of no match.  No labels: score 0.  Rows of labels
-without id or label are not used.  Null or repeated doc_id: rows stay (``held_out``
+Null or empty text: the score of no match.  No labels, or only clean ones: score 0;
+only toxic ones: score 1.  Rows of labels without id or label are not used; of
+contradicting labels of one id toxic counts.  Null or repeated doc_id: rows stay (``held_out``
 is false for null).  Empty table: no rows.
 """
 
@@ -37,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, fold_of, frugal, table
+from .common import cut, documents, fold_of, frugal, mapped, table
 
 TRAIN_ROWS, ENTRIES, LEAST_DOCS, LEAST_ODDS = 20_000, 4_000, 4, 2.0
 BEGINNINGS = (4, 5, 6, 7, 8, 10)
@@ -149,7 +150,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic) -> the model."""
     chosen = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    chosen = chosen.where(fold_of(F.col("id"), FOLDS) != HELD_OUT).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(rows)
+    chosen = chosen.where(fold_of(F.col("id"), FOLDS) != HELD_OUT).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
     sample = cut(sample.select("text", "y", (F.pmod(F.xxhash64("id", F.lit("part")), F.lit(10)) < 3).alias("curve")).repartition(12))
     learn, curve = sample.where("not curve"), sample.where("curve")
@@ -234,15 +235,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def filtered(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the documents that the score rejects, row by row."""
-    names, schema = docs.columns, docs.schema
-
     def run(batches):
         a, w = model.automaton(), np.array(model.curve or [-30.0, 0, 0, 0, 0])
         for batch in batches:
             x = np.array([evidence(a, fold(t)) for t in batch["text"].to_pylist()], float).reshape(-1, 4)
             yield batch.filter(pa_bools(w[0] + x @ w[1:] < 0))
 
-    return docs.select(*names).mapInArrow(frugal(run), schema)
+    return mapped(docs, run)
 
 
 def pa_bools(values: np.ndarray):

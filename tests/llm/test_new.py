@@ -267,3 +267,44 @@ def test_codes_decide(spark):
     score = v[::20].astype(float) @ v.T.astype(float)
     want = {(q, i) for q, s in zip(asked, score, strict=True) for i in [x for x in np.argsort(-s) if x != q][:20]}
     assert len(found & want) >= 0.98 * len(want)
+
+
+# Stages over columns of any name, and the whole pipeline against its stages.
+
+
+def test_stages_carry_any_names(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.llm import mixing, neardup, packing, pii, sharding, toxicity
+
+    rows = [(k, f"some plain words here number {k % 3} call 555-123-4567", "en", "s", 40, k, "t") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, `c``d e` string")
+    assert toxicity.filtered(docs, toxicity.Model()).columns == docs.columns and toxicity.filtered(docs, toxicity.Model()).count() == 9
+    for stage in (neardup.distinct, pii.masked, mixing.copies_in_order):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.count() > 0, stage
+    assert {r["a.b"] for r in pii.masked(docs).collect()} == set(range(9))
+    assert packing.pack(docs.where(F.col("`a.b`") < 5)).select("doc_id").distinct().count() == 5
+
+
+def test_mixing_is_in_order_and_spreads_null_ids(spark, tmp_path):
+    from quillon.llm import mixing
+
+    rows = [(None if k % 2 else k, f"word{k} " * (1 + k % 5), "en", "s") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    at = [r.position for r in mixing.query(spark, str(tmp_path)).collect()]
+    known = [x for x in at if x is not None]
+    assert known == sorted(known) and at[: len(known)] == known and len(at) == 200
+    rows = [(None, f"word{k}", "en", "s") for k in range(100)]
+    places = [r.position for r in mixing.mix(spark.createDataFrame(rows, df.schema)).where("taken > 0").collect()]
+    assert len(set(places)) > 60
+
+
+def test_contradicting_labels(spark):
+    from quillon.llm import toxicity
+
+    docs = spark.createDataFrame([(k, "vile gruesome words" if k % 2 else "kind words") for k in range(600)], "doc_id long, text string")
+    twice = [(k, y) for k in range(600) for y in ((0, 1) if k % 2 else (0, 0))]
+    models = [toxicity.train(docs, spark.createDataFrame(order, "doc_id long, toxic int").repartition(n)) for n, order in ((1, twice), (5, twice[::-1]))]
+    assert models[0].weights == models[1].weights != {}
