@@ -34,10 +34,14 @@ def bm25_index(chunks: DataFrame, config: EngineConfig = DEFAULT) -> dict[str, D
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     postings = words.select("key", F.explode("tokens").alias("token")).groupBy("token", "key").agg(F.count(F.lit(1)).alias("tf"))
     df = words.select("key", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return {"postings": postings, "lengths": lengths, "idf": idf(df, totals, config), "totals": totals, "words": words}
+
+
+def idf(df: DataFrame, totals: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """df(token, df), totals(n) of one row -> token, df, idf."""
     raw = df.join(F.broadcast(totals), how="inner", on=F.lit(True)).withColumn("raw", F.round(F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5), 9))
     mean = raw.agg(F.round(F.avg("raw"), 9).alias("mean"))
-    idf = raw.join(F.broadcast(mean), how="inner", on=F.lit(True)).select("token", "df", F.when(F.col("raw") < 0, config.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return {"postings": postings, "lengths": lengths, "idf": idf, "totals": totals, "words": words}
+    return raw.join(F.broadcast(mean), how="inner", on=F.lit(True)).select("token", "df", F.when(F.col("raw") < 0, config.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def top(rows: DataFrame, by: str | list[str], k: int, *order: Column, name: str = "rank") -> DataFrame:
@@ -70,12 +74,14 @@ def unit(vector: Column) -> Column:
 def dense_search(points: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """points(key, embedding), queries(query, embedding) -> query, key, score, rank by cosine.
 
-    Exact.  ``where`` filters points before they are scored.  Each side is
+    Exact.  Vectors that are null or hold null or non-finite components take no part.
+    ``where`` filters points before they are scored.  Each side is
     packed into blocks and every block of queries meets every block of points,
     one matrix product a pair; a pair's best k travel on.  Pairs are dealt by
     both blocks' numbers, so they spread over as many tasks as there are pairs.
     """
-    ready = lambda df, name: df.where("embedding is not null").select(F.col(name).alias("id"), unit(F.col("embedding")).alias("v"), F.size("embedding").alias("d"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    ready = lambda df, name: df.where("embedding is not null").where(finite).select(F.col(name).alias("id"), unit(F.col("embedding")).alias("v"), F.size("embedding").alias("d"))
     if where is not None:
         points = points.where(where)
     packed = "d int, block long, ids binary, vectors binary"
@@ -103,13 +109,22 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int, where: Column |
                 step = max(1, CELLS // len(ids))
                 for s in range(0, len(q_ids), step):
                     cosine = np.round(asked[s : s + step] @ v.T, DIGITS)
-                    for i, row in enumerate(cosine):
-                        best = np.lexsort((ids, -row))[:k]
-                        yield pd.DataFrame({"query": q_ids[s + i], "key": ids[best], "score": row[best]})
+                    best = [best_of(row, ids, k) for row in cosine]
+                    at = np.concatenate(best)
+                    rows = np.repeat(np.arange(len(best)), [len(b) for b in best])
+                    yield pd.DataFrame({"query": q_ids[s + rows], "key": ids[at], "score": cosine[rows, at]})
 
     return top(pairs.mapInPandas(score, "query long, key long, score double"), "query", k, F.desc("score"), F.asc("key"))
 
 
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties to the smaller id; only what reaches the k-th is sorted."""
+    near = np.arange(len(scores))
+    if len(scores) > k:
+        near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+
+
 def pruned_points(points: DataFrame, keys: DataFrame) -> DataFrame:
     """Points that have a chunk."""
     return points.join(keys.select("key").distinct(), "key", "left_semi")

@@ -226,12 +226,6 @@ def _(spark, sf):
     return S.health(B.registry(spark, sf), c, c, B.vectors(spark, sf))
 
 
-@query("r22_metadata_upsert", "", "SELECT 'schema_version' AS key, '2' AS value UNION ALL SELECT 'built_by', 'batch'")
-def _(spark, sf):
-    old = spark.createDataFrame([("schema_version", "1"), ("built_by", "batch")], "key string, value string")
-    return S.upserted(old, spark.createDataFrame([("schema_version", "2", 1)], "key string, value string, seq int"), "key", "seq")
-
-
 # Text.
 
 
@@ -959,3 +953,6 @@ def _(spark, sf):
     c = R.top(B.read(spark, sf, "conversations"), "conv_id", 6, F.desc("turn"), name="n")
     said = F.concat("role", F.lit(": "), F.substring(F.coalesce("text", F.lit("")), 1, 800))
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))), lambda x: x["s"]), "\n").alias("history"))
+
+
+from quillon.plans import changes  # noqa: E402, F401  its queries are registered too

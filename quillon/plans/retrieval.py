@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from quillon.config import DEFAULT, EngineConfig
 from quillon.operators import grounding as G
 from quillon.operators import ranking as R
 from quillon.sources import tables
+from quillon.sources.stored import shared_folder
 
 ORDINALS = 1_000_000
 
@@ -121,10 +120,5 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, for plans that read a small result of a
     long plan several times.  The folder is the cluster's; a local master may use its own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
