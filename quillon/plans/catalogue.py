@@ -895,27 +895,40 @@ def _(spark, sf):
 
 # Ingestion.
 
-ACT = "ПРИЛОЖЕНИЕ № 2\nЧАСТЬ II\nРАЗДЕЛ III\nГлава 2. Общие\n1. Первый пункт.\nпродолжение пункта\n2. Второй пункт:\nа) подпункт\nIV. Другой раздел\n3. Третий пункт."
 
 
-def _acts(spark):
-    return spark.createDataFrame([(1, ACT)], "document_id long, text string")
+def _acts(spark, sf):
+    """Every text of ``documents`` as an act: lines of structure stand before or around its own lines, by the line's number."""
+    n = lambda j: (j + 1).cast("string")
+    kinds = [
+        lambda x, j: F.array(F.concat(F.lit("ПРИЛОЖЕНИЕ № "), n(j)), x), lambda x, j: F.array(F.lit("Часть II"), x), lambda x, j: F.array(F.lit("РАЗДЕЛ III"), F.concat(n(j), F.lit(". "), x)),
+        lambda x, j: F.array(F.concat(F.lit("Глава "), n(j), F.lit(". Общие")), F.concat(n(j), F.lit(". "), x)), lambda x, j: F.array(F.lit("Общие положения"), F.concat(n(j), F.lit(". "), x)), lambda x, j: F.array(F.concat(F.lit("а) "), x)),
+        lambda x, j: F.array(F.lit("Показатель\tНорма"), F.concat(n(j), F.lit(".\t"), x)), lambda x, j: F.array(F.lit("IV. Требования"), x), lambda x, j: F.array(F.lit("Прочие требования"), x),
+    ]
 
+    def lines(x, j):
+        out, kind = None, F.pmod(F.col("doc_id") + j, F.lit(10))
+        for k, make in enumerate(kinds):
+            out = F.when(kind == k, make(x, j)) if out is None else out.when(kind == k, make(x, j))
+        return out.otherwise(F.array(x))
 
-@query("i1_structure", "", "SELECT * FROM (VALUES (0, '№ 2', '', '', '', '', ''), (1, '№ 2', 'II', '', '', '', ''), (2, '№ 2', 'II', 'III', '', '', ''), (3, '№ 2', 'II', 'III', '2', '', ''), (4, '№ 2', 'II', 'III', '2', '1', ''), (5, '№ 2', 'II', 'III', '2', '1', ''), (6, '№ 2', 'II', 'III', '2', '2', ''), (7, '№ 2', 'II', 'III', '2', '2', 'а'), (8, '№ 2', 'II', 'IV', '', '', ''), (9, '№ 2', 'II', 'IV', '', '3', '')) t(line_no, appendix, part, section, chapter, paragraph, subparagraph)")
+    d = B.read(spark, sf, "documents").where("doc_id is not null")
+    return d.select(F.col("doc_id").alias("document_id"), F.array_join(F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lines)), "\n").alias("text"))
+
+
+@query("i1_structure", "lines", f"SELECT document_id, line_no, level, is_table, {', '.join(D.LEVELS)} FROM lines")
 def _(spark, sf):
-    return D.structured(_acts(spark)).select("line_no", *D.LEVELS)
+    return D.structured(_acts(spark, sf)).select("document_id", "line_no", "level", "is_table", *D.LEVELS)
 
 
-@query("i2_merged_units", "", "SELECT * FROM (VALUES (5, '1. Первый пункт. продолжение пункта', false), (9, 'IV. Другой раздел', true)) t(unit, text, heading_only)".replace("(9,", "(8,"))
+@query("i2_merged_units", "units", "SELECT document_id, unit, is_table, sha256(text) AS h, heading_only FROM units")
 def _(spark, sf):
-    return D.merged(D.structured(_acts(spark))).where("unit in (5, 8)").select(F.col("unit").cast("int").alias("unit"), "text", "heading_only")
+    return D.merged(D.structured(_acts(spark, sf))).select("document_id", F.col("unit").cast("int").alias("unit"), "is_table", F.sha2("text", 256).alias("h"), "heading_only")
 
 
 @query("i3_act_chunks")
 def _(spark, sf):
-    d = B.read(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return D.act_chunks(d).select("document_id", "ordinal", "paragraph", F.length("text").alias("n"))
+    return D.act_chunks(_acts(spark, sf)).select("document_id", "ordinal", "subsection", "paragraph", "is_table", "body_chars", F.sha2("text", 256).alias("h"))
 
 
 @query("i4_cards", "reg", "SELECT document_id, title FROM reg WHERE length(text) < 20")

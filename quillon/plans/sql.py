@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillon.functions import inn as N
 from quillon.functions import text as T
+from quillon.operators import ingest as D
 from quillon.operators import intake as I
 
 BLANK = T.BLANK
@@ -216,3 +217,31 @@ define("spelled", ("alias",), f"""SELECT DISTINCT name, spelling FROM (SELECT na
 FROM (SELECT name, spelling AS s FROM alias UNION SELECT name, {to_latin('name')} FROM alias)) WHERE length(spelling) >= 5""")
 define("low", ("msg",), "SELECT *, translate(lower(text), 'ё', 'е') AS low FROM msg")
 define("voc", ("low",), f"SELECT id, text, low, {case(I.FORMS, 'low', '')} AS form, {case(I.ROUTES, 'low', '')} AS route, {case(I.KINDS, 'low', 'unknown', True)} AS kind, {case(I.RELEASES, 'low', 'unknown')} AS release FROM low")
+
+
+# Acts: the documents' texts with lines of structure, and what is read from them.
+
+_KINDS = [
+    "['ПРИЛОЖЕНИЕ № ' || j, x]", "['Часть II', x]", "['РАЗДЕЛ III', j || '. ' || x]", "['Глава ' || j || '. Общие', j || '. ' || x]", "['Общие положения', j || '. ' || x]", "['а) ' || x]",
+    "['Показатель' || chr(9) || 'Норма', j || '.' || chr(9) || x]", "['IV. Требования', x]", "['Прочие требования', x]",
+]
+define("act", (), f"SELECT doc_id AS document_id, flatten(list_transform(string_split(coalesce(text, ''), {LF}), lambda x, j: CASE (doc_id + j - 1) % 10 {' '.join(f'WHEN {k} THEN {v}' for k, v in enumerate(_KINDS))} ELSE [x] END)) AS l FROM documents WHERE doc_id IS NOT NULL")
+define("act_line", ("act",), f"SELECT document_id, line_no, line FROM (SELECT document_id, generate_subscripts(string_split(array_to_string(l, {LF}), {LF}), 1) - 1 AS line_no, {trim('unnest(string_split(array_to_string(l, ' + LF + '), ' + LF + '))')} AS line FROM act) WHERE line <> ''")
+_RULES = {k: (v.removeprefix("(?iu)"), ", 'i'" if v.startswith("(?iu)") else "") for k, v in D.RULES.items()}
+_SUB, _PAR = D.LEVELS.index("subsection"), D.LEVELS.index("paragraph")
+define("ruled", ("act_line",), f"SELECT *, CASE {' '.join(f'WHEN regexp_matches(line, {q(_RULES[n][0])}{_RULES[n][1]}) THEN {i}' for i, n in enumerate(D.LEVELS) if n in _RULES)} END AS rule, regexp_matches(line, {q(D.CELLS)}) AS cells FROM act_line")
+define("around", ("ruled",), "SELECT *, " + ", ".join(f"{f}({c}) OVER (PARTITION BY document_id ORDER BY line_no) AS {n}_{c}" for n, f in (("last", "lag"), ("next", "lead")) for c in ("line", "rule", "cells")) + " FROM ruled")
+define("levels", ("around",), f"""SELECT document_id, line_no, line, is_table, CASE WHEN is_table THEN NULL WHEN rule IS NULL AND NOT cells AND length(line) <= {D.TITLE_CHARS} AND regexp_matches(line, {q(D.TITLE)})
+ AND (last_line IS NULL OR regexp_matches(last_line, {q(D.FINISHED)}) OR coalesce(last_rule, {_PAR}) < {_SUB}) AND next_rule = {_PAR} AND NOT next_cells THEN {_SUB} ELSE rule END AS level
+ FROM (SELECT *, cells AND (coalesce(last_cells, false) OR coalesce(next_cells, false)) AS is_table FROM around)""")
+
+
+def _own(i: int, name: str) -> str:
+    own = "line" if i == _SUB else trim(f"regexp_extract(line, {q(_RULES[name][0])}, 1{_RULES[name][1]})")
+    return f"coalesce(last_value(CASE WHEN level = {i} THEN {own} WHEN level < {i} THEN '' END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), '') AS {name}"
+
+
+define("lines", ("levels",), f"SELECT document_id, line_no::INT AS line_no, line, level, is_table, {', '.join(_own(i, n) for i, n in enumerate(D.LEVELS))} FROM levels")
+define("units", ("lines",), f"""SELECT document_id, unit::INT AS unit, is_table, CASE WHEN is_table THEN string_agg(line, {LF} ORDER BY line_no) ELSE string_agg(line, ' ' ORDER BY line_no) END AS text, count(*) FILTER (level < {_PAR}) = count(*) AS heading_only FROM (
+ SELECT *, sum(opens::INT) OVER (PARTITION BY document_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS unit FROM (
+  SELECT *, level IS NOT NULL OR is_table <> coalesce(lag(is_table) OVER (PARTITION BY document_id ORDER BY line_no), false) AS opens FROM lines)) GROUP BY document_id, unit, is_table""")
