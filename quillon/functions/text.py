@@ -149,13 +149,16 @@ def escape_html(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+ACT_NUMBER = rf"№{BLANK}*([0-9]{{1,4}})"
+
+
 def significant_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[а-яёa-z0-9]{4,}"), F.lit(0)))
 
 
 def matches_expected(expected: Column, title: Column, number: Column) -> Column:
     """An act number must be equal; otherwise half of the words are shared."""
-    wanted = F.regexp_extract(expected, rf"№{BLANK}*([0-9]{{1,4}})", 1)
+    wanted = F.regexp_extract(expected, ACT_NUMBER, 1)
     words = significant_words(expected)
     shared = F.size(F.array_intersect(words, significant_words(title))) / F.size(words)
     return F.when(wanted != "", wanted == number).when(F.size(words) == 0, F.lit(False)).otherwise(shared >= 0.5)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.text import ACT_NUMBER, matches_expected, significant_words
+
 
 def outcomes(asked: DataFrame, results: DataFrame, relevant: DataFrame) -> DataFrame:
     """asked(request), results(request, rank, document_id, title, source_tier), relevant(request,
@@ -42,3 +44,32 @@ def answer_metrics(answers: DataFrame) -> DataFrame:
 
 def report(found: DataFrame) -> DataFrame:
     return found.select("request", "first_hit", "ranks", F.slice("titles", 1, 5).alias("titles"))
+
+
+def candidates(expected: DataFrame, items: DataFrame) -> DataFrame:
+    """expected(a, x), items(b, y, number) -> a, b: pairs that may match, each once.
+
+    Half of the n words of x, at least ceil(n / 2), must stand in y. So y has one of the
+    n - ceil(n / 2) + 1 rarest words of x, and as many words as must be shared: a word
+    of many items is looked up only for texts without enough rarer ones. An x that
+    names an act's number meets the items of that number.
+    """
+    number = F.regexp_extract("x", ACT_NUMBER, 1)
+    e = expected.select("a", "x", number.alias("number"), significant_words(F.col("x")).alias("w"))
+    n = F.size("w")
+    asked = e.where("number = '' and size(w) > 0").select("a", "w", F.ceil(n / 2).cast("int").alias("need"), n.alias("n"))
+    held = items.select("b", significant_words(F.col("y")).alias("w")).where("size(w) > 0")
+    words = held.select("b", F.size("w").alias("m"), F.explode("w").alias("word"))
+    rarity = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    placed = asked.select("a", "need", "n", F.explode("w").alias("word")).join(rarity, "word", "left")  # a word that no item has is the rarest
+    ranked = placed.groupBy("a", "need", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("w"))
+    first = ranked.select("a", "need", F.explode(F.slice("w", F.lit(1), F.col("n") - F.col("need") + 1)).alias("w")).select("a", "need", F.col("w.word").alias("word"))
+    met = first.join(words, "word").where("m >= need").select("a", "b").distinct()
+    named = e.where("number <> ''").select("a", "number").join(items.where("number <> ''").select("b", "number"), "number").select("a", "b").distinct()
+    return met.unionByName(named)
+
+
+def expected_matches(expected: DataFrame, items: DataFrame) -> DataFrame:
+    """expected(a, x), items(b, y, number) -> a, b: where an item is what was expected."""
+    pairs = candidates(expected, items).join(expected.select("a", "x"), "a").join(items.select("b", "y", "number"), "b")
+    return pairs.where(matches_expected(F.col("x"), F.col("y"), F.col("number"))).select("a", "b")

@@ -245,13 +245,11 @@ def _(spark, sf):
     return t.select("doc_id", F.size("t").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("h"))
 
 
-RUSSIAN = ["Решение Совета № 85 и о правилах", "АУК(0-t) cmax 90,5 % ещё раз", "Биоэквивалентность препаратов во многом", "", "в и не"]
-RUS = "(VALUES " + ", ".join(f"({i}, {Q.q(x)})" for i, x in enumerate(RUSSIAN)) + ") t(id, text)"
-
-
-@query("t4_stop_words", "", f"SELECT id, array_to_string({Q.tokens('text')}, ' ') AS tokens FROM {RUS}")
+@query("t4_stop_words", "said", f"SELECT id, len(t)::INT AS n, sha256(array_to_string(t, ' ')) AS h FROM (SELECT id, {Q.tokens('text')} AS t FROM said)")
 def _(spark, sf):
-    return spark.createDataFrame(list(enumerate(RUSSIAN)), "id int, text string").select("id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+    """Messages in Russian, of which stop words go."""
+    t = _said(spark, sf).select("id", T.tokens(F.col("text")).alias("t"))
+    return t.select("id", F.size("t").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("h"))
 
 
 @query("t5_chunk_ids", "chunk", f"SELECT document_id, ordinal, document_id || '#' || CASE WHEN paragraph = '' THEN 'root' ELSE paragraph END || '#' || printf('%04d', ordinal) || '#' || substr(sha256(lower({Q.trim(f'''regexp_replace(text, '{Q.BLANK}+', ' ', 'g')''')})), 1, 12) AS chunk_id FROM chunk")
@@ -304,10 +302,9 @@ def _(spark, sf):
 
 @query("t13_expected_match", "", "SELECT a.item_id AS a, b.item_id AS b FROM benchmark a JOIN benchmark b ON len(list_intersect(list_distinct(regexp_extract_all(lower(a.text), '[а-яёa-z0-9]{4,}')), list_distinct(regexp_extract_all(lower(b.text), '[а-яёa-z0-9]{4,}')))) >= 0.5 * len(list_distinct(regexp_extract_all(lower(a.text), '[а-яёa-z0-9]{4,}'))) AND len(regexp_extract_all(lower(a.text), '[а-яёa-z0-9]{4,}')) > 0")
 def _(spark, sf):
-    """Questions whose words are at least half in another's; candidates share a word."""
-    b = B.questions(spark, sf).withColumn("w", F.explode(T.significant_words(F.col("question"))))
-    pairs = b.select(F.col("item_id").alias("a"), F.col("question").alias("x"), "w").join(b.select(F.col("item_id").alias("b"), F.col("question").alias("y"), "w"), "w").select("a", "b", "x", "y").distinct()
-    return pairs.where(T.matches_expected(F.col("x"), F.col("y"), F.lit(""))).select("a", "b")
+    """Questions whose words are at least half in another's."""
+    q = B.questions(spark, sf)
+    return V.expected_matches(q.select(F.col("item_id").alias("a"), F.col("question").alias("x")), q.select(F.col("item_id").alias("b"), F.col("question").alias("y"), F.lit("").alias("number")))
 
 
 @query("t14_to_latin", "named", f"SELECT document_id, {Q.to_latin('name')} AS latin FROM named")
@@ -315,10 +312,9 @@ def _(spark, sf):
     return _named(spark, sf).select("document_id", N.to_latin(F.col("name")).alias("latin"))
 
 
-@query("t15_to_cyrillic", "", f"SELECT doc_id, {Q.to_cyrillic('w')} AS cyrillic FROM (SELECT doc_id, {Q.folded(Q.FIRST_WORDS)} AS w FROM documents)")
+@query("t15_to_cyrillic", "", f"SELECT doc_id, sha256({Q.to_cyrillic('w')}) AS cyrillic FROM (SELECT doc_id, {Q.folded('text')} AS w FROM documents)")
 def _(spark, sf):
-    words = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 3), " ")
-    return B.read(spark, sf, "documents").select("doc_id", N.to_cyrillic(words).alias("cyrillic"))
+    return B.read(spark, sf, "documents").select("doc_id", F.sha2(N.to_cyrillic(F.coalesce("text", F.lit(""))), 256).alias("cyrillic"))
 
 
 @query("t16_variants", "", "SELECT * FROM (VALUES ('омепразол', 'омепразол,omeprazol,omeprazole,omeprazolum,омепраз,omepraz,omeprazo,omeprazol'), ('леводопа', 'леводопа,levodopa,леводо,levodo')) t(name, variants)".replace(",omeprazo,omeprazol'", ",omeprazo'"))
@@ -331,9 +327,6 @@ def _(spark, sf):
     return spark.createDataFrame([("aspirin",), ("Ибупрофён",), ("",), ("zolpidem",)], "name string").select("name", N.canonical(F.col("name")).alias("canonical"))
 
 
-TITLES = ["О выборе с МНН «Эстриол» и «леводопа + карбидопа»", "«о выборе препарата»", "без кавычек", "«абв» «ЗОЛПИДЕМ.»"]
-
-
 def _named(spark, sf):
     """Every document with one name, and a title that quotes two."""
     names = list(N.ALIASES)
@@ -366,9 +359,10 @@ def _(spark, sf):
     return N.detect(_said(spark, sf), "id", "text", N.vocabulary(spark)).select("id", F.array_join("inns", ",").alias("names"))
 
 
-@query("t20_register_names", "", f"SELECT inn FROM (VALUES {', '.join('(' + Q.q(n) + ')' for n in [*N.ALIASES, 'эстриол'])}) t(inn)")
+@query("t20_register_names", "named", f"SELECT DISTINCT inn FROM (SELECT unnest([{', '.join(Q.q(n) for n in N.ALIASES)}]) AS inn UNION ALL SELECT {Q.folded("'новое ' || name || ' ' || document_id % 50")} FROM named)")
 def _(spark, sf):
-    new = spark.createDataFrame([("Эстриол",), ("ибупрофен",), (" ",)], "inn string")
+    """A name for each document, many of them the same, added to the vocabulary."""
+    new = _named(spark, sf).select(F.concat(F.lit("Новое "), "name", F.lit(" "), F.col("document_id") % 50).alias("inn"))
     return N.registered(N.vocabulary(spark), new)
 
 
@@ -377,12 +371,13 @@ def _(spark, sf):
     return _said(spark, sf).select("id", F.sha2(N.folded(F.col("text")), 256).alias("folded"), N.is_cyrillic(F.col("text")).alias("cyrillic"))
 
 
-STRENGTHS = ["400 мг", "5 мг", "", "", "", "20 мг", "10 мг/мл", "", "", "", "", "5 г"]
+#: RE2 knows word characters of ASCII only.
+_STRENGTH = r"(?:^|[^\p{L}\p{N}_])(" + I.STRENGTH.removeprefix(r"(?iU)\b").replace(r"\w", r"[\p{L}\p{N}_]") + ")"
 
 
-@query("t22_strength", "", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {Q.q(s)})" for i, s in enumerate(STRENGTHS)) + ") t(id, strength)")
+@query("t22_strength", "said", f"SELECT id, {Q.trim(f"regexp_extract(text, {Q.q(_STRENGTH)}, 1, 'i')")} AS strength FROM said")
 def _(spark, sf):
-    return _messages(spark).select("id", T.trimmed(F.regexp_extract("text", I.STRENGTH, 0)).alias("strength"))
+    return _said(spark, sf).select("id", T.trimmed(F.regexp_extract("text", I.STRENGTH, 0)).alias("strength"))
 
 
 @query("t23_labelled_fields", "", "SELECT * FROM (VALUES (0, 'мнн=ибупрофен;лекарственная форма=таблетки;дозировка=400 мг;путь введения=внутрь;тип препарата=воспроизведённый;высвобождение=немедленное')) t(id, fields)")
@@ -835,10 +830,10 @@ def _(spark, sf):
     return _profiles(spark).withColumns(more).select("id", F.posexplode(I.profile_queries()).alias("no", "query"))
 
 
-@query("f16_inn_queries", "", "SELECT 'леводопа' AS inn, 3 AS n, 'рекомендация Экспертного комитета о выборе референтного лекарственного препарата с МНН «леводопа»' AS last")
+@query("f16_inn_queries", "named", "SELECT document_id, 3 AS n, 'рекомендация Экспертного комитета о выборе референтного лекарственного препарата с МНН «' || name || '»' AS last FROM named")
 def _(spark, sf):
-    r = spark.createDataFrame([("леводопа",)], "inn string").withColumn("q", I.inn_queries(F.col("inn")))
-    return r.select("inn", F.size("q").alias("n"), F.element_at("q", -1).alias("last"))
+    r = _named(spark, sf).withColumn("q", I.inn_queries(F.col("name")))
+    return r.select("document_id", F.size("q").alias("n"), F.element_at("q", -1).alias("last"))
 
 
 @query("f17_chat_queries")
@@ -949,10 +944,10 @@ def _(spark, sf):
     return D.changed(d, new).select("document_id")
 
 
-@query("i7_title_vocabulary", "", f"SELECT inn FROM (VALUES {', '.join('(' + Q.q(n) + ')' for n in [*N.ALIASES, 'эстриол', 'карбидопа', 'золпидем'])}) t(inn)")
+@query("i7_title_vocabulary", "named", f"SELECT DISTINCT inn FROM (SELECT unnest([{', '.join(Q.q(n) for n in N.ALIASES)}]) AS inn UNION ALL SELECT unnest(string_split({Q.from_title('title')}, ',')) FROM named) WHERE inn <> ''")
 def _(spark, sf):
-    titles = spark.createDataFrame([(t,) for t in TITLES], "title string")
-    return N.registered(N.vocabulary(spark), titles.select(F.explode(N.from_title(F.col("title"))).alias("inn")))
+    """The vocabulary with the names that documents' titles quote."""
+    return N.registered(N.vocabulary(spark), _named(spark, sf).select(F.explode(N.from_title(F.col("title"))).alias("inn")))
 
 
 @query("i8_same_act", "reg", "SELECT min(document_id) AS document_id FROM reg GROUP BY document_type, document_number, adoption_date")

@@ -192,7 +192,6 @@ def from_title(x: str) -> str:
     return f"array_to_string(list_sort(list_distinct(list_filter({parts}, lambda p: length(p) >= 4 AND {named('p')}))), ',')"
 
 
-FIRST_WORDS = "array_to_string(string_split(coalesce(text, ''), ' ')[1:3], ' ')"
 MESSAGES = [
     "МНН: ибупрофен\nЛекарственная форма: таблетки\nДозировка: 400 мг\nПуть введения: внутрь\nТип препарата: воспроизведённый\nВысвобождение: немедленное",
     "Нужна ли биоэквивалентность для таблеток амлодипина 5 мг, генерик?",
