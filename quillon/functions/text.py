@@ -175,23 +175,22 @@ def references(text: Column) -> Column:
     return F.transform(F.flatten(F.transform(marks, lambda m: F.split(m, r"\s*,\s*"))), lambda i: i.cast("int"))
 
 
-@F.pandas_udf(StringType())
-def keep_known_references(texts: pd.Series, known: pd.Series) -> pd.Series:
-    """``[1, 7]`` keeps the ids in ``known``; an empty bracket goes."""
-    import re
-
-    mark = re.compile(r"\[(\d{1,3}(?:\s*,\s*\d{1,3})*)\]")
+#: A mark such as ``[1, 7]``; and a text in pieces: marks, what lies between, brackets that open none.
+MARK = rf"\[[0-9]{{1,3}}(?:{BLANK}*,{BLANK}*[0-9]{{1,3}})*\]"
+PIECES = rf"{MARK}|[^\[]+|\["
 
-    def clean(text, ids):
-        valid = set() if ids is None else {int(i) for i in ids}
 
-        def some(m):
-            kept = [str(int(p)) for p in m[1].split(",") if int(p) in valid]
-            return f"[{', '.join(kept)}]" if kept else ""
+def keep_known_references(text: Column, known: Column) -> Column:
+    """``[1, 7]`` keeps the ids in ``known`` (none, if null); an empty bracket goes. Null text gives an empty one."""
+    ids = F.coalesce(known.cast("array<int>"), F.array().cast("array<int>"))
 
-        return mark.sub(some, text) if isinstance(text, str) else ""
+    def clean(piece: Column) -> Column:
+        named = F.transform(F.regexp_extract_all(piece, F.lit("[0-9]+"), F.lit(0)), lambda i: i.cast("int"))
+        kept = F.filter(named, lambda i: F.array_contains(ids, i))
+        mark = F.when(F.size(kept) > 0, F.concat(F.lit("["), F.array_join(kept.cast("array<string>"), ", "), F.lit("]"))).otherwise("")
+        return F.when(piece.rlike(f"^{MARK}$"), mark).otherwise(piece)
 
-    return pd.Series([clean(t, k) for t, k in zip(texts, known, strict=True)], dtype=object)
+    return F.array_join(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECES), F.lit(0)), clean), "")
 
 
 @F.pandas_udf(StringType())

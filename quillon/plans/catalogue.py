@@ -404,7 +404,11 @@ def _(spark, sf):
     return spark.createDataFrame(list(enumerate(REPLIES)), "id int, reply string").select("id", T.json_object(F.col("reply")).cast("string").alias("object"))
 
 
-@query("t27_inline_references")
+KNOWN = f"""SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(coalesce(text, '') || ' [1, 7] [9] [3]', {Q.q(T.PIECES)}), lambda p: CASE WHEN NOT regexp_full_match(p, {Q.q(T.MARK)}) THEN p
+ ELSE coalesce('[' || nullif(array_to_string(list_filter(list_transform(regexp_extract_all(p, '[0-9]+'), lambda i: i::INT), lambda i: i IN (1, 3)), ', '), '') || ']', '') END), '') AS text FROM conversations"""
+
+
+@query("t27_inline_references", "", KNOWN)
 def _(spark, sf):
     d = B.read(spark, sf, "conversations")
     said = F.concat(F.coalesce("text", F.lit("")), F.lit(" [1, 7] [9] [3]"))
