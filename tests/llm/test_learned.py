@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import corpus, frame, table
 
@@ -131,7 +132,7 @@ def test_query(spark, sf, duck, name):
         want = duck.execute(ORACLE_SQL[name]).df()
         assert sorted(want.columns) == sorted(df.columns)
         order = sorted(df.columns)
-        plain = lambda v: None if v is None or v != v else round(float(v), 9) if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v)
+        plain = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 9) if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v)
         a = sorted((tuple(plain(r[c]) for c in order) for r in rows), key=repr)
         assert a == sorted((tuple(plain(v) for v in r) for r in want[order].itertuples(index=False)), key=repr)
 
