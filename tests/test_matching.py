@@ -1,10 +1,11 @@
-"""What was expected against what was found, by rare words."""
+"""What was expected against what was found, by rare words; names in texts, by rare grams."""
 
 from __future__ import annotations
 
 import random
 import re
 
+from quillon.functions import inn as N
 from quillon.operators import evaluate as V
 
 
@@ -31,3 +32,30 @@ def test_frequent_words_make_few_pairs(spark):
     rows = [(k, f"common rare{k}a rare{k}b rare{k}c") for k in range(200)]
     e, i = spark.createDataFrame(rows, "a int, x string"), spark.createDataFrame([(k, t, "") for k, t in rows], "b int, y string, number string")
     assert V.candidates(e, i).count() == 200
+
+
+def test_names_against_force(spark):
+    """Names of few letters, so that spellings share grams and lie in each other; awkward rows."""
+    rng = random.Random(7)
+    part = lambda n: "".join(rng.choice("абв") for _ in range(n))
+    known = spark.createDataFrame([(part(rng.randrange(3, 9)),) for _ in range(60)] + [("левотироксин натрия",), ("",), (None,)], "inn string")
+    texts = [(k, " ".join(part(rng.randrange(2, 14)) for _ in range(rng.randrange(0, 12)))) for k in range(120)]
+    texts += [(None, None), (None, "Левотироксин\n НАТРИЯ"), (500, ""), (501, "абв " * 30_000), (502, texts[0][1]), (502, texts[0][1]), (503, "😀" * 9)]
+    spelled = [tuple(r) for r in N.spellings(known).collect()]
+    want = []
+    for key, text in texts:
+        low = " ".join((text or "").lower().replace("ё", "е").split())
+        want.append((key, sorted({n for n, s in spelled if s in low})))
+    df = spark.createDataFrame(texts, "`a.key` int, text string")
+    found = N.detect(df, "a.key", "text", known)
+    assert sorted(((r[0], list(r[1])) for r in found.collect()), key=repr) == sorted(want, key=repr)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert all(not r.inns for r in N.detect(df, "a.key", "text", known.limit(0)).collect())
+    assert N.detect(df.limit(0), "a.key", "text", known).count() == 0
+
+
+def test_a_spelling_meets_texts_by_its_rarest_gram(spark):
+    """A beginning that all texts share makes no pairs."""
+    texts = spark.createDataFrame([(str(k), f"бронхо{chr(0x430 + k % 30) * 5}") for k in range(300)], "__text string, __low string")
+    spelled = spark.createDataFrame([("a", "бронхобббб"), ("b", "бронхоэюяэ")], "name string, spelling string")
+    assert {(int(r[0]) % 30, r[1]) for r in N.candidates(texts, spelled).collect()} == {(1, "бронхобббб")}

@@ -83,13 +83,6 @@ def test_quoted_names(spark):
     assert all(r.names == titles[r.title] for r in rows)
 
 
-def test_a_vocabulary_has_a_bound(spark, monkeypatch):
-    monkeypatch.setattr(N, "MOST_NAMES", 2)
-    texts = spark.createDataFrame([(1, "варфарин")], "id int, text string")
-    with pytest.raises(ValueError):
-        N.detect(texts, "id", "text", N.vocabulary(spark))
-
-
 def test_blocks(spark):
     """Lines are packed by where they begin, whatever the text's length and spaces."""
     from quillon.sources.tables import blocks
