@@ -250,30 +250,6 @@ def shown_sources(cited: DataFrame, used: DataFrame, first: int = 5) -> DataFram
     return c.where("true").withColumn("any_own", any_).where(F.col("own") | (~F.col("any_own") & (F.col("citation_id") <= first))).select("request", "citation_id", "document_id")
 
 
-def coerced(replies: DataFrame, default_kind: str = "regulatory_interpretation") -> DataFrame:
-    """replies(id, reply): untrusted JSON -> answer, statements, flags in fixed shapes; ``ok`` false if there is no object."""
-    v = T.json_object(F.col("reply"))
-    r = replies.select("id", v.alias("v"))
-    get = lambda path, kind: F.try_variant_get("v", path, kind)
-    items = F.coalesce(get("$.statements", "array<variant>"), F.array().cast("array<variant>"))
-
-    def statement(x):
-        plain = F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
-        text = T.trimmed(F.coalesce(plain, F.try_variant_get(x, "$.text", "string"), F.lit("")))
-        kind = F.try_variant_get(x, "$.kind", "string")
-        ids = F.coalesce(F.try_variant_get(x, "$.citation_ids", "array<string>"), F.array().cast("array<string>"))
-        ids = F.transform(F.filter(ids, lambda i: i.rlike("^[0-9]+$")), lambda i: i.cast("int"))
-        return F.struct(F.when(kind.isin(KINDS), kind).otherwise(default_kind).alias("kind"), text.alias("text"), ids.alias("citation_ids"))
-
-    texts = lambda path: F.filter(F.coalesce(get(path, "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
-    return r.select(
-        "id", F.col("v").isNotNull().alias("ok"), F.coalesce(get("$.answer_markdown", "string"), F.lit("")).alias("answer_markdown"),
-        F.filter(F.transform(items, statement), lambda s: s["text"] != "").alias("statements"), F.coalesce(get("$.sufficient_basis", "boolean"), F.lit(False)).alias("sufficient_basis"),
-        texts("$.clarifying_questions").alias("clarifying_questions"), texts("$.limitations").alias("limitations"),
-        F.when(F.lower(get("$.bioequivalence.status", "string")).isin(DECISIONS), F.lower(get("$.bioequivalence.status", "string"))).otherwise("insufficient_data").alias("bioequivalence"),
-    )
-
-
 def all_ids(parts: list[Column]) -> Column:
     """Distinct citation ids of nested lists, sorted."""
     return F.array_sort(F.array_distinct(F.flatten(F.array(*parts))))

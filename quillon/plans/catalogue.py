@@ -396,14 +396,6 @@ def _(spark, sf):
     return B.read(spark, sf, "conversations").select("conv_id", "turn", T.prose_markdown(F.col("text")).alias("text"))
 
 
-REPLIES = ['```json\n{"answer_markdown": "да [1]", "statements": ["a", {"kind": "regulatory_risk", "text": "b", "citation_ids": [1, "2", "x"]}], "sufficient_basis": true}\n```', 'вот: {"answer_markdown": "нет", "statements": [{"text": ""}], "bioequivalence": {"status": "Required"}} конец', "не json", ""]
-
-
-@query("t26_json_reply")
-def _(spark, sf):
-    return spark.createDataFrame(list(enumerate(REPLIES)), "id int, reply string").select("id", T.json_object(F.col("reply")).cast("string").alias("object"))
-
-
 KNOWN = f"""SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(coalesce(text, '') || ' [1, 7] [9] [3]', {Q.q(T.PIECES)}), lambda p: CASE WHEN NOT regexp_full_match(p, {Q.q(T.MARK)}) THEN p
  ELSE coalesce('[' || nullif(array_to_string(list_filter(list_transform(regexp_extract_all(p, '[0-9]+'), lambda i: i::INT), lambda i: i IN (1, 3)), ', '), '') || ']', '') END), '') AS text FROM conversations"""
 
@@ -738,11 +730,6 @@ def _(spark, sf):
     return _used(spark, sf).select("request", joined("ids").alias("ids"))
 
 
-@query("g15_coerced_reply")
-def _(spark, sf):
-    return G.coerced(spark.createDataFrame(list(enumerate(REPLIES)), "id int, reply string"))
-
-
 @query("g17_sufficiency", "", "SELECT * FROM (VALUES (0, ''), (2, 'dosage_form,strength,route_of_administration,product_type,release_type')) t(id, missing)")
 def _(spark, sf):
     return _profiles(spark).where("id in (0, 2)").select("id", F.array_join(I.missing_fields(), ",").alias("missing"))
@@ -967,4 +954,4 @@ def _(spark, sf):
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))), lambda x: x["s"]), "\n").alias("history"))
 
 
-from quillon.plans import changes  # noqa: E402, F401  its queries are registered too
+from quillon.plans import changes, replies  # noqa: E402, F401  their queries are registered too

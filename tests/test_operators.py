@@ -120,14 +120,6 @@ def test_tier_policy_against_fold(spark):
     assert got == {q: w for q, w in wanted.items() if w}
 
 
-def test_coerced(spark):
-    reply = '{"statements": ["a", {"kind": "odd", "text": "b", "citation_ids": [1, "2", "x"]}, {"text": ""}], "sufficient_basis": true, "bioequivalence": {"status": "Required"}}'
-    r = G.coerced(spark.createDataFrame([(1, reply), (2, "no")], "id int, reply string")).orderBy("id").collect()
-    assert r[0].ok and r[0].sufficient_basis and r[0].bioequivalence == "required"
-    assert [(s.kind, s.text, s.citation_ids) for s in r[0].statements] == [("regulatory_interpretation", "a", []), ("regulatory_interpretation", "b", [1, 2])]
-    assert not r[1].ok and r[1].statements == [] and r[1].bioequivalence == "insufficient_data"
-
-
 def test_files(spark, tmp_path):
     path = tmp_path / "q.csv"
     path.write_text("﻿question_id;category;question;expected_documents;expected_topics;expected_answer_notes;needs_expert_validation\n1;c;вопрос;а | б||;;;false\n", encoding="utf-8")
