@@ -317,16 +317,6 @@ def _(spark, sf):
     return B.read(spark, sf, "documents").select("doc_id", F.sha2(N.to_cyrillic(F.coalesce("text", F.lit(""))), 256).alias("cyrillic"))
 
 
-@query("t16_variants", "", "SELECT * FROM (VALUES ('омепразол', 'омепразол,omeprazol,omeprazole,omeprazolum,омепраз,omepraz,omeprazo,omeprazol'), ('леводопа', 'леводопа,levodopa,леводо,levodo')) t(name, variants)".replace(",omeprazo,omeprazol'", ",omeprazo'"))
-def _(spark, sf):
-    return spark.createDataFrame([("омепразол",), ("леводопа",)], "name string").select("name", F.array_join(N.variants(F.col("name")), ",").alias("variants"))
-
-
-@query("t17_canonical", "", "SELECT * FROM (VALUES ('aspirin', 'ацетилсалициловая кислота'), ('Ибупрофён', 'ибупрофен'), ('', ''), ('zolpidem', 'золпидем')) t(name, canonical)")
-def _(spark, sf):
-    return spark.createDataFrame([("aspirin",), ("Ибупрофён",), ("",), ("zolpidem",)], "name string").select("name", N.canonical(F.col("name")).alias("canonical"))
-
-
 def _named(spark, sf):
     """Every document with one name, and a title that quotes two."""
     names = list(N.ALIASES)
@@ -340,13 +330,6 @@ def _(spark, sf):
     return _named(spark, sf).select("document_id", F.array_join(N.from_title(F.col("title")), ",").alias("names"))
 
 
-MSG = "id int, text string"
-
-
-def _messages(spark):
-    return spark.createDataFrame(list(enumerate(Q.MESSAGES)), MSG)
-
-
 def _said(spark, sf):
     """Every turn of a conversation behind a message of an applicant, in turn."""
     n = F.col("conv_id") + F.col("turn")
@@ -380,12 +363,6 @@ def _(spark, sf):
     return _said(spark, sf).select("id", T.trimmed(F.regexp_extract("text", I.STRENGTH, 0)).alias("strength"))
 
 
-@query("t23_labelled_fields", "", "SELECT * FROM (VALUES (0, 'мнн=ибупрофен;лекарственная форма=таблетки;дозировка=400 мг;путь введения=внутрь;тип препарата=воспроизведённый;высвобождение=немедленное')) t(id, fields)")
-def _(spark, sf):
-    f = _messages(spark).select("id", I.labelled(F.col("text")).alias("f")).where("size(f) > 0")
-    return f.select("id", F.array_join(F.transform("f", lambda x: F.concat(x["k"], F.lit("="), x["v"])), ";").alias("fields"))
-
-
 @query("t24_escape_html", "", "SELECT page_id, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS h FROM pages")
 def _(spark, sf):
     return B.read(spark, sf, "pages").select("page_id", F.sha2(T.escape_html(F.col("html")), 256).alias("h"))
@@ -730,11 +707,6 @@ def _(spark, sf):
     return _used(spark, sf).select("request", joined("ids").alias("ids"))
 
 
-@query("g17_sufficiency", "", "SELECT * FROM (VALUES (0, ''), (2, 'dosage_form,strength,route_of_administration,product_type,release_type')) t(id, missing)")
-def _(spark, sf):
-    return _profiles(spark).where("id in (0, 2)").select("id", F.array_join(I.missing_fields(), ",").alias("missing"))
-
-
 @query("g18_fallbacks", "", "SELECT item_id AS request, r AS reason, false AS sufficient_basis, 0.0::DOUBLE AS score FROM benchmark, (SELECT unnest(['no_basis', 'retrieval_only', 'out_of_scope']) AS r)")
 def _(spark, sf):
     b = B.questions(spark, sf).withColumnRenamed("item_id", "request")
@@ -769,15 +741,6 @@ def _(spark, sf):
 # Intake.
 
 
-def _profiles(spark):
-    return I.profiles(_messages(spark), N.vocabulary(spark))
-
-
-@query("c1_profiles", "voc", "SELECT id, route AS route_of_administration, kind AS product_type, release AS release_type FROM voc WHERE id <> 0 UNION ALL SELECT 0, 'внутрь', 'generic', 'immediate'")
-def _(spark, sf):
-    return _profiles(spark).select("id", "route_of_administration", "product_type", "release_type")
-
-
 @query("c2_first_match", "said", f"SELECT id, {Q.case(I.FORMS, Q.low('text'), '')} AS form, {Q.case(I.ROUTES, Q.low('text'), '')} AS route, {Q.case(I.RELEASES, Q.low('text'), 'unknown')} AS release FROM said")
 def _(spark, sf):
     low = F.translate(F.lower("text"), "ё", "е")
@@ -785,53 +748,12 @@ def _(spark, sf):
     return _said(spark, sf).select("id", first(I.FORMS, "form", ""), first(I.ROUTES, "route", ""), first(I.RELEASES, "release", "unknown"))
 
 
-@query("c3_inn_guess", "", "SELECT * FROM (VALUES (0, 'ибупрофен'), (1, 'амлодипин'), (2, 'метформин'), (3, ''), (4, ''), (5, ''), (6, ''), (7, ''), (8, ''), (9, ''), (10, 'варфарин'), (11, '')) t(id, inn)")
-def _(spark, sf):
-    return _profiles(spark).select("id", "inn")
-
-
-@query("c4_clarifying_questions", "", "SELECT * FROM (VALUES (0, 1), (2, 6)) t(id, n)")
-def _(spark, sf):
-    return _profiles(spark).where("id in (0, 2)").select("id", F.size(I.clarifying_questions()).alias("n"))
-
-
-@query("c5_intent", "", "SELECT * FROM (VALUES (0, 'product_assessment'), (1, 'product_assessment'), (2, 'product_assessment'), (3, 'out_of_scope'), (4, 'document_lookup'), (5, 'product_assessment'), (6, 'product_assessment'), (7, 'product_assessment'), (8, 'general_regulatory'), (9, 'general_regulatory'), (10, 'product_assessment'), (11, 'product_assessment')) t(id, intent)")
-def _(spark, sf):
-    return _profiles(spark).select("id", I.intent().alias("intent"))
-
-
-@query("c6_description")
-def _(spark, sf):
-    return _profiles(spark).select("id", I.description().alias("description"))
-
-
-@query("c7_clarification_gate", "", "SELECT id, id NOT IN (0, 1, 2, 5, 6, 10, 11) AS ask, id <> 9 AS valid FROM (SELECT unnest(range(12))::INT AS id)")
-def _(spark, sf):
-    return _profiles(spark).select("id", I.needs_clarification().alias("ask"), I.valid_form().alias("valid"))
-
-
-@query("c8_summary")
-def _(spark, sf):
-    return _profiles(spark).select("id", F.array_join(I.summary_lines(), "\n").alias("summary"))
-
-
-@query("f15_profile_queries")
-def _(spark, sf):
-    more = {"additional_strengths": F.lit(""), "new_indication": F.lit(True), "new_dosage_form": F.lit(None).cast("boolean")}
-    return _profiles(spark).withColumns(more).select("id", F.posexplode(I.profile_queries()).alias("no", "query"))
-
-
 @query("f16_inn_queries", "named", "SELECT document_id, 3 AS n, 'рекомендация Экспертного комитета о выборе референтного лекарственного препарата с МНН «' || name || '»' AS last FROM named")
 def _(spark, sf):
     r = _named(spark, sf).withColumn("q", I.inn_queries(F.col("name")))
     return r.select("document_id", F.size("q").alias("n"), F.element_at("q", -1).alias("last"))
 
 
-@query("f17_chat_queries")
-def _(spark, sf):
-    return _profiles(spark).select("id", F.posexplode(I.chat_queries()).alias("no", "query"))
-
-
 # Evaluation.
 
 EVAL = "SELECT b.item_id AS request, string_agg(s.rank::VARCHAR, ',' ORDER BY s.rank) FILTER (r.request IS NOT NULL) AS ranks, min(s.rank) FILTER (r.request IS NOT NULL) AS first_hit, count(s.key) AS retrieved FROM benchmark b LEFT JOIN {sel} s ON s.request = b.item_id LEFT JOIN rel r ON r.request = b.item_id AND r.document_id = s.document_id GROUP BY b.item_id"
@@ -954,4 +876,4 @@ def _(spark, sf):
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))), lambda x: x["s"]), "\n").alias("history"))
 
 
-from quillon.plans import changes, replies  # noqa: E402, F401  their queries are registered too
+from quillon.plans import changes, profiles, replies  # noqa: E402, F401  their queries are registered too

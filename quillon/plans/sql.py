@@ -206,7 +206,6 @@ MESSAGES = [
     "дигоксин и варфарин: референтный препарат: не выбран",
     "Комбинированный препарат, мазь, наружно 5 г",
 ]
-define("msg", (), "SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(m)})" for i, m in enumerate(MESSAGES)) + ") t(id, text)")
 _NAMES = list(N.ALIASES)
 define("said", (), f"SELECT conv_id * 1000 + turn AS id, {pick(MESSAGES, f'((conv_id + turn) % {len(MESSAGES)})')} || ' ' || coalesce(text, '') AS text FROM conversations")
 define("named", ("reg",), f"""SELECT document_id, name, 'О выборе «' || upper(substr(name, 1, 1)) || CASE WHEN contains(name, ' ') THEN substr(name, 2, instr(name, ' ') - 1) || upper(substr(name, instr(name, ' ') + 1, 1)) || substr(name, instr(name, ' ') + 2) ELSE substr(name, 2) END
@@ -214,8 +213,6 @@ define("named", ("reg",), f"""SELECT document_id, name, 'О выборе «' ||
 define("alias", (), "SELECT * FROM (VALUES " + ", ".join(f"({q(n)}, {q(o)})" for n, others in N.ALIASES.items() for o in (n, *others)) + ") t(name, spelling)")
 define("spelled", ("alias",), f"""SELECT DISTINCT name, spelling FROM (SELECT name, unnest(CASE WHEN length(s) > 7 AND NOT contains(s, ' ') THEN [s, substr(s, 1, length(s) - 2)] ELSE [s] END) AS spelling
 FROM (SELECT name, spelling AS s FROM alias UNION SELECT name, {to_latin('name')} FROM alias)) WHERE length(spelling) >= 5""")
-define("low", ("msg",), "SELECT *, translate(lower(text), 'ё', 'е') AS low FROM msg")
-define("voc", ("low",), f"SELECT id, text, low, {case(I.FORMS, 'low', '')} AS form, {case(I.ROUTES, 'low', '')} AS route, {case(I.KINDS, 'low', 'unknown', True)} AS kind, {case(I.RELEASES, 'low', 'unknown')} AS release FROM low")
 
 
 # Acts: the documents' texts with lines of structure, and what is read from them.
