@@ -193,36 +193,33 @@ def keep_known_references(text: Column, known: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECES), F.lit(0)), clean), "")
 
 
-@F.pandas_udf(StringType())
-def prose_markdown(texts: pd.Series) -> pd.Series:
-    """Lines of prose join into paragraphs; lists, headings, quotes and tables
-    keep their lines; blocks stand apart by one empty line."""
-    import re
-
-    kept = re.compile(r"(?:[-*+]\s|\d+[.)]\s|#{1,6}\s|>|\|)")
-
-    def reflow(text):
-        groups: list[tuple[bool, list[str]]] = []
-        fresh = True
-        for raw in (text or "").strip().splitlines():
-            line, bare = raw.rstrip(), raw.strip()
-            if not bare:
-                fresh = True
-                continue
-            fixed = bool(kept.match(bare))
-            same = bool(groups) and not fresh
-            if fixed and same and groups[-1][0]:
-                groups[-1][1].append(line)
-            elif not fixed and same and groups[-1][0]:
-                groups[-1][1][-1] += f" {bare}"  # goes on with the item above
-            elif not fixed and same:
-                groups[-1][1].append(bare)
-            else:
-                groups.append((fixed, [line if fixed else bare]))
-            fresh = False
-        return "\n\n".join(("\n" if fixed else " ").join(lines) for fixed, lines in groups)
-
-    return texts.map(lambda t: reflow(t if isinstance(t, str) else "")).astype(object)
+#: What ends a line, what is blank (also at a line's end), and lines that keep to themselves.
+ENDS = r"[\n\x0B\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+EMPTY = r"[\p{Z}\t-\r\x1c-\x1f\x{85}]"
+ITEM = rf"^(?:[-*+]{EMPTY}|\p{{Nd}}+[.)]{EMPTY}|#{{1,6}}{EMPTY}|>|\|)"
+
+
+def prose_markdown(text: Column) -> Column:
+    """Lines of prose join into paragraphs; lists, headings, quotes and tables keep their
+    lines; blocks stand apart by one empty line.  Null text gives an empty one.
+
+    Between two empty lines, prose goes on with whatever is above it; the first line that
+    keeps to itself opens a block, if it isn't the first of all.
+    """
+    bare = lambda x: F.regexp_replace(x, f"^{EMPTY}+|{EMPTY}+$", "")
+    whole = bare(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")))
+
+    def block(run: Column) -> Column:
+        lines = F.transform(F.split(run, ENDS), lambda x: F.struct(x.alias("line"), bare(x).rlike(ITEM).alias("kept")))
+        first = F.array_position(F.transform(lines, lambda x: x["kept"]), True) - 1
+
+        def piece(x: Column, i: Column) -> Column:
+            before = F.when(i == 0, "").when(~x["kept"], " ").when(i == first, "\n\n").otherwise("\n")
+            return F.concat(before, F.when(x["kept"], F.regexp_replace(x["line"], f"{EMPTY}+$", "")).otherwise(bare(x["line"])))
+
+        return F.array_join(F.transform(lines, piece), "")
+
+    return F.array_join(F.transform(F.split(whole, f"{ENDS}{EMPTY}*{ENDS}"), block), "\n\n")
 
 
 def json_object(text: Column) -> Column:

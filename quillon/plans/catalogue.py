@@ -368,9 +368,24 @@ def _(spark, sf):
     return B.read(spark, sf, "pages").select("page_id", F.sha2(T.escape_html(F.col("html")), 256).alias("h"))
 
 
-@query("t25_prose_markdown")
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, {Q.q(f'^{T.EMPTY}+|{T.EMPTY}+$')}, '', 'g')"
+
+
+_MARKED = f"'# Ответ' || {Q.LF} || coalesce(text, '') || {Q.LF} || '- раз' || {Q.LF} || 'и ещё ' || {Q.LF} || ' ' || {Q.LF} || '  1) два ' || {Q.LF} || coalesce(text, '') || {Q.LF} || '| a | b |' || {Q.LF} || {Q.LF} || coalesce(text, '') || {Q.LF} || 'конец' || {Q.LF} || '> цитата'"
+PROSE = f"""SELECT conv_id, turn, sha256(string_agg(t, {Q.LF} || {Q.LF} ORDER BY r)) AS h FROM (
+ SELECT conv_id, turn, r, array_to_string(list_transform(l, lambda x, i: CASE WHEN i = 1 THEN '' WHEN NOT k[i] THEN ' ' WHEN i = list_position(k, true) THEN {Q.LF} || {Q.LF} ELSE {Q.LF} END || CASE WHEN k[i] THEN regexp_replace(x, {Q.q(f'{T.EMPTY}+$')}, '') ELSE {_stripped('x')} END), '') AS t FROM (
+  SELECT conv_id, turn, r, l, list_transform(l, lambda x: regexp_matches({_stripped('x')}, {Q.q(T.ITEM)})) AS k FROM (
+   SELECT conv_id, turn, generate_subscripts(b, 1) AS r, string_split_regex(unnest(b), {Q.q(T.ENDS)}) AS l FROM (
+    SELECT conv_id, turn, string_split_regex({_stripped(_MARKED)}, {Q.q(f'{T.ENDS}{T.EMPTY}*{T.ENDS}')}) AS b FROM conversations)))) GROUP BY conv_id, turn"""
+
+
+@query("t25_prose_markdown", "", PROSE)
 def _(spark, sf):
-    return B.read(spark, sf, "conversations").select("conv_id", "turn", T.prose_markdown(F.col("text")).alias("text"))
+    """Every turn between a heading, lists, a table and a quotation."""
+    said = F.coalesce("text", F.lit(""))
+    marked = F.concat(F.lit("# Ответ\n"), said, F.lit("\n- раз\nи ещё \n \n  1) два \n"), said, F.lit("\n| a | b |\n\n"), said, F.lit("\nконец\n> цитата"))
+    return B.read(spark, sf, "conversations").select("conv_id", "turn", F.sha2(T.prose_markdown(marked), 256).alias("h"))
 
 
 KNOWN = f"""SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(coalesce(text, '') || ' [1, 7] [9] [3]', {Q.q(T.PIECES)}), lambda p: CASE WHEN NOT regexp_full_match(p, {Q.q(T.MARK)}) THEN p
