@@ -119,8 +119,8 @@ def last_run(events: DataFrame) -> DataFrame:
     return run_log(events).orderBy(F.desc("run_id")).limit(1)
 
 
-def health(documents: DataFrame, chunks: DataFrame, bm25_entries: DataFrame, points: DataFrame) -> DataFrame:
-    """check, severity, found, expected: one row a check."""
+def health(documents: DataFrame, chunks: DataFrame, bm25_entries: DataFrame, points: DataFrame, without_file: DataFrame | None = None) -> DataFrame:
+    """check, severity, found, expected: one row a check; ``raw_files`` where the documents without a raw file are given."""
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("one", F.lit(1))
     loaded = documents.where("download_status = 'ok'")
     bare = loaded.join(chunks.select("document_id"), "document_id", "left_anti")
@@ -137,4 +137,7 @@ def health(documents: DataFrame, chunks: DataFrame, bm25_entries: DataFrame, poi
         check("manual", "manual", zero, "WARN", never), check("failed", "failed", zero, "WARN", never), check("without_chunks", "bare", zero, "WARN", never),
         check("bm25_entries", "entries", F.col("chunks"), "WARN", F.col("entries") == 0), check("vectors", "points", F.col("chunks"), "WARN", F.col("points") == 0),
     )
+    if without_file is not None:
+        row = row.join(n(without_file, "gone"), "one")
+        checks = F.concat(checks, F.array(check("raw_files", "gone", zero, "WARN", never)))
     return row.select(F.explode(checks).alias("c")).select("c.*")

@@ -891,4 +891,4 @@ def _(spark, sf):
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))), lambda x: x["s"]), "\n").alias("history"))
 
 
-from quillon.plans import changes, profiles, replies  # noqa: E402, F401  their queries are registered too
+from quillon.plans import changes, files, profiles, replies  # noqa: E402, F401  their queries are registered too

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUESTIONS = "question_id string, category string, question string, expected_documents string, expected_topics string, expected_answer_notes string, needs_expert_validation string"
@@ -16,8 +16,9 @@ def _parts(name: str):
 
 
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
-    """``;``-separated questions with '|'-separated lists; a byte-order mark is taken off."""
-    raw = spark.read.options(sep=";", header=True, multiLine=True, encoding="UTF-8").csv(path)
+    """``;``-separated questions with '|'-separated lists; a byte-order mark is taken off,
+    and a doubled quote inside quotes is one."""
+    raw = spark.read.options(sep=";", header=True, multiLine=True, encoding="UTF-8", escape='"').csv(path)
     raw = raw.toDF(*[c.lstrip("﻿").strip('"') for c in raw.columns])
     names = [f.split()[0] for f in QUESTIONS.split(", ")]
     raw = raw.select(*[F.col(n) if n in raw.columns else F.lit(None).cast("string").alias(n) for n in names])
@@ -49,19 +50,25 @@ def load_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def load_source_list(spark: SparkSession, path: str) -> DataFrame:
-    """source_id, enabled, discovery, url of a small YAML list, read on the driver.
-    Takes plain ``key: value`` lines under ``- id:`` items."""
-    rows: list[dict[str, str]] = []
-    for line in "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()).splitlines():
-        body = line.split(" #")[0].strip()
-        if body.startswith("- "):
-            rows.append({})
-            body = body[2:]
-        if rows and ":" in body:
-            key, value = body.split(":", 1)
-            rows[-1][key.strip()] = value.strip().strip("\"'")
-    made = [(r.get("id") or r.get("source_id", ""), r.get("enabled", "true") != "false", r.get("discovery", ""), r.get("url", "")) for r in rows]
-    return spark.createDataFrame(made, "source_id string, enabled boolean, discovery string, url string")
+    """source_id, enabled, discovery, url of YAML lists, an item a row.
+
+    Takes plain ``key: value`` lines under ``- key: value`` items; comments, quotes and
+    lists inside an item are passed over, the last value of a key counts.  Files are
+    read in the tasks, each as a whole.
+    """
+    files = spark.read.text(path, wholetext=True)
+    items = F.filter(F.split("value", r"(?m)^[ \t]*- (?=[A-Za-z_]+[ \t]*:(?:[ \t]|$))"), lambda _, i: i > 0)
+    plain = files.select(F.explode(items).alias("item")).select(F.regexp_replace("item", r"(?m)[ \t]#.*$", "").alias("item"))
+    rule = r"(?m)^[ \t]*([A-Za-z_]+)[ \t]*:[ \t]*(.*?)[ \t\r]*$"
+    pairs = plain.select(F.regexp_extract_all("item", F.lit(rule), F.lit(1)).alias("keys"), F.regexp_extract_all("item", F.lit(rule), F.lit(2)).alias("values"))
+    pairs = pairs.select(F.arrays_zip("keys", "values").alias("p"))
+
+    def last(key: str, otherwise: str = "") -> Column:
+        said = F.try_element_at(F.filter("p", lambda x: x["keys"] == key), F.lit(-1))["values"]
+        return F.coalesce(F.regexp_replace(said, r"""^["']+|["']+$""", ""), F.lit(otherwise))
+
+    name = F.coalesce(F.nullif(last("id"), F.lit("")), last("source_id"))
+    return pairs.select(name.alias("source_id"), (last("enabled", "true") != "false").alias("enabled"), last("discovery").alias("discovery"), last("url").alias("url"))
 
 
 def save_index(path: str, **tables: DataFrame) -> None:
@@ -85,8 +92,9 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
-def missing_files(registry: DataFrame, column: str, folders: list[str]) -> DataFrame:
-    """Rows whose file is in none of the folders; file names only, no contents."""
+def missing_files(registry: DataFrame, column: str, folders: list[str], name: str = "([^/]+)$") -> DataFrame:
+    """Rows whose file is in none of the folders; file names only, no contents.  ``name`` takes a
+    file's name, or its folder's, from its path.  A row without a name is missing."""
     spark = registry.sparkSession
-    there = reduce(DataFrame.unionByName, [spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f).select(F.regexp_extract("path", "[^/]+$", 0).alias("__file")) for f in folders])
+    there = reduce(DataFrame.unionByName, [spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f).select(F.regexp_extract("path", name, 1).alias("__file")) for f in folders])
     return registry.join(there.distinct(), F.regexp_extract(column, "[^/]+$", 0) == F.col("__file"), "left_anti")
