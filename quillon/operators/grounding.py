@@ -42,6 +42,7 @@ EMPTY_ASSESSMENT = "Достаточное нормативное основан
 EMPTY_ANSWER = "Достаточное нормативное основание в доступной базе знаний не найдено."
 FRAGMENT, BEGINS, ENDS = "ФРАГМЕНТ", "НАЧАЛО", "КОНЕЦ"
 SOURCE, STATUS, TEXT = "    источник: ", "    статус: ", "    текст:"
+CARD_LIST = "\n**Документы по теме запроса, текст которых не проиндексирован**\n\nЭти документы найдены в реестре, но опубликованы как сканы без текстового слоя, поэтому их положения не могут быть процитированы системой. Их следует открыть вручную:\n\n"
 KINDS = ["normative_requirement", "regulatory_interpretation", "regulatory_risk", "potential_authority_question", "insufficient_basis"]
 DECISIONS = ["required", "not_required", "possible", "insufficient_data", "no_legal_basis_found"]
 CATEGORIES = ["pharmaceutical", "nonclinical", "clinical"]
@@ -243,6 +244,17 @@ def source_summary(cited: DataFrame) -> DataFrame:
     return cited.groupBy("request").agg(F.count_if(binding_eaeu()).alias("binding"), F.count_if(eaeu & (F.col("source_tier") == "TIER_3")).alias("expert"), F.count_if(~eaeu).alias("foreign"))
 
 
+def card_list(cards: DataFrame) -> DataFrame:
+    """cards(request, rank, title, url, page_url) -> request, markdown: an item a card by rank, as a link to
+    the file, else to the page, else the title alone.  A request has few cards (``ranking.split_cards``);
+    one without any has no row, a null title is empty, equal ranks go by title."""
+    link = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.nullif(F.col("page_url"), F.lit("")))
+    title = F.coalesce("title", F.lit(""))
+    item = F.when(link.isNotNull(), F.concat(F.lit("- ["), title, F.lit("]("), link, F.lit(")"))).otherwise(F.concat(F.lit("- "), title))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))), lambda x: x["item"])
+    return cards.groupBy("request").agg(F.concat(F.lit(CARD_LIST), F.array_join(items, "\n")).alias("markdown"))
+
+
 def shown_sources(cited: DataFrame, used: DataFrame, first: int = 5) -> DataFrame:
     """The citations used, or the first ones where none is."""
     c = cited.join(used.select("request", "ids"), "request", "left").withColumn("own", F.coalesce(F.array_contains("ids", F.col("citation_id")), F.lit(False)))

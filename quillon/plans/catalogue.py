@@ -257,18 +257,20 @@ def _(spark, sf):
     return B.chunks(spark, sf).select("document_id", "ordinal", "chunk_id")
 
 
-PLACES = [("№ 2", "", "III", "", "Решение", "Общие", "42", "а"), ("", "II", "", "1", "Подраздел", "Подраздел", "", ""), ("", "", "", "", "", "", "", ""), ("№ 1", "", "", "", "", "Приложение № 1", "7", "")]
-CRUMBS = ["Приложение № 2 · Раздел III · Общие · п. 42, подп. а", "Часть II · Глава 1 · Подраздел", "", "Приложение № 1 · п. 7"]
+_HEADS = {c: f"{Q.low(Q.trim(c))} IN ({', '.join(map(Q.q, T.LETTERHEAD))})" for c in ("subsection", "heading")}
+_UPPER = "list_filter([" + ", ".join(f"CASE WHEN {c} <> '' THEN '{p}' || {c} END" for c, p in (("appendix", "Приложение "), ("part", "Часть "), ("section", "Раздел "), ("chapter", "Глава "))) + f", CASE WHEN subsection <> '' AND NOT {_HEADS['subsection']} THEN subsection END], lambda x: x IS NOT NULL)"
+CRUMB = f"""SELECT document_id, line_no, array_to_string(list_filter(list_transform(list_concat(u, [CASE WHEN heading <> '' AND NOT {_HEADS['heading']} AND NOT list_contains(u, heading) THEN heading END,
+ CASE WHEN paragraph <> '' THEN 'п. ' || paragraph || CASE WHEN subparagraph <> '' THEN ', подп. ' || subparagraph ELSE '' END END]), lambda x: {Q.trim('x')}), lambda x: x <> ''), ' · ') AS crumb
+ FROM (SELECT *, {_UPPER} AS u FROM (SELECT *, CASE line_no % 4 WHEN 0 THEN subsection WHEN 1 THEN 'РЕШЕНИЕ' WHEN 2 THEN substr(line, 1, 40) ELSE '' END AS heading FROM lines))"""
 
 
-def _places(spark):
-    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(PLACES)], "id int, a string, b string, c string, d string, e string, f string, g string, h string")
-    return rows.withColumn("crumb", T.breadcrumb(*[F.col(x) for x in "abcdefgh"][:5], F.col("f"), F.col("g"), F.col("h")))
-
-
-@query("t6_breadcrumb", "", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {Q.q(c)})" for i, c in enumerate(CRUMBS)) + ") t(id, crumb)")
+@query("t6_breadcrumb", "lines", CRUMB)
 def _(spark, sf):
-    return _places(spark).select("id", "crumb")
+    """The place of every line of an act; headings are a subsection, a letterhead, the line's beginning, or none."""
+    n = F.col("line_no") % 4
+    lines = D.structured(_acts(spark, sf)).withColumn("heading", F.when(n == 0, F.col("subsection")).when(n == 1, "РЕШЕНИЕ").when(n == 2, F.substring("line", 1, 40)).otherwise(""))
+    names = ("appendix", "part", "section", "chapter", "subsection", "heading", "paragraph", "subparagraph")
+    return lines.select("document_id", "line_no", T.breadcrumb(*[F.col(c) for c in names]).alias("crumb"))
 
 
 @query("t7_labels", "reg", "SELECT document_id, coalesce(nullif(short_title, ''), substr(title, 1, 80)) || ' · п. 1' AS location, coalesce(nullif(short_title, ''), substr(title, 1, 160)) || coalesce(' от ' || strftime(adoption_date, '%d.%m.%Y'), '') AS cited FROM reg")
@@ -891,4 +893,13 @@ def _(spark, sf):
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))), lambda x: x["s"]), "\n").alias("history"))
 
 
+@query("l10_card_list", "reg", f"""SELECT document_id // 5 AS request, {Q.q(G.CARD_LIST)} || string_agg('- ' || CASE WHEN document_id % 3 = 2 THEN title ELSE '[' || title || '](https://example.org/' || CASE document_id % 3 WHEN 0 THEN 'file/' ELSE 'page/' END || document_id || ')' END, {Q.LF} ORDER BY document_id) AS markdown FROM reg GROUP BY 1""")
+def _(spark, sf):
+    """Five documents a request, with a link to a file, to a page, or none."""
+    n = F.col("document_id")
+    link = lambda kind, on: F.when(on, F.concat(F.lit(f"https://example.org/{kind}/"), n))
+    d = B.registry(spark, sf).select(F.floor(n / 5).alias("request"), n.alias("rank"), "title", F.coalesce(link("file", n % 3 == 0), F.lit("")).alias("url"), link("page", n % 3 < 2).alias("page_url"))
+    return G.card_list(d)
+
+
 from quillon.plans import changes, files, profiles, replies  # noqa: E402, F401  their queries are registered too

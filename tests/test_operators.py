@@ -164,3 +164,10 @@ def test_incremental(spark, tmp_path):
     stream = spark.readStream.schema("document_id long, text string").parquet(src)
     incremental.start(stream, str(tmp_path / "out"), str(tmp_path / "cp"), lambda: known).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_card_list(spark):
+    rows = [(1, 2, "b", "", "https://p"), (1, 1, "a", "https://u", "https://p"), (1, 3, None, None, None), (2, 1, "c", None, "")]
+    cards = spark.createDataFrame(rows, "request int, rank int, title string, url string, page_url string")
+    got = {r.request: r.markdown for r in G.card_list(cards).collect()}
+    assert got == {1: G.CARD_LIST + "- [a](https://u)\n- [b](https://p)\n- ", 2: G.CARD_LIST + "- c"} and G.card_list(cards.limit(0)).count() == 0
