@@ -7,6 +7,7 @@ defaults are ASCII and would miss Cyrillic.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -68,11 +69,40 @@ def normalize_for_search(text: Column, compose: bool = False) -> Column:
     return trimmed(F.regexp_replace(t, rf"{BLANK}+", " "))
 
 
+#: A superset of the characters that ``normalize_text`` translates.
+RARE = r"[\x{A0}\x{AD}\x{1680}-\x{3000}\x{FEFF}]"
+_IN_LINE = r"[ \t\r\f\x0B]*+"
+#: Texts that may hold a line of a page's number.
+_PAGED = rf"(?:^|\n){_IN_LINE}[-\x{{2014}}]?{_IN_LINE}[0-9]{{1,4}}+{_IN_LINE}[-\x{{2014}}]?{_IN_LINE}(?:[\n\r\x{{85}}\x{{2028}}\x{{2029}}]|$)"
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, for which ``value`` is computed once however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def changed_where(text: Column, test: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """``change`` of texts that pass ``test``, others as they are."""
+    return once(text, lambda x: F.when(test(x), change(x)).otherwise(x))
+
+
 def tokens(text: Column, compose: bool = False, stop_words: list[str] = STOP_WORDS) -> Column:
     """Words of one script or numbers, in order, repeats kept; stop words and
-    single characters go."""
-    found = F.regexp_extract_all(normalize_for_search(text, compose), F.lit(r"[а-яa-z]+|[0-9]+(?:[.,][0-9]+)?"), F.lit(0))
-    return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(stop_words))
+    single characters go.
+
+    The tokens of ``normalize_for_search``, of whose steps only those are taken that can change
+    a token, and these only on texts that have what they look for.
+    """
+    t = F.coalesce(text, F.lit(""))
+    t = nfc(t) if compose else t
+    t = changed_where(t, lambda x: x.rlike(RARE), lambda x: F.translate(x, SPACES + MINUS + GONE, " " * len(SPACES) + "-" * len(MINUS)))
+    t = changed_where(t, lambda x: x.rlike(rf"-{BLANK}*\n"), lambda x: F.regexp_replace(x, rf"({WORD})-{BLANK}*\n{BLANK}*({WORD})", "$1$2"))
+    t = changed_where(t, lambda x: F.contains(x, F.lit("\r")), lambda x: F.regexp_replace(x, r"\r\n|\r", "\n"))
+    t = changed_where(t, lambda x: x.rlike(_PAGED), lambda x: F.array_join(F.filter(F.split(x, "\n"), lambda line: ~line.rlike(PAGE_LINE)), "\n"))
+    t = changed_where(t, lambda x: x.rlike(rf"[0-9]{BLANK}++[.,][0-9]"), lambda x: F.regexp_replace(x, rf"(?<=[0-9]){BLANK}++([.,][0-9])", "$1"))
+    words = r"[а-яa-z]{2,}+|[0-9]{2,}+(?:[.,][0-9]++)?+|[0-9][.,][0-9]++"
+    found = F.regexp_extract_all(F.replace(F.lower(t), F.lit("ё"), F.lit("е")), F.lit(words), F.lit(0))
+    return F.filter(found, lambda w: ~w.isin(stop_words))
 
 
 def chunk_id(document_id: Column, coordinates: list[Column], text: Column, ordinal: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +21,12 @@ def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def registry(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
+def registry(spark: SparkSession, sf_dir: str, text: bool = False, only: DataFrame | None = None) -> DataFrame:
     """One row a document.  Tier, authority, status and the rest follow from
-    source, labels and id by fixed rules."""
+    source, labels and id by fixed rules.  ``only`` (document_id): a few documents, which are broadcast."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    if only is not None:
+        docs = docs.join(F.broadcast(only.select(F.col("document_id").alias("doc_id"))), "doc_id", "left_semi")
     n = F.expr("try_cast(substring(source, 4) as int)")
     d = docs.join(labels, "doc_id", "left").withColumn("n", F.coalesce(n, F.lit(0)))
     ten = F.col("n") % 10
@@ -60,33 +61,37 @@ def registry(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
 def blocks(text: Column, size: int) -> Column:
     """Array of (block, text): lines packed by the place of their first character,
     ``size`` characters a block.  Linear in the text, which a fold of arrays is not;
-    nothing is shuffled."""
-    space = " \t\n\r\f\x0b"
-
-    @F.pandas_udf("array<struct<block:long,text:string>>")
-    def pack(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            found: list[tuple[int, list[str]]] = []
-            at = 0
-            for line in (t or "").split("\n"):
-                if line := line.strip(space):
-                    if found and found[-1][0] == at // size:
-                        found[-1][1].append(line)
-                    else:
-                        found.append((at // size, [line]))
-                    at += len(line) + 1
-            out.append([{"block": b, "text": "\n".join(lines)} for b, lines in found])
-        return pd.Series(out, index=texts.index, dtype=object)
-
-    return pack(text)
-
-
-def chunks(spark: SparkSession, sf_dir: str, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Chunks with the document's fields beside them.  Documents of under 20
-    characters give one metadata card instead."""
-    d = registry(spark, sf_dir, text=True)
-    card = F.length("text") < 20
+    nothing is shuffled, and nothing goes to Python.
+
+    Line ends of the joined lines never touch, so two of them can mark where a block
+    begins: at the first line end in ``size`` characters, each of which stands before a line.
+    """
+    inside = r"[ \t\r\f\x0B]"
+    lines = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?<!{inside}){inside}*+\n{T.BLANK}*+", "\n"), F.lit(" \t\n\r\f\x0b"))
+    pieces = F.regexp_extract_all(F.concat(F.lit("\n"), lines), F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
+
+    def packed(p: Column) -> Column:
+        numbers = F.array_compact(F.transform(p, lambda x, i: F.when(F.contains(x, F.lit("\n")), i.cast("long"))))
+        marked = F.array_join(F.transform(p, lambda x: F.regexp_replace(x, r"\A([^\n]*+)\n", "$1\n\n")), "")
+        return F.filter(F.zip_with(numbers, F.filter(F.split(marked, "\n\n"), lambda x: x != ""), lambda n, x: F.struct(n.alias("block"), x.alias("text"))), lambda b: b["text"].isNotNull())
+
+    return T.once(pieces, packed)
+
+
+CARD_CHARS = 20
+
+
+def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_id of the documents that have a chunk: a card, or a text with something in it."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return d.where((F.length("text") < CARD_CHARS) | F.col("text").rlike(r"[^ \t\n\r\f\x0B]")).select("document_id")
+
+
+def chunks(spark: SparkSession, sf_dir: str, config: EngineConfig = DEFAULT, only: DataFrame | None = None) -> DataFrame:
+    """Chunks with the document's fields beside them.  Documents of under ``CARD_CHARS``
+    characters give one metadata card instead.  ``only`` as for the registry."""
+    d = registry(spark, sf_dir, text=True, only=only)
+    card = F.length("text") < CARD_CHARS
     own = F.array(F.struct(F.lit(0).cast("long").alias("block"), F.col("title").alias("text")))
     c = d.select("*", F.posexplode(F.when(card, own).otherwise(blocks(F.col("text"), config.chunk_chars))).alias("ordinal", "b"), card.alias("is_card"))
     c = c.withColumns({"text": F.col("b.text"), "heading": F.when(F.col("is_card"), T.CARD_HEADING).otherwise(""), "paragraph": F.when(F.col("is_card"), "").otherwise((F.col("ordinal") + 1).cast("string"))})
