@@ -32,10 +32,24 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, for plans that read a small result of a
+    long plan several times.  The folder is the cluster's; a local master may use its own."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the checkpoint folder, and read; the files stay."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
