@@ -488,7 +488,7 @@ def _(spark, sf):
 @query("f2_hybrid_search", "one chunk", "SELECT o.query, o.rank, o.score, c.document_id, c.ordinal FROM one o JOIN chunk c USING (key)")
 def _(spark, sf):
     s = P.search(spark, sf)
-    return s.first_level().join(s.chunks.select("key", "document_id", "ordinal"), "key").select("query", "rank", "score", "document_id", "ordinal")
+    return s.with_chunks(s.first_level(), "document_id", "ordinal").select("query", "rank", "score", "document_id", "ordinal")
 
 
 @query("f3_bm25_only", "one_bm25", f"SELECT {RANKS} FROM one_bm25")
@@ -776,9 +776,9 @@ def _(spark, sf):
 EVAL = "SELECT b.item_id AS request, string_agg(s.rank::VARCHAR, ',' ORDER BY s.rank) FILTER (r.request IS NOT NULL) AS ranks, min(s.rank) FILTER (r.request IS NOT NULL) AS first_hit, count(s.key) AS retrieved FROM benchmark b LEFT JOIN {sel} s ON s.request = b.item_id LEFT JOIN rel r ON r.request = b.item_id AND r.document_id = s.document_id GROUP BY b.item_id"
 
 
-def _outcomes(spark, sf, mode="hybrid-rerank"):
+def _outcomes(spark, sf, selected=None, relevant=None):
     b = B.questions(spark, sf).withColumnRenamed("item_id", "request")
-    return V.outcomes(b, P.search(spark, sf, mode).selected(), P.relevant(spark, sf))
+    return V.outcomes(b, P.search(spark, sf).selected() if selected is None else selected, P.relevant(spark, sf) if relevant is None else relevant)
 
 
 @query("e1_outcomes", "sel rel", f"SELECT request, coalesce(ranks, '') AS ranks, first_hit, nullif(retrieved, 0) AS retrieved FROM ({EVAL.format(sel='sel')})")
@@ -804,7 +804,8 @@ MODES = {"bm25": "sel_plain_bm25", "vector": "sel_plain_vector", "hybrid": "sel_
 
 @query("e3_ablation", "sel sel_plain sel_plain_bm25 sel_plain_vector rel", " UNION ALL ".join(f"SELECT '{m}' AS mode, {METRICS} FROM ({EVAL.format(sel=s)})" for m, s in MODES.items()))
 def _(spark, sf):
-    return R.union([V.metrics(_outcomes(spark, sf, m).withColumn("mode", F.lit(m)), "mode") for m in MODES])
+    modes, relevant = P.searches(spark, sf), P.settled(P.relevant(spark, sf))
+    return R.union([V.metrics(_outcomes(spark, sf, modes[m].selected(), relevant).withColumn("mode", F.lit(m)), "mode") for m in MODES])
 
 
 @query("e4_answer_metrics", "val0", f"SELECT count(*) AS answers, round(sum(cited) / sum(total), 3) AS coverage, round(sum(kept) / sum(given), 3) AS validity, round(count(*) FILTER (kept = 0) / count(*), 3) AS abstention FROM (SELECT request, count(*) AS total, count(*) FILTER (len(kept) > 0) AS cited, sum(len(citation_ids)) AS given, sum(len(kept)) AS kept FROM val0 GROUP BY request)")
