@@ -59,3 +59,11 @@ def test_a_spelling_meets_texts_by_its_rarest_gram(spark):
     texts = spark.createDataFrame([(str(k), f"бронхо{chr(0x430 + k % 30) * 5}") for k in range(300)], "__text string, __low string")
     spelled = spark.createDataFrame([("a", "бронхобббб"), ("b", "бронхоэюяэ")], "name string, spelling string")
     assert {(int(r[0]) % 30, r[1]) for r in N.candidates(texts, spelled).collect()} == {(1, "бронхобббб")}
+
+
+def test_grams_of_texts_are_not_shuffled_for_few_spellings(spark):
+    """The plan as it is before anything runs: it doesn't hang on which stage ends first."""
+    texts = spark.createDataFrame([(k, f"текст {k} бронхобббб") for k in range(20)], "id int, text string")
+    plan = N.detect(texts, "id", "text", N.vocabulary(spark))._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
