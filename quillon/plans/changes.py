@@ -100,7 +100,7 @@ def _living(spark, sf) -> LivingIndex:
 
 @query("k1_living_idf", "", _left("idf", "SELECT token, df, round(idf, 6) AS idf FROM idf"))
 def _(spark, sf):
-    return _living(spark, sf).index()["idf"].select("token", "df", F.round("idf", 6).alias("idf"))
+    return _living(spark, sf).idf().select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("k2_living_search", "", _left("lex", "SELECT query, key, score, rank FROM lex"))

@@ -147,3 +147,15 @@ def test_unusable_vectors_are_not_ranked(spark):
     queries = points.withColumnRenamed("key", "query")
     got = sorted(map(tuple, R.dense_search(points, queries, 2).collect()))
     assert got == [(1, 1, 1.0, 1), (1, 6, 0.6, 2), (6, 6, 1.0, 1), (6, 7, 1.0, 2), (7, 6, 1.0, 1), (7, 7, 1.0, 2)]
+
+
+def test_a_living_index_stores_no_row_for_a_token_of_a_chunk(spark, tmp_path):
+    """Blocks of inverted lists are all it has; what changes is places in them."""
+    frame = lambda data: spark.createDataFrame(data, "document_id bigint, key bigint, text string")
+    live, many = LivingIndex(spark, str(tmp_path / "i")), " ".join(f"word{chr(97 + a)}{chr(97 + b)}" for a in range(26) for b in range(26))
+    live.refresh(frame([(d, d, many) for d in range(50)]))
+    live.refresh(frame([(d, d, "alpha") for d in range(10)]), spark.createDataFrame([(49,)], "document_id bigint"))
+    asked = spark.createDataFrame([(1, "wordab wordac alpha")], "query int, text string")
+    assert {r.key for r in live.search(asked, 100).collect()} == set(range(10))
+    assert not (tmp_path / "i" / "postings").exists() and not (tmp_path / "i" / "forward").exists()
+    assert live._chunks([1, 2]).count() == 60
