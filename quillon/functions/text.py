@@ -86,20 +86,29 @@ def changed_where(text: Column, test: Callable[[Column], Column], change: Callab
     return once(text, lambda x: F.when(test(x), change(x)).otherwise(x))
 
 
+#: What a text must hold for any of the steps before its words to change it.
+_ODD = rf"{RARE[:-1]}\r0-9]|-{BLANK}"
+
+
+def _words_apart(t: Column) -> Column:
+    """Rare spaces, hyphens at line ends, lines of page numbers and split numbers put right."""
+    t = changed_where(t, lambda x: x.rlike(RARE), lambda x: F.translate(x, SPACES + MINUS + GONE, " " * len(SPACES) + "-" * len(MINUS)))
+    t = changed_where(t, lambda x: x.rlike(rf"-{BLANK}*\n"), lambda x: F.regexp_replace(x, rf"({WORD})-{BLANK}*\n{BLANK}*({WORD})", "$1$2"))
+    t = changed_where(t, lambda x: F.contains(x, F.lit("\r")), lambda x: F.regexp_replace(x, r"\r\n|\r", "\n"))
+    t = changed_where(t, lambda x: x.rlike(_PAGED), lambda x: F.array_join(F.filter(F.split(x, "\n"), lambda line: ~line.rlike(PAGE_LINE)), "\n"))
+    return changed_where(t, lambda x: x.rlike(rf"[0-9]{BLANK}++[.,][0-9]"), lambda x: F.regexp_replace(x, rf"(?<=[0-9]){BLANK}++([.,][0-9])", "$1"))
+
+
 def tokens(text: Column, compose: bool = False, stop_words: list[str] = STOP_WORDS) -> Column:
     """Words of one script or numbers, in order, repeats kept; stop words and
     single characters go.
 
     The tokens of ``normalize_for_search``, of whose steps only those are taken that can change
-    a token, and these only on texts that have what they look for.
+    a token, and these only on texts that have what they look for; one look tells most texts apart.
     """
     t = F.coalesce(text, F.lit(""))
     t = nfc(t) if compose else t
-    t = changed_where(t, lambda x: x.rlike(RARE), lambda x: F.translate(x, SPACES + MINUS + GONE, " " * len(SPACES) + "-" * len(MINUS)))
-    t = changed_where(t, lambda x: x.rlike(rf"-{BLANK}*\n"), lambda x: F.regexp_replace(x, rf"({WORD})-{BLANK}*\n{BLANK}*({WORD})", "$1$2"))
-    t = changed_where(t, lambda x: F.contains(x, F.lit("\r")), lambda x: F.regexp_replace(x, r"\r\n|\r", "\n"))
-    t = changed_where(t, lambda x: x.rlike(_PAGED), lambda x: F.array_join(F.filter(F.split(x, "\n"), lambda line: ~line.rlike(PAGE_LINE)), "\n"))
-    t = changed_where(t, lambda x: x.rlike(rf"[0-9]{BLANK}++[.,][0-9]"), lambda x: F.regexp_replace(x, rf"(?<=[0-9]){BLANK}++([.,][0-9])", "$1"))
+    t = changed_where(t, lambda x: x.rlike(_ODD), _words_apart)
     words = r"[а-яa-z]{2,}+|[0-9]{2,}+(?:[.,][0-9]++)?+|[0-9][.,][0-9]++"
     found = F.regexp_extract_all(F.replace(F.lower(t), F.lit("ё"), F.lit("е")), F.lit(words), F.lit(0))
     return F.filter(found, lambda w: ~w.isin(stop_words))

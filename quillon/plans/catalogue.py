@@ -411,7 +411,7 @@ def _(spark, sf):
 
 
 def _index(spark, sf):
-    return R.bm25_index(P.keyed_chunks(spark, sf).select("key", "text"))
+    return R.bm25_index(P.chunk_texts(spark, sf))
 
 
 @query("k1_bm25_idf", "idf", "SELECT token, df, round(idf, 6) AS idf FROM idf")
