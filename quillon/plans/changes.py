@@ -90,7 +90,7 @@ def _left(needs: str, sql: str) -> str:
 
 def _living(spark, sf) -> LivingIndex:
     """An index of older texts, brought up to date: new documents, changed ones, deleted ones."""
-    now = P.keyed_chunks(spark, sf).select("document_id", "key", "text")
+    now = P.chunk_texts(spark, sf)
     old = now.where("document_id % 10 <> 7").withColumn("text", F.when(F.col("document_id") % 10 == 3, F.reverse("text")).otherwise(F.col("text")))
     live = LivingIndex(spark, new_folder(spark, "index"))
     live.refresh(old)
@@ -112,7 +112,7 @@ def _(spark, sf):
 def _(spark, sf):
     """What is alive after the refreshes, and after one more that has nothing new."""
     live = _living(spark, sf)
-    now = P.keyed_chunks(spark, sf).select("document_id", "key", "text").where("document_id % 10 <> 9")
+    now = P.chunk_texts(spark, sf).where("document_id % 10 <> 9")
     if live.refresh(now) is not None:
         raise AssertionError("a refresh without changes has written a segment")
     return live.documents().select("document_id")
